@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import crc_mod, prepare, record, slices
 
-SIZE, TRAIN_ROWS, UNKNOWN = 2048, 6000, "und"
+SIZE, TRAIN_ROWS, UNKNOWN = 2048, 4000, "und"
 LETTER = re.compile(r"[^\W\d_]")
 _TABLE = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 _MULTIPLIER = np.uint32(2654435761)
@@ -47,17 +47,19 @@ def vector(text: str) -> np.ndarray:
     return (out / np.linalg.norm(out)).astype(np.float32)
 
 
-def machine(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 150) -> np.ndarray:
+def machine(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 80) -> np.ndarray:
     """Weights and offset of a linear support vector machine (squared hinge), y of -1 and 1, by accelerated
     gradient steps; classes weigh the same."""
     z = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c * 10
-    w = v = np.zeros(z.shape[1])
-    step = 1 / (1 + 4 * weight.sum())
+    weight = weight.astype(np.float32)
+    y = y.astype(np.float32)
+    w = v = np.zeros(z.shape[1], np.float32)
+    step = np.float32(1 / (1 + 4 * weight.sum()))
     for k in range(rounds):
         margin = 1 - y * (z @ v)
-        new = v - step * (v - 2 * z.T @ (weight * y * np.maximum(margin, 0)))
-        v = new + k / (k + 3) * (new - w)
+        new = v - step * (v - 2 * (weight * y * np.maximum(margin, 0)) @ z)
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 

@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is learned: words of labelled documents whose share among toxic ones stands out (G-squared),
-in a strong tier and a weak one. Features are densities of both tiers, proximity of lexicon words to the
+in a strong tier and a weak one, and stems of words, for words that are inflected. Near copies teach once.
+Features are densities of the tiers and stems, proximity of lexicon words to the
 second person, rates of capitals, punctuation and obfuscation (signs or digits inside words, stretched
 letters; an obfuscated word is looked up in its plain form too), and length. Trees are grown on histograms
 in numpy by second-order boosting on at most TRAIN_ROWS labelled documents; pool-adjacent-violators on a
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import crc_mod, prepare, record, slices, texts
 from palisade.llm.quality import labelled
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 THRESHOLD = 0.3
 #: Words of the learned lexicon, at most.
 LEXICON = 400
@@ -39,7 +41,9 @@ STANDS_FOR = bytes.maketrans(b"013457@$!", b"oieastasi")
 LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
 STRETCHED = re.compile(rb"(.)\1{2,}")
 NEAR = 5
-FEATURES = 13
+#: Lengths of stems, in letters.
+STEMS = (4, 5, 6)
+FEATURES = 16
 
 
 def plain(token: bytes) -> bytes:
@@ -58,20 +62,28 @@ def forms(token: bytes) -> tuple[bytes, bytes | None]:
     return low, hidden
 
 
+def stems(word: bytes) -> list[bytes]:
+    """The first letters of a longer word, marked by an asterisk."""
+    letters = word.decode("utf-8", "replace")
+    return [letters[:n].encode() + b"*" for n in STEMS if len(letters) > n]
+
+
 class Lexicon:
-    def __init__(self, strong: set[bytes], weak: set[bytes]) -> None:
-        self.strong, self.weak = strong, weak
+    def __init__(self, strong: set[bytes], weak: set[bytes], stem: set[bytes]) -> None:
+        self.strong, self.weak, self.stem = strong, weak, stem
         self.known: dict[bytes, int] = {}
 
     def __reduce__(self):
-        return Lexicon, (self.strong, self.weak)
+        return Lexicon, (self.strong, self.weak, self.stem)
 
     def code(self, token: bytes) -> int:
-        """Bits: strong, weak, second person, found in a hidden form, obfuscated, capitals."""
+        """Bits: strong, weak, second person, found in a hidden form, obfuscated, capitals, stem."""
         low, hidden = forms(token)
         out = (low in self.strong) | (low in self.weak) << 1 | (low in SECOND_PERSON) << 2
         if hidden and not out & 1 and hidden in self.strong:
             out |= 1 | 8
+        if self.stem and any(s[:-1] in self.stem for s in stems(low)):
+            out |= 64
         return out | bool(hidden) << 4 | (len(low) > 1 and token == token.upper() and low.upper() != low) << 5
 
     def features(self, text: bytes) -> np.ndarray:
@@ -101,47 +113,73 @@ class Lexicon:
         out[:] = (
             share(0), math.log1p(len(strong)), share(1), math.log1p(int((c >> 1 & 1).sum())), near / n, share(2),
             raw[65:91].sum() / size, share(5), (raw[33:48].sum() + raw[58:65].sum()) / size, raw[33] / size,
-            share(4), share(3), math.log1p(n),
+            share(4), share(3), math.log1p(n), share(6), math.log1p(int((c >> 6 & 1).sum())),
+            len({t for t, k in zip(found, codes) if k & 64}) / n,
         )
         return out
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """One of the labelled documents (doc_id, text, label) for each class and smallest hash of a document's
+    words, which near copies share as a rule: so copies teach once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("copy", pa.int64())])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            least = [min(map(zlib.crc32, set(t.split())), default=-1) for t in texts(batch)]
+            yield record(schema, batch.column("doc_id").cast(pa.int64()), batch.column("label"), least)
+
+    kept = docs.mapInArrow(sign, "doc_id long, label double, copy long").groupBy("copy", "label").agg(F.min("doc_id").alias("doc_id"))
+    return docs.join(F.broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
 def learn_lexicon(docs: DataFrame, most: int = LEXICON) -> Lexicon:
-    """From labelled documents (doc_id, text, label): words are counted by document and class in Spark; only
-    the words that stand out, `most` of them, come to the driver. Near copies count once as a rule: what is
-    counted is smallest hashes of documents' words, which copies share."""
-    schema = pa.schema([("word", pa.binary()), ("label", pa.float64()), ("copy", pa.int64())])
+    """From labelled documents (doc_id, text, label): words and stems (first letters of longer words) are
+    counted by document and class in the tasks and added up in Spark; only those that stand out, `most` at
+    the most, come to the driver."""
+    schema = pa.schema([("word", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
         for batch in slices(batches):
             for text, label in zip(texts(batch), batch.column("label").to_pylist()):
-                found = list({w for w in map(plain, set(text.split())) if 2 < len(w) < 40})
-                if found:
-                    yield record(schema, found, [label] * len(found), [min(map(zlib.crc32, found))] * len(found))
-
-    words = docs.mapInArrow(split, "word binary, label double, copy long")
-    totals = {r.label: float(r.n) for r in words.groupBy("label").agg(F.count_distinct("copy").alias("n")).collect()}
+                found = {w for w in map(plain, set(text.split())) if 2 < len(w) < 40}
+                found |= {s for w in found for s in stems(w)}
+                seen[label < 0.5].update(found)
+        every = list(seen[0].keys() | seen[1].keys())
+        for at in range(0, len(every), 50_000):
+            part = every[at : at + 50_000]
+            yield record(schema, part, [seen[0][w] for w in part], [seen[1][w] for w in part])
+
+    totals = {r.label: float(r.n) for r in docs.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1.0, 0), totals.get(0.0, 0)
     if not pos or not neg:
-        return Lexicon(set(), set())
-    a, b = F.col("a"), F.col("b")
-    n, k = float(pos + neg), a + b
+        return Lexicon(set(), set(), set())
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    n, k = pos + neg, a + b
     term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     g = 2 * (term(a, k * pos / n) + term(b, k * neg / n) + term(pos - a, pos - k * pos / n) + term(neg - b, neg - k * neg / n))
     ranked = (
-        words.distinct()
+        docs.coalesce(8)
+        .mapInArrow(count, "word binary, a long, b long")
         .groupBy("word")
-        .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        .where((a >= 3) & (a / pos > 4 * b / neg))
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        .where((a >= 3) & (a / pos > 2 * b / neg))
         .withColumn("g", g)
-        .where(F.col("g") > 25)
+        .where(F.col("g") > 20)
         .orderBy(F.desc("g"), "word")
         .limit(most)
         .collect()
     )
-    top = ranked[0].g if ranked else 0
-    strong = {bytes(r.word) for r in ranked if r.g >= 0.25 * top}
-    return Lexicon(strong, {bytes(r.word) for r in ranked} - strong)
+    top = max((r.g for r in ranked if not r.word.endswith(b"*")), default=0)
+    words = [(bytes(r.word), r.g) for r in ranked if not r.word.endswith(b"*")]
+    chosen: list[bytes] = []
+    for r in ranked:
+        stem = bytes(r.word)
+        if stem.endswith(b"*") and not any(c.startswith(stem[:-1]) or stem[:-1].startswith(c) for c in chosen):
+            chosen.append(stem[:-1])
+    strong = {w for w, g in words if g >= 0.25 * top}
+    return Lexicon(strong, {w for w, _ in words} - strong, set(chosen))
 
 
 class Trees:
@@ -246,7 +284,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, learn=None, most: int = TRAIN_ROWS) -> Model:
     prepare(docs.sparkSession)
     learn = crc_mod(4) != 2 if learn is None else learn
-    rows = labelled(docs, labels, "toxic", learn, most).checkpoint()  # at most `most` documents
+    rows = copies(labelled(docs, labels, "toxic", learn, most).checkpoint()).checkpoint()  # at most `most` documents
     lexicon = learn_lexicon(rows)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("x", pa.binary())])
