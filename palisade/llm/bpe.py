@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,8 +37,10 @@ from palisade.llm.common import prepare, record, slices, texts
 #: The pattern by which byte-level BPE pre-splits, and white space as it sees it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Chunks that a worker remembers.
-REMEMBERED = 300_000
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: Chunks, and words, that a worker remembers.
+REMEMBERED = 400_000
+TOKEN = 256
 
 
 def byte_names() -> dict[str, int]:
@@ -60,10 +63,13 @@ class Automaton:
             u, v, w = vocabulary[u], vocabulary[v], vocabulary[u + v]
             self.gadget[u << 20 | v] = rank
             self.made.setdefault(w, (rank, u, v))
-        self.longest: dict[bytes, int] = {}
-        for b in self.ids:
-            for k in (1, 2, 3):
-                self.longest[b[:k]] = max(len(b), self.longest.get(b[:k], 0))
+        # arcs by the bytes of their labels: nested dicts by byte, the token under TOKEN
+        self.arcs: dict = {}
+        for b, i in self.ids.items():
+            node = self.arcs
+            for byte in b:
+                node = node.setdefault(byte, {})
+            node[TOKEN] = i
         self.table: dict[int, bool] = {}
 
     def open(self, state: int, arc: int) -> bool:
@@ -97,34 +103,47 @@ class Automaton:
         whole = self.ids.get(word)
         if whole is not None and (whole not in self.made or self._single(whole)):
             return [whole]
-        longest, get, n = self.longest, self.ids.get, len(word)
+        arcs, table, n = self.arcs, self.table, len(word)
         path: list[int] = []
         ends = [0]
+        tries: list[list[int]] = []  # arcs not tried yet at each place of the path, the longest last
         dead: set[int] = set()
-        at = 0
-        limit = n
+        at, new = 0, True
         while at < n:
-            top = longest.get(word[at : at + 3]) or longest.get(word[at : at + 2]) or longest[word[at : at + 1]]
-            end = min(n, at + top, limit)
-            if at + 3 > n or word[at : at + 3] not in longest:
-                end = min(end, at + 2)
-            while end > at:
-                if end not in dead:
-                    token = get(word[at:end])
-                    if token is not None and (not path or self.open(path[-1], token)):
+            if new:
+                open_, node = [], arcs
+                for end in range(at, n):
+                    node = node.get(word[end])
+                    if node is None:
                         break
-                end -= 1
-            if end > at:
+                    token = node.get(TOKEN)
+                    if token is not None:
+                        open_.append((token, end + 1))
+                tries.append(open_)
+            open_ = tries[-1]
+            while open_:
+                token, end = open_.pop()
+                if end in dead:
+                    continue
+                if path:
+                    key = path[-1] << 20 | token
+                    ok = table.get(key)
+                    if ok is None:
+                        ok = self.open(path[-1], token)
+                    if not ok:
+                        continue
                 path.append(token)
                 ends.append(end)
-                at, limit = end, n
+                at, new = end, True
+                break
             else:
-                dead.add(at)
                 if not path:
                     raise ValueError("a byte without a token")
+                dead.add(at)
+                tries.pop()
                 path.pop()
                 ends.pop()
-                limit, at = at - 1, ends[-1]
+                at, new = ends[-1], False
         return path
 
     def _single(self, token: int) -> bool:
@@ -145,14 +164,21 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label = dict(self.automaton.label)
         self.label.update({i: t.encode() for t, i in self.special.items()})
-        self.name = {i: str(i) for i in self.label}
+        top = max(self.label) + 1
+        self.names = [str(i) for i in range(top)]
+        self.labels = [self.label.get(i, b"") for i in range(top)]
+        self.number = list(range(top))  # one object for each id, shared by all that is remembered
         ordered = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if ordered else None
         self.split = regex.compile(PATTERN)
+        self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII)  # the same on ASCII
         # a token never goes on from other characters to white space, so such chunks encode on their own
-        self.chunk = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.chunk = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+        # what is remembered, in two ages: what is used again outlives the older one
+        self.known: dict[str, list[int]] = {}
+        self.known_before: dict[str, list[int]] = {}
         self.words: dict[str, list[int]] = {}
+        self.words_before: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
         if self.cut and any(t in text for t in self.special):
@@ -167,30 +193,38 @@ class Tokenizer:
 
     def _encode(self, text: str, out: list[int]) -> list[int]:
         known, words = self.known, self.words
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(known) > REMEMBERED // 2:
+            self.known, self.known_before = known, _ = {}, known
         if len(words) > REMEMBERED:
-            words.clear()
-        if len(self.automaton.table) > 8 * REMEMBERED:
+            self.words, self.words_before = words, _ = {}, words
+        if len(self.automaton.table) > 4 * REMEMBERED:
             self.automaton.table.clear()
         for chunk in self.chunk.findall(text):
             ids = known.get(chunk)
             if ids is None:
-                ids = []
-                for word in self.split.findall(chunk):
-                    found = words.get(word)
-                    if found is None:
-                        found = self.automaton.encode(word.encode())
-                        if len(word) < 64:
-                            words[word] = found
-                    ids += found
+                ids = self.known_before.get(chunk)
+                if ids is None:
+                    ids = self._words(chunk)
                 if len(chunk) < 64:
-                    known[chunk] = tuple(ids)
+                    known[chunk] = ids
             out += ids
         return out
 
+    def _words(self, chunk: str) -> list[int]:
+        words, ids = self.words, []
+        for word in (self.split_ascii if chunk.isascii() else self.split).findall(chunk):
+            found = words.get(word)
+            if found is None:
+                found = self.words_before.get(word)
+                if found is None:
+                    found = [self.number[i] for i in self.automaton.encode(word.encode())]
+                if len(word) < 64:
+                    words[word] = found
+            ids += found
+        return ids
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.label.__getitem__, ids))
+        return b"".join(map(self.labels.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -232,7 +266,7 @@ def report(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        name = t.name.__getitem__
+        name = t.names.__getitem__
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in slices(batches):
             counts, ids_, texts_ = [], [], []

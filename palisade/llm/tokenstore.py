@@ -25,8 +25,10 @@ null ids come first. A null or empty text is a document of the end id alone. No
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +44,10 @@ from palisade.llm.common import prepare, record, shared_path, slices
 END_ID = 1
 MAGIC = b"PLSDTOK1"
 #: Pieces of text that a worker remembers with their ids.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: ASCII without apostrophes, which the pre-tokenizer cuts by a rule of their own; its words.
+PLAIN = re.compile(rb"[!-&(-~]+")
+WORDS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _U = np.uint64
 
 
@@ -155,10 +160,12 @@ def put(fs, path: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-class Pieces:
-    """A tokenizer of the tokenizers library behind a memory of pieces between ASCII white space. For
-    vocabularies whose normalizer and pre-tokenizer drop white space, a text's ids are those of its pieces,
-    one after another."""
+class Pieces(dict):
+    """A tokenizer of the tokenizers library behind a memory of pieces between ASCII white space, in lower
+    case. For vocabularies whose normalizer and pre-tokenizer drop white space and case, a text's ids are those
+    of its pieces, one after another. Runs of letters or of signs within an ASCII piece are words to the
+    pre-tokenizer, so they go to the library's model as such; all else goes through the whole library, and so
+    do texts in which a special token may be."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,19 +174,36 @@ class Pieces:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.before: dict[bytes, bytes] = {}  # what is used again outlives this
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        """Ids of a piece, which is remembered from now on."""
+        out = self.before.get(piece)
+        if out is not None:
+            pass
+        elif not PLAIN.fullmatch(piece):
+            out = self.packed(self.library.encode(piece.decode(), add_special_tokens=False).ids)
+        elif len(words := WORDS.findall(piece)) > 1:
+            out = b"".join(map(self.__getitem__, words))
+        else:
+            out = self.packed([t.id for t in self.model.tokenize(piece.decode())])
+        self[piece] = out
+        return out
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        split = [x.split() for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for s in split for p in s if p not in self.known})
-        known, kind = self.known, f"<u{self.width}"
-        for e, p in zip(self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), new):
-            known[p] = np.array(e.ids, dtype=kind).tobytes()
-        end = np.array([end_id], dtype=kind).tobytes()
-        return [b"".join(map(known.__getitem__, s)) + end for s in split]
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        end, get = self.packed([end_id]), self.__getitem__
+        return [
+            (self.packed(self.library.encode(x.decode(), add_special_tokens=False).ids) if b"<|" in x else b"".join(map(get, x.lower().split()))) + end
+            for x in texts
+        ]
 
 
 @lru_cache(maxsize=2)
