@@ -3,12 +3,12 @@
 Vectors become integers, floor(1024 x) by component. Each shard of candidates is indexed by dimension: the
 postings of a dimension are its vectors in order of their component (the impact), cut into segments of one
 quantised impact (a multiple of STEP). A query processes segments of all dimensions by descending quantised
-contribution |q_d * impact|, level by level, adding the segment's contribution to the accumulators of its
+contribution |q_d * impact|, one level of contributions after another, adding the segment's contribution to the accumulators of its
 postings. After each level, what is still unread can change a score by no more than a proven amount: the
 largest unread contributions of all dimensions, and what quantising has left off. A candidate whose upper
 bound is under the k-th lower bound is out; once few enough are left (or nothing is unread) those are scored
 exactly. The k-th best exact score so far of the query, from the shards before, counts as a lower bound too.
-Nothing is approximate: without proof, reading goes on to the end.
+Accumulators are sums of integers below 2**53, so they are exact. Nothing is approximate: without proof, reading goes on to the end.
 
 Queries are a stated set, met by the candidates in blocks: QUERY_BLOCK queries are broadcast at a time, so
 the broadcast has a bound whatever the number of queries. A task returns its k best of each query; the final
@@ -41,51 +41,57 @@ FEW = 1 / 64
 
 
 class Index:
-    """Impact-ordered postings of a shard."""
+    """Impact-ordered postings of a shard: by dimension, vectors in order of their quantised impact, and where
+    each segment (the postings of one impact) begins."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
         level = np.floor_divide(x, STEP)
-        self.order = np.ascontiguousarray(np.argsort(level, axis=0, kind="stable").T.astype(np.int32))
-        by = np.take_along_axis(level.T, self.order, axis=1)
-        self.impact = by * STEP + STEP // 2
-        self.low, self.high = self.impact[:, 0], self.impact[:, -1]
+        self.base = int(level.min()) if len(x) else 0
+        order = np.argsort(level, axis=0, kind="stable")
+        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        by = np.ascontiguousarray(np.take_along_axis(level, order, axis=0).T)
+        self.impact = (by * STEP + STEP // 2).astype(np.float64)
+        count = int(level.max()) - self.base + 1 if len(x) else 0
+        self.starts = np.array([np.searchsorted(row, np.arange(self.base, self.base + count + 1)) for row in by])
+        self.count = count
 
     def top(self, q: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and exact scores of the k best, ties to the smaller id; fewer if `floor`, a score that k
         others reach, rules them out."""
-        n = len(self.ids)
-        score = np.zeros(n, dtype=np.int64)
-        rounding = int(np.abs(q).sum()) * (STEP // 2)  # |x - impact| is at most half a step
-        most = np.maximum(np.abs(q * self.low), np.abs(q * self.high))
-        largest = int(most.max()) if len(most) else 0
+        n, size = len(self.ids), np.abs(q)
+        score = np.zeros(n)
+        rounding = float(size.sum()) * (STEP // 2)  # |x - impact| is at most half a step
+        dims = np.arange(len(q))
+        most = size * np.maximum(np.abs(self.impact[:, 0]), np.abs(self.impact[:, -1]))
+        others = self.ids != own
         lo, hi = np.zeros(len(q), dtype=np.int64), np.full(len(q), n)  # unread: order[d, lo:hi]
-        possible = None
+        lo[q == 0] = n
         for part in LEVELS:
-            bar = part * largest
-            for d in np.nonzero((q != 0) & (most >= bar))[0]:
-                # segments are contiguous: the largest impacts at one end, the smallest at the other
-                limit = bar / abs(q[d])
-                a = max(int(lo[d]), int(np.searchsorted(self.impact[d], -limit, "right"))) if part else int(hi[d])
-                b = min(int(hi[d]), int(np.searchsorted(self.impact[d], limit, "left"))) if part else int(hi[d])
-                b = max(a, b)
-                for s, e in ((int(lo[d]), a), (b, int(hi[d]))):
-                    if e > s:
-                        score[self.order[d, s:e]] += q[d] * self.impact[d, s:e]
-                lo[d], hi[d] = a, b
+            # segments whose contribution is at least this much: the largest impacts at either end
+            bar = part * float(most.max())
+            limit = bar / np.maximum(size, 1)
+            below = np.floor((-limit - STEP // 2) / STEP).astype(np.int64) - self.base + 1
+            above = np.ceil((limit - STEP // 2) / STEP).astype(np.int64) - self.base
+            a = self.starts[dims, np.clip(below, 0, self.count)] if part else hi
+            b = self.starts[dims, np.clip(above, 0, self.count)] if part else hi
+            a = np.clip(a, lo, hi)
+            b = np.clip(b, a, hi)
+            reads = [(d, s, e) for d in np.nonzero((a > lo) | (hi > b))[0] for s, e in ((lo[d], a[d]), (b[d], hi[d])) if e > s]
+            if reads:
+                at = np.concatenate([self.order[d, s:e] for d, s, e in reads])
+                score += np.bincount(at, np.concatenate([q[d] * self.impact[d, s:e] for d, s, e in reads]), n)
+            lo, hi = a, b
             # unread segments of a dimension lie between its impacts at lo and hi - 1
-            some = (hi > lo) & (q != 0)
-            ends = np.stack([q[some] * self.impact[some, lo[some]], q[some] * self.impact[some, hi[some] - 1]]) if some.any() else np.zeros((2, 0), np.int64)
-            up = int(np.maximum(ends.max(axis=0), 0).sum()) + rounding
-            down = int(np.minimum(ends.min(axis=0), 0).sum()) - rounding
-            others = self.ids != own
-            if others.sum() > k:
-                kth = int(np.partition(score[others], -k)[-k]) + down
-                bound = kth if floor is None else max(kth, floor)
-            else:
-                bound = floor
-            possible = np.nonzero(others)[0] if bound is None else np.nonzero(others & (score + up >= bound))[0]
-            if not some.any() or len(possible) <= max(4 * k, n * FEW):
+            some = np.nonzero(hi > lo)[0]
+            ends = np.stack([q[some] * self.impact[some, lo[some]], q[some] * self.impact[some, hi[some] - 1]])
+            up = float(np.maximum(ends.max(axis=0), 0).sum()) + rounding
+            down = float(np.minimum(ends.min(axis=0), 0).sum()) - rounding
+            bound = -np.inf if floor is None else floor
+            if n > k + 1:
+                bound = max(bound, np.partition(score[others], -k)[-k] + down)
+            possible = np.nonzero(others & (score + up >= bound))[0]
+            if not len(some) or len(possible) <= max(4 * k, n * FEW):
                 break
         exact = self.x[possible] @ q
         best = np.lexsort((self.ids[possible], -exact))[:k]
