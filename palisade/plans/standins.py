@@ -46,7 +46,7 @@ dim(event_type, half, branch, branch_order) AS (
 ), br AS (
   SELECT user_id AS clip_id, branch, branch_order,
          CASE WHEN count(*) >= 2 THEN 'ok' ELSE 'unavailable' END AS status,
-         round(quantile_cont(value, 0.5) / (quantile_cont(value, 0.9) + 0.000001), 6) AS score,
+         round(quantile_cont(value, 0.5) / (quantile_cont(value, 0.9) + 0.000001), 3) AS score,
          user_id % 11 <> branch_order AS has_confidence,
          CASE WHEN user_id % 13 = branch_order THEN 'bad' WHEN user_id % 17 = branch_order THEN NULL
               ELSE CAST(round(least(1.0, count(*) / 8.0::DOUBLE), 6) AS VARCHAR) END AS confidence_raw,
@@ -108,7 +108,7 @@ def branch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "branch",
         "branch_order",
         F.when(F.col("n") >= 2, "ok").otherwise("unavailable").alias("status"),
-        F.round(F.col("mid") / (F.col("high") + 0.000001), 6).alias("score"),
+        F.round(F.col("mid") / (F.col("high") + 0.000001), 3).alias("score"),
         (clip % 11 != order).alias("has_confidence"),
         F.when(clip % 13 == order, "bad").when(clip % 17 == order, None).otherwise(F.round(F.least(F.lit(1.0), F.col("n") / 8.0), 6).cast("string")).alias("confidence_raw"),
         F.when(clip % 19 == order, "x").otherwise("1.0").alias("coverage_raw"),
