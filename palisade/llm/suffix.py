@@ -406,7 +406,7 @@ def compared(joined: DataFrame, length: int) -> DataFrame:
             yield from flush()
 
     n = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut_out = joined.where(F.exists("parts", lambda p: p["check"])).mapInArrow(cuts, "h long, rid long, a int, n int, part binary")
+    cut_out = joined.mapInArrow(cuts, "h long, rid long, a int, n int, part binary")
     return cut_out.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "rid long, a int, n int")
 
 
@@ -426,11 +426,11 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = spark.sparkContext.broadcast(hot_anchors(docs, length))
     parts = resolved(gathered(docs, length, hot).repartition(n, "h"), length)
     by_row = parts.groupBy("rid").agg(F.collect_list(F.struct("a", "n", "h", "check")).alias("parts")).checkpoint()
-    # texts are shuffled once for both joins below: Spark reuses the exchange
-    base = docs.repartition(n, "rid")
-    more = compared(base.select("rid", "text").join(by_row, "rid", "left"), length)
-    more = more.groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("more"))
-    return base.join(by_row, "rid", "left").join(more, "rid", "left")
+    # texts are shuffled once: both uses of this join have the same columns and filters, so that Spark reuses
+    # the exchange
+    with_parts = docs.repartition(n, "rid").join(by_row, "rid", "left")
+    more = compared(with_parts, length).groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("more"))
+    return with_parts.join(more, "rid", "left")
 
 
 def cover(batch: pa.RecordBatch, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
