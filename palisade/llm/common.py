@@ -50,6 +50,8 @@ def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     Otherwise rows are sorted by (doc_id, text), nulls first, and numbered; the sorted rows are
     checkpointed, so that a recomputed task sees the same numbers."""
     kept = docs.select("doc_id", *columns)
+    if "rid" in kept.columns:
+        raise ValueError("rid is the name of the row's number")
     again = (
         docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).limit(1).count()
     )
@@ -61,6 +63,19 @@ def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def renamed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns under names that clash with nothing (_0, _1, ...), in their order."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *(docs[f"`{c}`"].alias(f"_{k}") for k, c in enumerate(others)))
+
+
+def named(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """renamed(like)'s columns back under like's names and in its order."""
+    others = [c for c in like.columns if c not in ("doc_id", "text")]
+    new = {c: f"_{k}" for k, c in enumerate(others)}
+    return docs.select(*(docs[new.get(c, c)].alias(c) for c in like.columns))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return batch.column(column).cast(pa.binary()).fill_null(b"").to_pylist()

@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, most: int = TRAIN_ROWS)
     vectors = word_vectors(context_vectors(docs))
     shared = spark.sparkContext.broadcast(vectors)
     rows = sorted(features(labelled(docs, labels, "quality", learn, most), shared).collect())
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], dtype=np.float64).reshape(len(rows), vectors.shape[1] + 1)
     return Model(vectors, Network().fit(x, np.array([r.label for r in rows])))
 
 

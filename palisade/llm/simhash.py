@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import prepare, record, slices, texts
+from palisade.llm.common import named, numbered, prepare, record, renamed, slices, texts
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints of a shard beyond which it is split again.
@@ -283,7 +283,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one of the smallest doc_id. Of rows that repeat a
-    doc_id that stays, all stay; rows without a doc_id stay where their group has no id at all."""
-    keep = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """docs, with all columns, with one row of each group: the first by doc_id, nulls first, then by text."""
+    held = numbered(renamed(docs), "text", *(f"_{k}" for k in range(len(docs.columns) - 2)))
+    groups = classes(held.select(F.col("rid").alias("doc_id"), "text"))
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("rid"))
+    return named(held.join(keep, "rid", "left_semi"), docs)

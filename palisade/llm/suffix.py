@@ -11,7 +11,7 @@ two 64-bit hashes (its anchor's, h, and g of the run's own bytes, length and anc
    equal windows anywhere and is dropped.
 2. What is left are different runs under one h. One representative of each is cut out of its text and goes,
    by h, to shards of at most SHARD bytes. A shard gets a suffix array by Larsson-Sadakane refinement (only
-   groups not yet sorted, prefix length doubling from 8) and common prefixes by Kasai's rule, run in
+   groups not yet sorted, prefix length doubling from 7) and common prefixes by Kasai's rule, run in
    lanes over the text. Suffixes in a row with LENGTH common bytes are equal windows; all but the earliest are
    repeats.
 3. A group under one h that a shard's end cuts is merged across shards: the windows of the later shard are
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import numbered, prepare, record, slices, texts
+from palisade.llm.common import named, numbered, prepare, record, renamed, slices, texts
 from palisade.llm.decontaminate import powers
 
 LENGTH, GRAM = 100, 24
@@ -234,17 +234,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes in order, by Larsson-Sadakane refinement: each round sorts only the groups whose members still
     agree, by the rank of what follows. To the end, as Kasai's rule needs the true order."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    # seven bytes to a key, nine bits each, so that the end of the text is less than any byte
+    padded = np.concatenate([text.astype(np.uint64) + _U(1), np.zeros(7, np.uint64)])
     key = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        key = key << _U(8) | padded[k : k + n].astype(np.uint64)
+    for k in range(7):
+        key = key << _U(9) | padded[k : k + n]
     order = np.argsort(key, kind="stable")
     s = key[order]
     first = np.concatenate([[True], s[1:] != s[:-1]])
     rank = np.empty(n, dtype=np.int64)
     at = np.arange(n)
     rank[order] = np.maximum.accumulate(np.where(first, at, 0))  # a group's number is where it begins
-    h = 8
+    h = 7
     while h < n:
         # places of groups of more than one
         last = np.concatenate([first[1:], [True]])
@@ -474,9 +475,9 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, all columns and rows, without repeated bytes; what is left of cut characters goes too. n_chars,
     where there is such a column, follows the text. A null text stays null."""
-    names = docs.columns
-    others = [c for c in names if c not in ("doc_id", "text")]
-    kind = docs.schema
+    held = numbered(renamed(docs), "text", *(f"_{k}" for k in range(len(docs.columns) - 2)))
+    kind = held.drop("rid").schema
+    names = kind.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -490,8 +491,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(out, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    held = numbered(docs, "text", *others)
-    out = marked(held, length).mapInArrow(run, kind)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*names)
+    out = named(marked(held, length).mapInArrow(run, kind), docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

@@ -8,13 +8,14 @@ postings. After each level, what is still unread can change a score by no more t
 largest unread contributions of all dimensions, and what quantising has left off. A candidate whose upper
 bound is under the k-th lower bound is out; once few enough are left (or nothing is unread) those are scored
 exactly. The k-th best exact score so far of the query, from the shards before, counts as a lower bound too.
-Accumulators are sums of integers below 2**53, so they are exact. Nothing is approximate: without proof, reading goes on to the end.
+Nothing is approximate: without proof, reading goes on to the end.
 
 Queries are a stated set, met by the candidates in blocks: QUERY_BLOCK queries are broadcast at a time, so
 the broadcast has a bound whatever the number of queries. A task returns its k best of each query; the final
 ranks come from a window over those.
 
-Vectors that are null, or hold null, non-finite or no components, take no part; those of another length than
+Vectors that are null, or hold null, non-finite or no components, or one beyond 2**18 (whose products don't fit a
+long), take no part; those of another length than
 a query's share the score 0 with nobody: they are not its candidates. Rows with a null vec_id take no part.
 Rows that repeat a vec_id are candidates each (but not for the query of their own id), queries once (the
 smallest vector of the id); ties go to the smaller vec_id.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from palisade.llm.common import prepare, record
 
 SCALE, K, EVERY = 1024, 10, 100
+#: Largest component that takes part: products of integers up to 2**28 fit a long.
+LARGEST = 2.0**18
 #: Width of a quantised impact, queries of one broadcast block, candidates of one shard.
 STEP, QUERY_BLOCK, SHARD = 8, 20_000, 65_536
 #: A level reads segments of contributions down to this share of the largest; 0 reads all.
@@ -61,10 +64,13 @@ class Index:
         others reach, rules them out."""
         n, size = len(self.ids), np.abs(q)
         score = np.zeros(n)
-        rounding = float(size.sum()) * (STEP // 2)  # |x - impact| is at most half a step
+        # |x - impact| is at most half a step; sums beyond 2**53 lose their last bits
+        rounding = float(size.sum()) * (STEP // 2)
         dims = np.arange(len(q))
         most = size * np.maximum(np.abs(self.impact[:, 0]), np.abs(self.impact[:, -1]))
+        rounding += float(most.sum()) * len(q) * 2.0**-50
         others = self.ids != own
+        rivals = int(others.sum())
         lo, hi = np.zeros(len(q), dtype=np.int64), np.full(len(q), n)  # unread: order[d, lo:hi]
         lo[q == 0] = n
         for part in LEVELS:
@@ -88,7 +94,7 @@ class Index:
             up = float(np.maximum(ends.max(axis=0), 0).sum()) + rounding
             down = float(np.minimum(ends.min(axis=0), 0).sum()) - rounding
             bound = -np.inf if floor is None else floor
-            if n > k + 1:
+            if rivals > k:
                 bound = max(bound, np.partition(score[others], -k)[-k] + down)
             possible = np.nonzero(others & (score + up >= bound))[0]
             if not len(some) or len(possible) <= max(4 * k, n * FEW):
@@ -101,8 +107,9 @@ class Index:
 def integers(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of longs): vectors that take part."""
     x = F.transform("embedding", lambda c: F.floor(c.cast("double") * SCALE))
-    finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0)).select("vec_id", x.alias("v"))
+    finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) <= LARGEST))
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0))
+    return kept.select("vec_id", x.alias("v"))
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
