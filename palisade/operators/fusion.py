@@ -33,7 +33,8 @@ def branch_dim(spark) -> DataFrame:
 
 
 def unit(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """x held to [0, 1]; null stays null, which greatest and least alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def weighed(branches: DataFrame, clips: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def fuse(branches: DataFrame, clips: DataFrame) -> DataFrame:
     six = lambda c: F.round(F.col(c), 6)
     return df.select(
         "clip_id", "evidence_set", label.alias("label"), six("final").alias("score"), F.col("independent").alias("group_count"),
-        F.coalesce(F.round(F.least(F.lit(1.0), "coverage"), 6), F.lit(0.0)).alias("evidence_coverage"),
+        F.coalesce(F.round(unit(F.col("coverage")), 6), F.lit(0.0)).alias("evidence_coverage"),
         six("mid").alias("stable_anomaly_score"), six("group_mad").alias("robust_group_mad"), six("disagreement").alias("group_score_range"),
         "group_score_p10", "group_score_p90", F.coalesce(six("penalty"), F.lit(0.0)).alias("disagreement_penalty"),
         six("instability").alias("instability_score"), six("positive_evidence_score").alias("positive_evidence_score"),

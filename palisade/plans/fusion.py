@@ -74,10 +74,10 @@ b AS (
 _SELECT = """
 SELECT clip_id, evidence_set,
   CASE WHEN abstain THEN 'abstain-insufficient-evidence' WHEN final < 0.3 THEN 'low-anomaly-signal' WHEN final < 0.62 THEN 'mixed-anomaly-signal' ELSE 'high-anomaly-signal' END AS label,
-  round(final, 6) AS score, CAST(coalesce(g, 0) AS INTEGER) AS group_count, coalesce(round(least(1.0, cov), 6), 0) AS evidence_coverage, round(mid, 6) AS stable_anomaly_score,
+  round(final, 6) AS score, CAST(coalesce(g, 0) AS INTEGER) AS group_count, CASE WHEN nothing THEN 0 ELSE round(least(1.0, cov), 6) END AS evidence_coverage, round(mid, 6) AS stable_anomaly_score,
   round(mad, 6) AS robust_group_mad, round(dis, 6) AS group_score_range, round(p10, 6) AS group_score_p10, round(p90, 6) AS group_score_p90,
   CASE WHEN nothing THEN 0 ELSE round(greatest(0.0, least(1.0, (dis - 0.35) / 0.65)), 6) END AS disagreement_penalty,
-  round(greatest(0.0, least(1.0, 0.6 * dis + 0.4 * least(1.0, mad * 4))), 6) AS instability_score, round(pes, 6) AS positive_evidence_score, qso AS quality_sensitive_only,
+  CASE WHEN NOT nothing THEN round(greatest(0.0, least(1.0, 0.6 * dis + 0.4 * least(1.0, mad * 4))), 6) END AS instability_score, round(pes, 6) AS positive_evidence_score, qso AS quality_sensitive_only,
   prov IS NOT NULL AND prov AS provisional_positive,
   CASE WHEN nothing THEN 'no-supported-groups' WHEN prov THEN 'independent-groups-stable-consensus' WHEN g < 2 THEN 'fewer-than-two-independent-groups'
        WHEN only_quality THEN 'quality-sensitive-evidence-only' WHEN nfq THEN 'non-face-quality-evidence-only' WHEN cov < 0.4 THEN 'insufficient-supported-coverage'
