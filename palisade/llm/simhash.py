@@ -35,6 +35,8 @@ from palisade.llm.common import named, numbered, prepare, record, renamed, slice
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints of a shard beyond which it is split again.
 SHARD_MOST = 4096
+#: Pairs of a query and a node that are looked at together.
+FRONTIER = 200_000
 
 
 def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
@@ -100,21 +102,27 @@ class Forest:
 
     def links(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, member) within the radius, for queries that start at given roots."""
-        query, node = queries, roots
-        while len(query):
+        # depth first over parts of the frontier, so that memory doesn't grow with groups that lie close together
+        todo = [(queries, roots)]
+        while todo:
+            query, node = todo.pop()
+            if len(query) > FRONTIER:
+                todo += [(query[k : k + FRONTIER], node[k : k + FRONTIER]) for k in range(0, len(query), FRONTIER)]
+                continue
             d = np.bitwise_count(self.fp[query] ^ self.fp[self.pivot[node]]).astype(np.int64)
             near = d <= radius
             yield query[near], self.pivot[node[near]]
             next_q, next_n = [], []
             for e in range(-radius, radius + 1):
-                key = node * 128 + d + e
-                key = np.where(d + e > 0, key, -1)
+                key = np.where(d + e > 0, node * 128 + d + e, -1)
                 at = np.searchsorted(self.keys, key)
                 ok = at < len(self.keys)
                 ok[ok] = self.keys[at[ok]] == key[ok]
                 next_q.append(query[ok])
                 next_n.append(at[ok] + self.roots)
             query, node = np.concatenate(next_q), np.concatenate(next_n)
+            if len(query):
+                todo.append((query, node))
 
 
 def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
