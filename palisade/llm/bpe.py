@@ -39,7 +39,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = r"\t-\r \x85\xa0  -     　"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Chunks, and words, that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 TOKEN = 256
 
 
