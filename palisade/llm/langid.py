@@ -14,18 +14,18 @@ language to learn, all is `und`; with one, all that has letters is that one with
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import crc_mod, prepare, record, slices
 
 SIZE, TRAIN_ROWS, UNKNOWN = 2048, 4000, "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _TABLE = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 _MULTIPLIER = np.uint32(2654435761)
 

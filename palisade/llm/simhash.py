@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import named, numbered, prepare, record, renamed, slices, texts
+from palisade.llm.common import named, numbered, partitions, prepare, record, renamed, slices, texts
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints of a shard beyond which it is split again.
@@ -213,8 +213,9 @@ def _split(rows: DataFrame, free: list[int], radius: int) -> tuple[DataFrame, li
     return out.select("fp", shard.alias("shard"), F.col("e.mask").alias("mask")), left
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
-    """a and b: fingerprints that belong together, enough of the links to connect all that link."""
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
+    """a and b: fingerprints that belong together, enough of the links to connect all that link. Shards are dealt
+    over n partitions."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) ->
 
     # two shards under one 64-bit key merely make one larger tree
     keyed = shards(distinct, radius, most).select("fp", F.xxhash64("shard").alias("key"))
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -273,7 +273,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) -> Da
     """doc_id, fp and component_id (smallest doc_id reachable by links), one row per row of docs."""
     own = fingerprints(docs).checkpoint()
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"), radius, most))
+    roots = components(links(distinct.select("fp"), partitions(docs, 1 << 30), radius, most))
     named = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     # joins to rows on fp: copies in their thousands meet one row of the other side, which AQE splits
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

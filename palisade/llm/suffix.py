@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import named, numbered, prepare, record, renamed, slices, texts
+from palisade.llm.common import named, numbered, partitions, prepare, record, renamed, slices, texts
 from palisade.llm.decontaminate import powers
 
 LENGTH, GRAM = 100, 24
@@ -362,8 +362,9 @@ class Shards:
 _SPANS = pa.schema([("rid", pa.int64()), ("a", pa.int32()), ("n", pa.int32())])
 
 
-def compared(joined: DataFrame, length: int) -> DataFrame:
-    """Repeated stretches (rid, n bytes from a) among the representatives that documents (rid, text, parts) carry."""
+def compared(joined: DataFrame, length: int, n: int) -> DataFrame:
+    """Repeated stretches (rid, n bytes from a) among the representatives that documents (rid, text, parts) carry,
+    in n partitions."""
     cut = pa.schema([("h", pa.int64()), ("rid", pa.int64()), ("a", pa.int32()), ("n", pa.int32()), ("part", pa.binary())])
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +407,6 @@ def compared(joined: DataFrame, length: int) -> DataFrame:
         if held:
             yield from flush()
 
-    n = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut_out = joined.mapInArrow(cuts, "h long, rid long, a int, n int, part binary")
     return cut_out.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "rid long, a int, n int")
 
@@ -423,14 +423,14 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     (n bytes from a; those of parts with `check` don't count)."""
     spark = docs.sparkSession
     prepare(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(docs)
     hot = spark.sparkContext.broadcast(hot_anchors(docs, length))
     parts = resolved(gathered(docs, length, hot).repartition(n, "h"), length)
     by_row = parts.groupBy("rid").agg(F.collect_list(F.struct("a", "n", "h", "check")).alias("parts")).checkpoint()
     # texts are shuffled once: both uses of this join have the same columns and filters, so that Spark reuses
     # the exchange
     with_parts = docs.repartition(n, "rid").join(by_row, "rid", "left")
-    more = compared(with_parts, length).groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("more"))
+    more = compared(with_parts, length, n).groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("more"))
     return with_parts.join(more, "rid", "left")
 
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import prepare, record, shared_path, slices
+from palisade.llm.common import partitions, prepare, record, shared_path, slices
 
 END_ID = 1
 MAGIC = b"PLSDTOK1"
@@ -216,7 +216,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     shard, path, rows, n_ids, start)."""
     spark = docs.sparkSession
     prepare(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or partitions(docs)
     if path.startswith("file:") or "://" not in path:
         fs, local = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
         fs.create_dir(local)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import prepare, record
+from palisade.llm.common import partitions, prepare, record
 
 SCALE, K, EVERY = 1024, 10, 100
 #: Largest component that takes part: products of integers up to 2**28 fit a long.
@@ -173,8 +173,7 @@ def _search(candidates: DataFrame, queries: list, k: int) -> DataFrame:
             if len(ids):
                 yield record(schema, [query] * len(ids), ids, score)
 
-    n = max(1, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return candidates.repartition(n).mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.repartition(partitions(candidates)).mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def report(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
