@@ -6,7 +6,7 @@ square root and scaled to length one. Languages are grouped into families by ave
 their mean vectors, down to about the square root of their number. A linear machine for each family (against
 the others) picks the family; within it each pair of languages has a machine and the most votes win, ties
 to the larger sum of margins. Machines are fitted in numpy on at most TRAIN_ROWS documents (those of the
-smallest hash of doc_id and, so that rare languages are among them, at most TRAIN_ROWS / 16 of each first).
+smallest hash of doc_id and, so that rare languages are among them, about TRAIN_ROWS / 16 of each first).
 
 A null text, or one without a letter, is `und` with score 0. Rows with a null lang teach nothing. With no
 language to learn, all is `und`; with one, all that has letters is that one with score 1.
@@ -133,17 +133,11 @@ def fit(docs: DataFrame, learn=None, most: int = TRAIN_ROWS) -> Model:
     learn = crc_mod(3) != 1 if learn is None else learn
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     # ids are chosen without their texts: a share of each language first, then the smallest hashes
-    by_lang = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    over = Window.partitionBy("lang").orderBy("h", "doc_id")
+    # each language in 64 parts by hash, of each of which Spark keeps the first ranks before it shuffles
+    by_part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
-    some = ids.withColumn("k", F.row_number().over(by_lang)).where(F.col("k") <= most // 16)
-    chosen = (
-        some.withColumn("rank", F.row_number().over(over))
-        .orderBy((F.col("rank") > most // 16), "h", "doc_id")
-        .limit(most)
-        .select("doc_id")
-        .distinct()
-    )
+    some = ids.withColumn("k", F.row_number().over(by_part)).where(F.col("k") <= most // 16)
+    chosen = some.orderBy(F.col("k") > most // 1024 + 1, "h", "doc_id").limit(most).select("doc_id").distinct()
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
