@@ -82,6 +82,26 @@ def content(frame: np.ndarray, dark: float = 8.0, aspect: float = 16 / 9) -> np.
     return box_resize(frame, 144, 256)
 
 
+def gray(pixels: np.ndarray) -> np.ndarray:
+    """Grey values of blue-green-red pixels (last axis)."""
+    return pixels.astype(np.float64) @ np.array([0.114, 0.587, 0.299])
+
+
+def divergence(flow: np.ndarray) -> float:
+    """Median size of the divergence of a flow field (height, width, 2), by Sobel differences."""
+    def sobel(a: np.ndarray, axis: int) -> np.ndarray:
+        wide = np.pad(a, 1, mode="reflect")
+        smooth = np.take(wide, range(a.shape[1 - axis]), axis=1 - axis) + 2 * np.take(wide, range(1, a.shape[1 - axis] + 1), axis=1 - axis) + np.take(wide, range(2, a.shape[1 - axis] + 2), axis=1 - axis)
+        return np.take(smooth, range(2, a.shape[axis] + 2), axis=axis) - np.take(smooth, range(a.shape[axis]), axis=axis)
+
+    return float(np.median(np.abs(sobel(flow[..., 0], 1) + sobel(flow[..., 1], 0))))
+
+
+def occlusion(forward: np.ndarray, backward: np.ndarray, bound: float = 1.5) -> float:
+    """Share of pixels whose flow there and back doesn't cancel out."""
+    return float((np.hypot(*(forward + backward).reshape(-1, 2).T) > bound).mean())
+
+
 def hue_saturation(pixels: np.ndarray) -> np.ndarray:
     """A 16 x 8 histogram of hue and saturation of (n, 3) blue-green-red values, which sums to one."""
     b, g, r = (pixels[:, k].astype(np.float64) for k in range(3))

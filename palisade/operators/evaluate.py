@@ -210,3 +210,21 @@ def class_medians(df: DataFrame) -> DataFrame:
     of = lambda e: F.round(F.percentile(F.when(F.col("expected") == e, F.col("score")), F.lit(0.5)), 6)
     out = rows.agg(of("positive").alias("positive_median"), of("negative").alias("negative_median"))
     return out.withColumn("gap", F.round(F.col("positive_median") - F.col("negative_median"), 6))
+
+
+def audit(df: DataFrame, positive: float = POSITIVE, negative: float = NEGATIVE) -> DataFrame:
+    """The whole evaluation as one row of nested structs: thresholds, metrics, ranking and class medians. What
+    goes by report (decisions) or by threshold (operating points) stays a table of its own."""
+    judged = classify(df, positive, negative)
+    counts = confusion(judged)
+    ranks = rank_metrics(judged.select("name", "expected", "score"), [])
+    medians = class_medians(df)
+    kinds = judged.agg(
+        F.count_if(F.col("decision_kind") == "provisional-positive").alias("provisional_positive_count"),
+        F.count_if(~F.coalesce(F.col("expected").isin("positive", "negative"), F.lit(False))).alias("unlabeled_count"),
+    )
+    one = lambda d, name: d.select(F.struct(*d.columns).alias(name))
+    rows = one(counts, "metrics").join(F.broadcast(one(ranks, "ranking")), F.lit(True), "left")
+    rows = rows.join(F.broadcast(one(medians, "medians")), F.lit(True), "left").join(F.broadcast(one(kinds, "counts")), F.lit(True), "left")
+    bounds = F.struct(F.lit(positive).alias("positive"), F.lit(negative).alias("negative"))
+    return rows.select(F.lit("evaluation-4").alias("schema_version"), bounds.alias("thresholds"), "metrics", "ranking", "medians", "counts")

@@ -255,3 +255,10 @@ def forced_bucket(spark, sf_dir):
         hit("positive", "synthetic").alias("true_positive"), hit("negative", "synthetic").alias("false_positive"), hit("negative", "original").alias("true_negative"),
         hit("positive", "original").alias("false_negative"), F.count_if(F.col("expected").isNull() | F.col("bucket").isNull()).alias("unscored"),
     )
+
+
+@query()
+def evaluation_report(spark, sf_dir):
+    """The evaluation as JSON."""
+    out = E.audit(reports(spark, sf_dir))
+    return out.select(F.to_json(F.struct(*out.columns)).alias("report"))

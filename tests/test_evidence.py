@@ -267,3 +267,11 @@ def test_files(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out").first().v == 0.5
     with pytest.raises(Exception, match="NaN"):
         files.write_reports(spark.createDataFrame([(float("nan"),)], "v double"), f"{tmp_path}/bad")
+
+
+def test_audit(spark):
+    rows = [{"score": 0.9, "expected": "positive"}, {"score": 0.1, "expected": "negative"}, {"score": 0.8}]
+    r = E.audit(reports(spark, *rows)).first()
+    assert r.metrics.tp == r.metrics.tn == 1 and r.counts.unlabeled_count == 1 and r.ranking.auroc == 1.0 and r.medians.gap == 0.8
+    nothing = E.audit(reports(spark, {"score": 0.5})).first()
+    assert nothing.metrics.coverage is None and nothing.counts.unlabeled_count == 1

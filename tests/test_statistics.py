@@ -119,5 +119,10 @@ def test_kernels():
     blocks = np.kron(rng.uniform(0, 255, (4, 6)), np.ones((8, 8)))
     assert kernels.blockiness(blocks) > 100 and kernels.dct_energy(blocks) < 1e-9
     assert np.isclose(kernels.hue_saturation(rng.integers(0, 255, (50, 3))).sum(), 1)
+    y, x = np.mgrid[0:9, 0:9].astype(float)
+    assert kernels.divergence(np.dstack([x, y])) == 16 and kernels.divergence(np.dstack([y, x])) == 0
+    there = np.dstack([x, y])
+    assert kernels.occlusion(there, -there) == 0 and kernels.occlusion(there, there) > 0.9
+    assert kernels.gray(np.full((2, 2, 3), 50)).round(6).tolist() == [[50, 50], [50, 50]]
     rms, centroid, clipped = kernels.sound(0.1 * np.sin(2 * np.pi * 440 * np.arange(2000) / 8000), 8000)
     assert abs(rms - 0.0707) < 0.001 and abs(centroid - 440 / 8000) < 0.005 and clipped == 0
