@@ -61,20 +61,31 @@ def weighed(branches: DataFrame, clips: DataFrame) -> DataFrame:
     )
 
 
-def group_votes(branches: DataFrame, clips: DataFrame) -> DataFrame:
-    """The representative of each clip's evidence groups by set, and its directional vote."""
-    rows = weighed(branches, clips).where(F.col("rejected").isNull() & (F.col("reliability") > 0))
-    rows = rows.withColumn("evidence_set", F.explode("sets"))
+def _by_group(branches: DataFrame, clips: DataFrame) -> DataFrame:
+    """clip_id, evidence_set, grp with r (the representative, null where no branch takes part), group_weight,
+    members, bad (rejected branches)."""
+    rows = weighed(branches, clips).withColumn("evidence_set", F.explode("sets"))
+    able = F.col("rejected").isNull() & (F.col("reliability") > 0)
     pull = F.col("score") * F.col("reliability") * F.col("weight")
-    best = rows.groupBy("clip_id", "evidence_set", "grp").agg(
-        F.max_by(F.struct("branch", "score", "reliability", "weight"), F.struct(pull, -F.col("branch_order"))).alias("r"),
-        F.max("weight").alias("group_weight"),
-        F.count("*").alias("members"),
+    return rows.groupBy("clip_id", "evidence_set", "grp").agg(
+        F.max_by(F.struct("branch", "score", "reliability", "weight"), F.when(able, F.struct(pull, -F.col("branch_order")))).alias("r"),
+        F.max(F.when(able, F.col("weight"))).alias("group_weight"),
+        F.count_if(able).alias("members"),
+        F.collect_list(F.when(F.col("rejected").isNotNull(), F.struct("branch", "rejected"))).alias("bad"),
     )
+
+
+def _direction(score: Column) -> Column:
+    return F.when(score >= 0.5, "positive").when(score <= 0.3, "negative").otherwise("neutral")
+
+
+def group_votes(branches: DataFrame, clips: DataFrame) -> DataFrame:
+    """The representative of each clip's evidence groups by set, and its directional vote."""
     score, reliability = F.col("score"), F.col("reliability")
-    direction = F.when(score >= 0.5, "positive").when(score <= 0.3, "negative").otherwise("neutral")
+    direction = _direction(score)
     strength = F.when(direction == "neutral", 0.0).otherwise(unit(F.abs(score - 0.5) * 2))
-    return best.select("clip_id", "evidence_set", "grp", "r.*", "group_weight", "members").withColumns({
+    found = _by_group(branches, clips).where("members > 0").select("clip_id", "evidence_set", "grp", "r.*", "group_weight", "members")
+    return found.withColumns({
         "direction": direction,
         "vote": F.when(direction == "positive", 1).when(direction == "negative", -1).otherwise(0),
         "supported": reliability >= 0.30,
@@ -82,25 +93,23 @@ def group_votes(branches: DataFrame, clips: DataFrame) -> DataFrame:
     })
 
 
-def _middle(groups: Column, members: Column) -> Column:
-    return F.filter(groups, lambda g: F.array_contains(members, g["grp"]))
-
-
 def fuse(branches: DataFrame, clips: DataFrame) -> DataFrame:
     """One row for each clip and evidence set, also for those without evidence."""
     spark = branches.sparkSession
     sets = spark.createDataFrame([("all",), *((s,) for s in SETS)], "evidence_set string")
     base = clips.select("clip_id", F.coalesce("quality_confounder", F.lit(False)).alias("confounded"), "detection_frames").crossJoin(F.broadcast(sets))
-    votes = group_votes(branches, clips)
-    grouped = votes.groupBy("clip_id", "evidence_set").agg(
-        F.array_sort(F.collect_list(F.struct("grp", "branch", "score", "reliability", "weight", "direction"))).alias("groups"),
+    one = F.struct("grp", "r.branch", "r.score", "r.reliability", "r.weight", _direction(F.col("r.score")).alias("direction"))
+    grouped = _by_group(branches, clips).groupBy("clip_id", "evidence_set").agg(
+        F.array_sort(F.collect_list(F.when(F.col("members") > 0, one))).alias("groups"),
         F.sum("group_weight").alias("total_weight"),
         F.max("members").alias("most_members"),
+        F.flatten(F.collect_list("bad")).alias("bad"),
     )
-    bad = weighed(branches, clips).where(F.col("rejected").isNotNull()).withColumn("evidence_set", F.explode("sets"))
-    bad = bad.groupBy("clip_id", "evidence_set").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("branch", "rejected")))).alias("rejected_branches"))
-    key = ["clip_id", "evidence_set"]
-    df = base.join(grouped, key, "left").join(bad, key, "left")
+    df = base.join(grouped, ["clip_id", "evidence_set"], "left")
+    df = df.withColumns({
+        "groups": F.when(F.size("groups") > 0, F.col("groups")),
+        "rejected_branches": F.when(F.size("bad") > 0, F.map_from_entries(F.array_sort("bad"))),
+    })
 
     # bounded arrays of at most as many groups as there are kinds; steps in an order that lets each use the last
     groups = F.col("groups")

@@ -69,30 +69,44 @@ def decision(cells: DataFrame, groups: DataFrame, windows: int, budgets: int) ->
     cells: clip_id, cell, score, stable_score, provisional; groups: clip_id, cell, grp, score. Also returns
     stable_positive_score, which downstream rules read."""
     scored = cells.where(R.finite("score").isNotNull())
-    base = scored.groupBy("clip_id").agg(
-        F.count("*").alias("n"), R.median("score").alias("score_median"), F.min("score").alias("score_min"), F.max("score").alias("score_max"),
-        F.count_if("provisional").alias("consensus_count"), R.median(F.when(F.col("provisional"), F.col("stable_score"))).alias("consensus_median"),
-    )
-    base = base.withColumns(quorum(F.col("n"), F.lit(windows), F.lit(budgets)))
-    spread = scored.join(base.select("clip_id", "score_median"), "clip_id").groupBy("clip_id").agg(F.percentile(F.abs(F.col("score") - F.col("score_median")), F.lit(0.5)).alias("score_mad"))
-    per_group = group_stability(groups, base)
-    lists = per_group.groupBy("clip_id").agg(
-        F.count_if("negative").alias("negative_groups"), F.count_if("positive").alias("positive_groups"),
-        R.median(F.when(F.col("negative"), F.col("mid"))).alias("stable_negative_score"), R.median(F.when(F.col("positive"), F.col("mid"))).alias("stable_positive_score"),
-    )
-    cell = groups.groupBy("clip_id", "cell").agg(F.count("*").alias("k"), R.median("score").alias("mid"), (F.max("score") - F.min("score")).alias("spread")).where("k >= 2")
-    agree = F.col("spread") <= TOLERANCE
-    windows_ = cell.groupBy("clip_id").agg(F.count_if(agree & (F.col("mid") <= LOW)).alias("negative_count"), F.count_if(agree & (F.col("mid") >= HIGH)).alias("positive_count"))
-    df = base.join(spread, "clip_id").join(lists, "clip_id", "left").join(windows_, "clip_id", "left")
-    df = df.na.fill(0, ["negative_groups", "positive_groups", "negative_count", "positive_count"]).withColumn("score_range", F.col("score_max") - F.col("score_min"))
-    enough = lambda c: (F.col(c) >= F.col("required_count")) & (F.col(c) / F.col("n") >= F.col("required_fraction"))
+    # a clip has as many cells as the grid and a few groups in each: all of a clip's statistics come from these
+    # two bounded arrays, so that cells are gathered once
+    own = scored.groupBy("clip_id").agg(F.collect_list(F.struct("cell", "score", "stable_score", "provisional")).alias("cells"))
+    theirs = groups.groupBy("clip_id").agg(F.collect_list(F.struct("cell", "grp", "score")).alias("groups"))
+    df = own.join(theirs, "clip_id", "left").withColumn("groups", F.coalesce("groups", F.array().cast(theirs.schema["groups"].dataType)))
+    scores = F.col("cells.score")
+    df = df.withColumns({
+        "n": F.size("cells").cast("long"), "score_median": R.array_median(scores), "score_mad": R.array_mad(scores), "score_range": F.array_max(scores) - F.array_min(scores),
+        "agreed": F.filter("cells", lambda x: x["provisional"]),
+    })
+    df = df.withColumns(quorum(F.col("n"), F.lit(windows), F.lit(budgets)))
+
+    def by(key: str) -> Column:
+        """samples, mid and spread of the scores of each value of key."""
+        of = lambda k: F.transform(F.filter("groups", lambda x: x[key] == k), lambda x: x["score"])
+        one = lambda s: F.struct(F.size(s).alias("samples"), R.array_median(s).alias("mid"), (F.array_max(s) - F.array_min(s)).alias("spread"))
+        return F.transform(F.array_distinct(F.col(f"groups.{key}")), lambda k: R.let(of(k), one))
+
+    enough = lambda k: (k >= F.col("required_count")) & (k / F.col("n") >= F.col("required_fraction"))
+    df = df.withColumns({
+        "stable": F.filter(by("grp"), lambda x: enough(x["samples"]) & (x["spread"] <= TOLERANCE)),
+        "windows": F.filter(by("cell"), lambda x: (x["samples"] >= 2) & (x["spread"] <= TOLERANCE)),
+    })
+    low, high = lambda x: x["mid"] <= LOW, lambda x: x["mid"] >= HIGH
+    middle = lambda f: R.array_median(F.transform(F.filter("stable", f), lambda x: F.round(x["mid"], 6)))
+    count = lambda a, f: F.size(F.filter(a, f)).cast("long")
+    df = df.withColumns({
+        "negative_groups": count("stable", low), "positive_groups": count("stable", high), "negative_count": count("windows", low), "positive_count": count("windows", high),
+        "stable_negative_score": middle(low), "stable_positive_score": middle(high),
+        "consensus_count": F.size("agreed").cast("long"), "consensus_median": R.array_median(F.col("agreed.stable_score")),
+    })
     df = df.withColumns({
-        "stable_negative_support": F.coalesce((F.col("negative_groups") >= 2) & enough("negative_count") & (F.col("stable_negative_score") <= LOW), F.lit(False)),
-        "group_positive": F.coalesce((F.col("positive_groups") >= 2) & enough("positive_count") & (F.col("stable_positive_score") >= HIGH), F.lit(False)),
+        "stable_negative_support": F.coalesce((F.col("negative_groups") >= 2) & enough(F.col("negative_count")) & (F.col("stable_negative_score") <= LOW), F.lit(False)),
+        "group_positive": F.coalesce((F.col("positive_groups") >= 2) & enough(F.col("positive_count")) & (F.col("stable_positive_score") >= HIGH), F.lit(False)),
     })
     df = df.withColumns({
         "exploratory_positive_support": F.col("group_positive") & (F.col("score_range") < WIDE),
-        "provisional_positive_support": F.col("group_positive") & enough("consensus_count") & (F.col("score_range") < WIDE),
+        "provisional_positive_support": F.col("group_positive") & enough(F.col("consensus_count")) & (F.col("score_range") < WIDE),
     })
     reason = (
         F.when(F.col("stable_negative_support"), "stable-low-independent-group-consensus")
