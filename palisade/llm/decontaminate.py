@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from palisade.llm.common import prepare, record, slices, texts
+from palisade.llm.common import named, prepare, renamed, slices, texts
 
 WINDOW = 13
 #: A document is contaminated if one in so many of its words is hit.
@@ -133,44 +134,50 @@ def without(text: bytes, begins: list[int], ends: list[int]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple[int | None, bytes]]]:
-    """Items in blocks of at most `most` words (one item at least). They reach the driver one block at a
-    time's worth of partitions (toLocalIterator); what is kept is the benchmark, never documents."""
-    blocks: list[list] = [[]]
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Items in blocks of at most `most` words (one item at least), one block on the driver at a time."""
+    block: list[tuple[int | None, bytes]] = []
     size = 0
     for item_id, text in benchmark.select("item_id", "text").distinct().toLocalIterator():
         raw = (text or "").encode()
         n = raw.count(b" ") + 1
-        if blocks[-1] and size + n > most:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item_id, raw))
+        if block and size + n > most:
+            yield block
+            block, size = [], 0
+        block.append((item_id, raw))
         size += n
-    return blocks
+    yield block
 
 
-_HITS = "n_words long, begins array<int>, ends array<int>, items array<string>"
+FOUND = {"n_words": pa.int64(), "begins": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
-    """doc_id, n_words, runs of hit words (begins, ends) and hit items, one row per row of docs; its
-    text comes along as `text`."""
+    """docs with n_words, runs of hit words (begins, ends) and items (hit ones, as sorted strings). docs' own
+    columns must not have these names.
+
+    Beyond the first block, what rows carry so far is checkpointed and the block before is let go, so that a
+    worker holds one block at a time."""
     spark = docs.sparkSession
     prepare(spark)
-    blocks = _blocks(benchmark, most_words)
-    # with several blocks, each scan adds to the runs and items that rows already carry
-    merged = docs.select("doc_id", "text")
-    for w in blocks:
-        merged = _scan(merged, spark.sparkContext.broadcast(Windows(w, window)))
-    return merged
+    out, before = docs, None
+    for block in _blocks(benchmark, most_words):
+        if before is not None:
+            out = out.checkpoint()
+            before.unpersist()
+        before = spark.sparkContext.broadcast(Windows(block, window))
+        out = _scan(out, before)
+    return out
 
 
 def _scan(docs: DataFrame, windows) -> DataFrame:
     """Adds a block's hits to those that rows already carry."""
     carried = "begins" in docs.columns
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
-    )
+    own_columns = [c for c in docs.columns if c not in FOUND]
+    names = [*own_columns, *FOUND]
+    kind = docs.select(*own_columns).schema
+    for name, t in FOUND.items():
+        kind = kind.add(name, from_arrow_type(t))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -187,9 +194,11 @@ def _scan(docs: DataFrame, windows) -> DataFrame:
                 b, e = runs(own)
                 begins_.append(b)
                 ends_.append(e)
-            yield record(schema, batch.column("doc_id").cast(pa.int64()), batch.column("text"), [len(w) for w in split], begins_, ends_, [sorted(x) for x in items])
+            found = ([len(w) for w in split], begins_, ends_, [sorted(x) for x in items])
+            columns = [batch.column(c) for c in own_columns]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(v, t) for v, t in zip(found, FOUND.values())], names=names)
 
-    return docs.mapInArrow(scan, "doc_id long, text string, " + _HITS)
+    return docs.mapInArrow(scan, kind)
 
 
 def n_hit():
@@ -199,45 +208,42 @@ def n_hit():
     )
 
 
+def contaminated():
+    return (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of docs."""
-    found = hits(docs, benchmark, **options).withColumn("n_hit", n_hit())
+    found = hits(docs.select("doc_id", "text"), benchmark, **options).withColumn("n_hit", n_hit())
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", **options) -> DataFrame:
     """docs without contaminated documents (mode "document"), or all of them without the hit spans
     (mode "span"). All columns stay; a null text stays null."""
-    spark = docs.sparkSession
-    prepare(spark)
-    kind = docs.schema
-    names = kind.fieldNames()
-    blocks = [spark.sparkContext.broadcast(Windows(b, window)) for b in _blocks(benchmark, MOST_WORDS)]
+    found = hits(renamed(docs), benchmark, **options)
+    if mode == "document":
+        return named(found.withColumn("n_hit", n_hit()).where(~contaminated()), docs)
+    kind = found.drop(*FOUND).schema
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            raw = texts(batch)
-            split = [words(x) for x in raw]
-            hit = None
-            for b in blocks:
-                h, ends, _ = b.value.scan(split)
-                hit = h if hit is None else hit | h
-            if mode == "document":
-                bad = [SHARE * (n := int(hit[ends[k] : ends[k + 1]].sum())) >= len(split[k]) and n > 0 for k in range(len(split))]
-                yield batch.filter(pa.array([not x for x in bad]))
-            else:
-                at = names.index("text")
-                new = [None if not t else without(r, *runs(hit[ends[k] : ends[k + 1]])).decode("utf-8", "replace") for k, (t, r) in enumerate(zip(batch.column("text").is_valid().to_pylist(), raw))]
-                yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-
-    return docs.mapInArrow(clean, kind)
+            begins, ends = batch.column("begins").to_pylist(), batch.column("ends").to_pylist()
+            new = [
+                t if not b else without(t.encode(), b, e).decode("utf-8", "replace")
+                for t, b, e in zip(batch.column("text").to_pylist(), begins, ends)
+            ]
+            columns = [pa.array(new, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in kind.fieldNames()]
+            yield pa.RecordBatch.from_arrays(columns, names=kind.fieldNames())
+
+    return named(found.mapInArrow(clean, kind), docs)
 
 
 def items_digest(items: list[str]) -> str:
