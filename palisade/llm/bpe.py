@@ -197,7 +197,7 @@ class Tokenizer:
             self.known, self.known_before = known, _ = {}, known
         if len(words) > REMEMBERED:
             self.words, self.words_before = words, _ = {}, words
-        if len(self.automaton.table) > 4 * REMEMBERED:
+        if len(self.automaton.table) > REMEMBERED:
             self.automaton.table.clear()
         for chunk in self.chunk.findall(text):
             ids = known.get(chunk)

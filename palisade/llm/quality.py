@@ -36,7 +36,7 @@ THRESHOLD = 0.3
 #: Buckets of a block of the table of context vectors, as it is shuffled.
 BLOCK = 512
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _bucket: dict[bytes, int] = {}
 
 

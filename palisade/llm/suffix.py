@@ -40,7 +40,7 @@ from palisade.llm.decontaminate import powers
 
 LENGTH, GRAM = 100, 24
 #: Bytes of a shard's text; bytes of text hashed at once; runs that a task holds before it collapses them.
-SHARD, PIECE, HELD = 2 << 20, 1 << 20, 1_000_000
+SHARD, PIECE, HELD = 2 << 20, 1 << 19, 500_000
 #: Different runs under one anchor beyond which its windows are dealt out singly; one document in so many is
 #: looked at for that.
 HOT, SAMPLE = 5000, 64

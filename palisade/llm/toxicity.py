@@ -33,7 +33,7 @@ TRAIN_ROWS = 10_000
 THRESHOLD = 0.3
 #: Words of the learned lexicon, at most.
 LEXICON = 400
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: The second person in the languages that the corpus has.
 SECOND_PERSON = frozenset(b.encode() for b in "you your yours yourself du dich dir dein deine euch ihr tu te toi ton ta vous votre vos usted ustedes tus ti".split())
 #: Signs that stand for letters.
