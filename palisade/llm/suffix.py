@@ -40,7 +40,7 @@ from palisade.llm.decontaminate import powers
 
 LENGTH, GRAM = 100, 24
 #: Bytes of a shard's text; bytes of text hashed at once; runs that a task holds before it collapses them.
-SHARD, PIECE, HELD = 2 << 20, 1 << 19, 500_000
+SHARD, PIECE, HELD = 1 << 19, 1 << 19, 400_000
 #: Different runs under one anchor beyond which its windows are dealt out singly; one document in so many is
 #: looked at for that.
 HOT, SAMPLE = 5000, 64
@@ -265,7 +265,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH, lane: int = 512) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH, lane: int = 256) -> np.ndarray:
     """Bytes, `cap` at the most, that each suffix shares with the one before it in order. Kasai's rule (at the
     next place of the text the length falls by one at most) in lanes: stretches of text that go on together."""
     n = len(text)
