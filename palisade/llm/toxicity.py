@@ -1,7 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is learned: words of labelled documents whose share among toxic ones stands out (G-squared),
-in a strong tier and a weak one, and stems of words, for words that are inflected. Near copies teach once.
+in a strong tier and a weak one, and stems of words, for words that are inflected. Near copies (verified, of one
+class) teach once.
 Features are densities of the tiers and stems, proximity of lexicon words to the
 second person, rates of capitals, punctuation and obfuscation (signs or digits inside words, stretched
 letters; an obfuscated word is looked up in its plain form too), and length. Trees are grown on histograms
@@ -17,12 +18,12 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,9 @@ NEAR = 5
 #: Lengths of stems, in letters.
 STEMS = (4, 5, 6)
 FEATURES = 16
+#: Near copies: words of a run, the Jaccard index that makes a copy, and the minima that propose pairs.
+SHINGLE, LIKE, BANDS, BAND = 5, 0.8, 16, 4
+_FACTORS = np.random.default_rng(5).integers(1 << 62, size=BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def plain(token: bytes) -> bytes:
@@ -119,18 +123,60 @@ class Lexicon:
         return out
 
 
+def shingles(text: bytes) -> np.ndarray:
+    """Distinct hashes of a text's runs of SHINGLE words, or of all its words where they are fewer."""
+    w = text.split()
+    runs = {b" ".join(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), np.uint64, len(runs)))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """BANDS hashes of BAND minima each: texts of Jaccard 0.8 share one at least in all but 2 of 10,000 cases."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        mixed = found[at : at + 4096, None] * _FACTORS
+        least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(axis=0))
+    return [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in least.reshape(BANDS, BAND)]
+
+
 def copies(docs: DataFrame) -> DataFrame:
-    """One of the labelled documents (doc_id, text, label) for each class and smallest hash of a document's
-    words, which near copies share as a rule: so copies teach once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("copy", pa.int64())])
+    """The labelled documents (doc_id, text, label) without near copies: a row is left out only if a row of its
+    class that stays, earlier by doc_id, has Jaccard LIKE or more to it in runs of words. Bands of minima only
+    propose the pairs: each row of a band with the band's first. Rows that are equal altogether stay once."""
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    rows = docs.distinct().select("doc_id", "text", "label", row.alias("row")).checkpoint()
+    signs = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("label", pa.float64()), ("band", pa.int32()), ("sign", pa.int64())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            least = [min(map(zlib.crc32, set(t.split())), default=-1) for t in texts(batch)]
-            yield record(schema, batch.column("doc_id").cast(pa.int64()), batch.column("label"), least)
-
-    kept = docs.mapInArrow(sign, "doc_id long, label double, copy long").groupBy("copy", "label").agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(F.broadcast(kept.select("doc_id").distinct()), "doc_id", "left_semi")
+            own = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("doc_id", "h", "label")]
+            found = [x for t in texts(batch) for x in bands(shingles(t))]
+            yield record(signs, *own, np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows), found)
+
+    signed = rows.select("doc_id", "row.h", "label", "text").mapInArrow(sign, "doc_id long, h long, label double, band int, sign long")
+    signed = signed.select(F.struct("doc_id", "h").alias("row"), "label", "band", "sign").checkpoint()
+    key = ["label", "band", "sign"]
+    first = signed.groupBy(*key).agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = signed.join(F.broadcast(first), key).where(F.col("row") > F.col("first")).select("row", "first").distinct()
+    like = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("first_id", pa.int64()), ("first_h", pa.int64())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            same = []
+            for a, b in zip(texts(batch), texts(batch, "other")):
+                x, y = shingles(a), shingles(b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= LIKE * (len(x) + len(y) - both))
+            yield batch.select(like.names).filter(pa.array(same, pa.bool_()))
+
+    # the pairs' first rows are few next to the rows: a hot one meets its copies in a join, which AQE splits
+    both = rows.select("row", "text").join(F.broadcast(pairs), "row")
+    both = both.join(rows.select(F.col("row").alias("first"), F.col("text").alias("other")), "first")
+    both = both.select("row.doc_id", "row.h", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), "text", "other")
+    found = both.mapInArrow(verify, "doc_id long, h long, first_id long, first_h long")
+    found = found.select(F.struct("doc_id", "h").alias("row"), F.struct(F.col("first_id").alias("doc_id"), F.col("first_h").alias("h")).alias("first")).checkpoint()
+    stays = found.join(F.broadcast(found.select(F.col("row").alias("first")).distinct()), "first", "left_anti")
+    return rows.join(F.broadcast(stays.select("row").distinct()), "row", "left_anti").select("doc_id", "text", "label")
 
 
 def learn_lexicon(docs: DataFrame, most: int = LEXICON) -> Lexicon:
