@@ -5,8 +5,8 @@ A text becomes counts of byte n-grams (1 to 3) of its lower-cased letters, hashe
 square root and scaled to length one. Languages are grouped into families by average-link clustering of
 their mean vectors, down to about the square root of their number. A linear machine for each family (against
 the others) picks the family; within it each pair of languages has a machine and the most votes win, ties
-to the larger sum of margins. Machines are fitted in numpy on at most TRAIN_ROWS documents (those of the
-smallest hash of doc_id and, so that rare languages are among them, about TRAIN_ROWS / 16 of each first).
+to the larger sum of margins. Machines are fitted in numpy on at most TRAIN_ROWS documents, chosen by hash of
+doc_id, an equal share of each language: all of those that have fewer, and what they leave goes to the others.
 
 A null text, or one without a letter, is `und` with score 0. Rows with a null lang teach nothing. With no
 language to learn, all is `und`; with one, all that has letters is that one with score 1.
@@ -132,12 +132,16 @@ def fit(docs: DataFrame, learn=None, most: int = TRAIN_ROWS) -> Model:
     prepare(docs.sparkSession)
     learn = crc_mod(3) != 1 if learn is None else learn
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    # ids are chosen without their texts: a share of each language first, then the smallest hashes
-    # each language in 64 parts by hash, of each of which Spark keeps the first ranks before it shuffles
+    # ids are chosen without their texts: each language in 64 parts by hash, of each of which Spark keeps the first
+    # ranks before it shuffles; then places in the language, by k and by hash among the (at most 64) rows of a k
     by_part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
     some = ids.withColumn("k", F.row_number().over(by_part)).where(F.col("k") <= most // 16)
-    chosen = some.orderBy(F.col("k") > most // 1024 + 1, "h", "doc_id").limit(most).select("doc_id").distinct()
+    earlier = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    before = some.groupBy("lang", "k").count().select("lang", "k", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    by_k = Window.partitionBy("lang", "k").orderBy("h", "doc_id", "part")
+    placed = some.withColumn("r", F.row_number().over(by_k)).join(before, ["lang", "k"]).withColumn("place", F.col("before") + F.col("r"))
+    chosen = placed.orderBy("place", "h", "doc_id", "lang").limit(most).select("doc_id").distinct()
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
