@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import robust as R
+from palisade.session import durable
 
 #: Default thresholds, largest range of evidence groups that a class may have, of window scores.
 POSITIVE, NEGATIVE, GROUP_RANGE, SCORE_RANGE = 0.62, 0.30, 0.20, 0.35
@@ -200,6 +201,34 @@ def operating_points(df: DataFrame, negative: float = NEGATIVE, provisional: boo
     return rates(counts.withColumn("abstain", F.col("labeled") - F.col("tp") - F.col("fp") - F.col("tn") - F.col("fn")))
 
 
+def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df with `rank`, from 1 over all rows in an order. Rows are sorted over ranges and numbered within each; what
+    comes together is one count for each range."""
+    # an id holds the number of the range above its lowest 33 bits and the place in the range in them
+    rows = durable(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, sums = 0, []
+    for r in sorted(rows.groupBy(part.alias("part")).count().collect()):
+        sums.append((r[0], before))
+        before += r[1]
+    starts = df.sparkSession.createDataFrame(sums, "_part long, _before long")
+    joined = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.withColumn("rank", F.col("_before") + place + 1).drop("_id", "_part", "_before")
+
+
+def ranking(df: DataFrame) -> DataFrame:
+    """name, score, rank, confidence and confidence_label of every report with a valid score, most anomalous first."""
+    rows = ranking_confidence(df.where(F.col("score").between(0.0, 1.0)))
+    rows = rows.select("name", F.round("score", 6).alias("score"), "confidence", "confidence_label")
+    return ranked(rows, F.desc("score"), "name")
+
+
+def ranking_coverage(df: DataFrame) -> DataFrame:
+    """How many of the reports are ranked."""
+    counts = df.agg(F.count_if(F.col("score").between(0.0, 1.0)).alias("ranked_report_count"), F.count("*").alias("report_count"))
+    return counts.withColumn("fraction", metric(F.col("ranked_report_count"), F.col("report_count")))
+
+
 def forced(score: Column, threshold: float) -> Column:
     """A bucket without any safeguard."""
     return F.when(valid(score).isNotNull(), F.when(score >= threshold, "synthetic").otherwise("original"))

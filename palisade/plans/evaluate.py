@@ -235,7 +235,7 @@ SELECT name, score, CAST(row_number() OVER (ORDER BY score DESC, name) AS INTEGE
 QUALIFY rank <= 200
 """)
 def anomaly_ranking(spark, sf_dir):
-    """The 200 most anomalous reports; ranks of a sorted, limited list."""
+    """The 200 most anomalous reports; ranks of a sorted, limited list. All ranks are in anomaly_ranking_all."""
     rows = E.ranking_confidence(reports(spark, sf_dir).where(F.col("score").between(0.0, 1.0)))
     top = rows.select("name", F.round("score", 6).alias("score"), "confidence", "confidence_label").orderBy(F.desc("score"), "name").limit(200)
     from pyspark.sql import Window
@@ -243,6 +243,24 @@ def anomaly_ranking(spark, sf_dir):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "name")))
 
 
+@query("WITH " + REPORT_SQL + """, s AS (
+  SELECT name, round(score, 6) AS score, evidence_coverage * coalesce(1 - group_score_range, 0) * (1 - instability_score) AS c, coalesce(group_score_range > 0.2, false) AS apart FROM rp WHERE score BETWEEN 0 AND 1
+)
+SELECT name, score, row_number() OVER (ORDER BY score DESC, name) AS rank, round(c, 6) AS confidence, CASE WHEN c < 0.5 OR apart THEN 'low' ELSE 'moderate' END AS confidence_label FROM s
+""")
+def anomaly_ranking_all(spark, sf_dir):
+    """Every report with a valid score, ranked."""
+    return E.ranking(reports(spark, sf_dir))
+
+
+@query("WITH " + REPORT_SQL + """, c AS (SELECT count(*) FILTER (WHERE score BETWEEN 0 AND 1) AS ranked_report_count, count(*) AS report_count FROM rp)
+SELECT ranked_report_count, report_count, round(ranked_report_count / nullif(report_count, 0)::DOUBLE, 6) AS fraction FROM c
+""")
+def ranking_coverage(spark, sf_dir):
+    """The share of reports that are ranked."""
+    return E.ranking_coverage(reports(spark, sf_dir))
+
+
 @query("WITH " + REPORT_SQL + """, f AS (SELECT name, expected, CASE WHEN score BETWEEN 0 AND 1 THEN CASE WHEN score >= 0.5 THEN 'synthetic' ELSE 'original' END END AS bucket FROM rp)
 SELECT count(*) FILTER (WHERE expected = 'positive' AND bucket = 'synthetic') AS true_positive, count(*) FILTER (WHERE expected = 'negative' AND bucket = 'synthetic') AS false_positive,
   count(*) FILTER (WHERE expected = 'negative' AND bucket = 'original') AS true_negative, count(*) FILTER (WHERE expected = 'positive' AND bucket = 'original') AS false_negative,

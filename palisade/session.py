@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +19,12 @@ def session(master: str = "local[*]", partitions: int | None = None, **conf: str
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df's rows as they are now, in the folder that all executors share (spark.checkpoint.dir; an own one where
+    that is unset), so that a task that runs again finds the same rows in the same partitions."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palisade-"))
+    return df.checkpoint()
