@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,50 @@ def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def near_center(s: list[float], center: float, k: int) -> float:
+    """The k-th smallest (from 0) distance to center in a sorted list, by halving what can come from its left side."""
+    at = bisect_left(s, center)
+    low, high = max(0, k + 1 - (len(s) - at)), min(at, k + 1)
+    while low < high:  # the least number from the left whose next distance there is not among the k + 1 smallest
+        left = (low + high) // 2
+        if center - s[at - left - 1] < s[at + k - left] - center:
+            low = left + 1
+        else:
+            high = left
+    right = k + 1 - low
+    return max(center - s[at - low] if low else 0.0, s[at + right - 1] - center if right else 0.0)
+
+
+def expanding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """df with `past_n`, `past_median` and `past_mad` of the finite values of a key's earlier rows. A key's rows
+    pass through one task in order, which keeps that key's values once, sorted, not a list for each row."""
+    held = df.withColumn("_x", finite(value))
+    schema = held.drop("_x").schema
+    schema = schema.add("past_n", "long").add("past_median", "double").add("past_mad", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, past = None, []
+        for batch in batches:
+            out = []
+            for *key, x in zip(*(batch.column(c).to_pylist() for c in (*keys, "_x"))):
+                if key != last:
+                    last, past = key, []
+                if n := len(past):
+                    center = (past[(n - 1) // 2] + past[n // 2]) / 2.0
+                    below = near_center(past, center, (n - 1) // 2)
+                    out.append((n, center, (below + (below if n % 2 else near_center(past, center, n // 2))) / 2.0))
+                else:
+                    out.append((0, None, None))
+                if x is not None:
+                    insort(past, x)
+            own = [batch.column(c) for c in batch.schema.names if c != "_x"]
+            names = [c for c in batch.schema.names if c != "_x"]
+            more = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*own, *more], names=[*names, "past_n", "past_median", "past_mad"])
+
+    return held.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def robust_z(x: Column, center: Column, mad: Column) -> Column:
     return (x - center) / (F.lit(MAD_SCALE) * mad + F.lit(FLOOR))
 

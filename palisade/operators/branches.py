@@ -113,9 +113,10 @@ def face(jumps: DataFrame, clips: DataFrame) -> DataFrame:
 def spatial(frames: DataFrame) -> DataFrame:
     """frames: clip_id, pos, hotspot, hot_tile, noise."""
     df = gathered(frames, "hotspot", "hot_tile", "noise")
-    modes = F.transform("hot_tile", lambda v: F.size(F.filter("hot_tile", lambda w: w == v)))
+    seen = frames.groupBy("clip_id", R.finite("hot_tile").alias("tile")).agg(F.count("*").alias("k")).where("tile IS NOT NULL")
+    df = df.join(seen.groupBy("clip_id").agg(F.max("k").alias("mode_count")), "clip_id", "left")
     h = stat("hotspot")
-    df = df.withColumn("persistence", F.try_divide(F.array_max(modes), F.col("hot_tile_n")))
+    df = df.withColumn("persistence", F.try_divide(F.col("mode_count"), F.col("hot_tile_n")))
     local, steady = c((h.med - 2) / 8), c((F.col("persistence") - 0.15) / 0.55)
     df = df.withColumns({"localized": local, "raw": c(0.55 * local * steady + 0.45 * local * c((h.mad / (h.med + 0.001)) / 2))})
     supported = (h.n >= 4) & (F.col("raw") >= 0.25) & (F.col("localized") >= 0.45) & (F.col("persistence") >= 0.75) & (R.or_zero(F.col("noise_med")) < 0.12)

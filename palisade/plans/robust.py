@@ -58,12 +58,12 @@ SELECT user_id, event_id, n, round((value - c) / (1.4826 * s + 1e-9), 6) AS z,
 FROM m JOIN d USING (user_id, event_id)
 """)
 def expanding_robust_z(spark, sf_dir):
-    """Each value against all before it. A clip's samples are bounded, so its running list is."""
-    past = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    events = table(spark, sf_dir, "events").withColumn("past", F.collect_list(R.finite("value")).over(past))
-    z = R.robust_z(F.col("value"), R.array_median(F.col("past")), R.array_mad(F.col("past")))
-    n = F.size("past").cast("long")
-    return events.where(n > 0).select("user_id", "event_id", n.alias("n"), F.round(z, 6).alias("z"), ((n > 5) & (z > 6)).alias("excluded"))
+    """Each value against all before it."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    past = R.expanding(events, ["user_id"], ["ts", "event_id"], "value").where("past_n > 0")
+    z = R.robust_z(F.col("value"), F.col("past_median"), F.col("past_mad"))
+    n = F.col("past_n")
+    return past.select("user_id", "event_id", n.alias("n"), F.round(z, 6).alias("z"), ((n > 5) & (z > 6)).alias("excluded"))
 
 
 @query("""
