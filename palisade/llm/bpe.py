@@ -1,22 +1,29 @@
-"""Byte-level BPE through a tokenization automaton.
+"""Byte-level BPE through a compiled tokenization automaton.
 
 The merge list is compiled by successive merge gadgets, in merge order. The automaton reads tokens; it
 accepts exactly the token sequences that applying the merges in order can produce. It starts as one
 state with an arc to itself for each byte. The gadget of merge u v -> w: the state that u leads to is
 copied, the copy loses its arc v, arcs u now lead to the copy, and w gets arcs to where v led from the
-old state (with u and v the same, the copy has neither v nor w). A copy's later gadgets don't touch what it was copied from. A blocked v also blocks every
-token that is later built from v at its left end, as it had no arc to build on.
-
-Where u leads is thus a function of u alone: a chain of gadgets of u, of u's right part as far as it was
-compiled when u was made, and so on; and a token is blocked if one of its left parts was, before the
-token was made from it. The transition table is kept in that factored form (50 thousand states by 50
-thousand arcs would not fit), and what a pair of state and arc comes to is looked up once.
-
-Encoding walks the automaton over a word's bytes: longest arc first, backing out of dead ends; a
-position that has proved dead is never tried again, so the walk is linear in the word's length. As the
-automaton is unambiguous, the path it finds is the tokenization. Decoding emits the labels of arcs.
-
-A null text is empty and has no ids. Repeated rows are encoded each on its own.
+old state (with u and v the same, the copy has neither v nor w). A copy's later gadgets don't touch what
+it was copied from. A blocked v also blocks every token that is later built from v at its left end, as it
+had no arc to build on; a token whose own gadget found no arc to build on has none anywhere.
+
+Where a token leads is a state of its own, so states go by token. Tokens are numbered in post-order of the
+tree of left parts, younger children last: then a gadget blocks one interval of arcs. The compiled table is
+arrays: the sparse row of a state is its gadgets' disjoint intervals with the merge number of each, and its
+tail is the row that it was copied from, that of its right part, of which it has what was compiled before it
+was made. Rows are thus shared, not repeated: 50 thousand intervals for 50 thousand states in all, where a
+full table of states by arcs would not fit.
+
+The labels of arcs are bytes, so over bytes the automaton is not deterministic: it is made so by the subset
+construction, as words are read. Every prefix of a word has one tokenization, so the subset that a walk is in
+is one state for each place; a walk steps from place to place once, reads the table for all arcs that begin
+there, and never backs out. Many words step together, in numpy. Decoding emits the labels of arcs.
+
+Long texts are cut where white space begins, which no word goes across, so a worker holds the words of a
+piece, not of a text. A null text is empty and has no ids. Repeated rows are encoded each on its own; columns
+other than doc_id (a number) and text are not read, and without rows there is no output. A vocabulary file with
+other rules than those compiled here is refused.
 """
 
 from __future__ import annotations
@@ -24,9 +31,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,11 +45,12 @@ from palisade.llm.common import prepare, record, slices, texts
 
 #: The pattern by which byte-level BPE pre-splits, and white space as it sees it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-#: Chunks, and words, that a worker remembers.
-REMEMBERED = 250_000
-TOKEN = 256
+#: Words that a worker remembers, characters of text that are split at a time, bytes of a batch, bytes of a word
+#: beyond which it walks alone, words that walk together.
+REMEMBERED, PIECE, BATCH, LONG, TOGETHER = 250_000, 1 << 20, 2 << 20, 48, 8192
+NEVER = np.int64(1 << 40)
 
 
 def byte_names() -> dict[str, int]:
@@ -51,105 +61,282 @@ def byte_names() -> dict[str, int]:
     return names
 
 
+def disjoint(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (first, last, rank), by last, that cover the same places, each place under its smallest rank."""
+    spans = sorted(spans)
+    if all(a[1] < b[0] for a, b in zip(spans, spans[1:])):
+        return spans
+    edges = sorted({p for first, last, _ in spans for p in (first, last + 1)})
+    out = []
+    for lo, hi in zip(edges, edges[1:]):
+        over = [rank for first, last, rank in spans if first <= lo and hi - 1 <= last]
+        if over:
+            out.append((lo, hi - 1, min(over)))
+    return out
+
+
 class Automaton:
+    """The compiled table. Arrays by token: `place` (its arc's number), `made` (the merge that makes it), `tail` (its
+    right part, whose row its own goes on with), `after` and `bound` (the next row with intervals on that way, and
+    the merge before which those count). Arrays by interval, in order of state and last arc: `key` (both in one
+    number), `first`, `rank`. The trie of labels: a node's children are at `base` and their byte, where `owner` is
+    the node; `token` of a node."""
+
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
         name = byte_names()
-        as_bytes = lambda t: bytes(name[c] for c in t)
-        self.ids = {as_bytes(t): i for t, i in vocabulary.items() if all(c in name for c in t)}
+        self.ids = {bytes(name[c] for c in t): i for t, i in vocabulary.items() if all(c in name for c in t)}
         self.label = {i: b for b, i in self.ids.items()}
-        self.made: dict[int, tuple[int, int, int]] = {}  # token: merge number, left and right part
-        self.gadget: dict[int, int] = {}  # arc v blocked after u: number of the merge
+        n = self.size = max(vocabulary.values()) + 1
+        self.made, self.left, self.tail = np.full(n + 1, NEVER), np.full(n + 1, -1), np.full(n + 1, -1)
+        gadgets = []
         for rank, (u, v) in enumerate(merges):
             u, v, w = vocabulary[u], vocabulary[v], vocabulary[u + v]
-            self.gadget[u << 20 | v] = rank
-            self.made.setdefault(w, (rank, u, v))
-        # arcs by the bytes of their labels: nested dicts by byte, the token under TOKEN
-        self.arcs: dict = {}
-        for b, i in self.ids.items():
-            node = self.arcs
-            for byte in b:
-                node = node.setdefault(byte, {})
-            node[TOKEN] = i
-        self.table: dict[int, bool] = {}
-
-    def open(self, state: int, arc: int) -> bool:
-        """Whether the state that token `state` leads to has the arc."""
-        key = state << 20 | arc
-        known = self.table.get(key)
-        if known is None:
-            known = self.table[key] = self._open(state, arc)
-        return known
-
-    def _open(self, state: int, arc: int, before: int = 1 << 30) -> bool:
-        """The same, of the automaton before merge number `before` is compiled."""
-        none = 1 << 30
-        while True:
-            left, after = arc, none
-            while True:
-                rank = self.gadget.get(state << 20 | left, none)
-                # blocked in the chain before it was copied, and before the arc's token was built on it
-                if rank < before and rank <= after:
-                    return False
-                made = self.made.get(left)
-                if made is None:
+            gadgets.append((u, v))
+            if self.made[w] == NEVER:
+                self.made[w], self.left[w], self.tail[w] = rank, u, v
+        self._number()
+        self._compile(gadgets)
+        self._spell()
+
+    def _number(self) -> None:
+        """Post-order of the tree of left parts, children in order of their merges: place, and low, the smallest
+        place under a token."""
+        n = self.size
+        self.children: list[list[int]] = [[] for _ in range(n)]
+        for w in np.argsort(self.made[:n], kind="stable").tolist():
+            if self.left[w] >= 0:
+                self.children[self.left[w]].append(w)
+        self.place, self.low = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        at = 0
+        for root in np.nonzero(self.left[:n] < 0)[0].tolist():
+            todo = [(root, False)]
+            while todo:
+                w, done = todo.pop()
+                if done:
+                    self.place[w] = at
+                    at += 1
+                else:
+                    self.low[w] = at
+                    todo.append((w, True))
+                    todo += [(c, False) for c in reversed(self.children[w])]
+
+    def _compile(self, gadgets: list[tuple[int, int]]) -> None:
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        made = self.made.tolist()
+        for rank, (u, v) in enumerate(gadgets):
+            younger = self.children[v]
+            k = bisect_left(younger, rank, key=made.__getitem__)
+            first = self.low[younger[k]] if k < len(younger) else self.place[v]
+            rows.setdefault(u, []).append((int(first), int(self.place[v]), rank))
+        self.wide = self.size + 1
+        flat = [(u * self.wide + last, first, rank) for u in sorted(rows) for first, last, rank in disjoint(rows[u])]
+        flat.append((1 << 62, 1 << 40, 0))
+        self.key, self.first, self.rank = (np.array(x, dtype=np.int64) for x in zip(*flat))
+        self.key_, self.first_, self.rank_ = self.key.tolist(), self.first.tolist(), self.rank.tolist()
+        self.place_, self.made_, self.tail_ = self.place.tolist(), made, self.tail.tolist()
+        self.has = np.zeros(self.size + 1, dtype=bool)
+        self.has[list(rows)] = True
+        self.after, self.bound = self.tail.copy(), self.made.copy()
+        for w in np.argsort(self.made[: self.size], kind="stable").tolist():  # right parts first
+            tail = self.tail_[w]
+            if tail >= 0 and not self.has[tail]:
+                self.after[w], self.bound[w] = self.after[tail], self.bound[tail]
+
+    def _spell(self) -> None:
+        """The trie of the labels of arcs that are there, its nodes' rows of children laid into one array."""
+        alive = self.alive()
+        children: list[dict[int, int]] = [{}]
+        token = [-1]
+        for label, i in self.ids.items():
+            if not label or not alive[i]:
+                continue
+            node = 0
+            for byte in label:
+                new = children[node].setdefault(byte, len(token))
+                if new == len(token):
+                    token.append(-1)
+                    children.append({})
+                node = new
+            token[node] = i
+        used, free = bytearray(256), 0
+        self.base = np.zeros(len(token), dtype=np.int64)
+        for node in sorted(range(len(token)), key=lambda k: -len(children[k])):
+            row = sorted(children[node])
+            if not row:
+                continue
+            while used[free]:
+                free += 1
+                used.extend(bytes(max(0, free + 512 - len(used))))
+            at = max(0, free - row[0])
+            while any(used[at + b] for b in row):
+                at += 1
+                used.extend(bytes(max(0, at + 512 - len(used))))
+            self.base[node] = at
+            for b in row:
+                used[at + b] = 1
+        self.owner, self.to = np.full(len(used) + 512, -1), np.full(len(used) + 512, -1)
+        for node, row in enumerate(children):
+            for byte, new in row.items():
+                self.owner[self.base[node] + byte], self.to[self.base[node] + byte] = node, new
+        self.token = np.array(token, dtype=np.int64)
+        self.lengths = np.zeros(self.size, dtype=np.int64)
+        for label, i in self.ids.items():
+            self.lengths[i] = len(label)
+        self.longest = max((len(b) for b, i in self.ids.items() if alive[i]), default=0)
+
+    def alive(self) -> np.ndarray:
+        """Tokens whose gadget found an arc to build on: bytes, and merges of such whose pair was open then."""
+        out = np.ones(self.size + 1, dtype=bool)
+        for w in np.argsort(self.made[: self.size], kind="stable").tolist():
+            if self.made_[w] < NEVER:
+                u, v = int(self.left[w]), self.tail_[w]
+                out[w] = out[u] and out[v] and self.open(u, v, self.made_[w])
+        return out
+
+    def open(self, state: int, arc: int, before: int = int(NEVER)) -> bool:
+        """Whether a state has an arc, by the gadgets of merges before a number; the start has all."""
+        at = self.place_[arc]
+        while state >= 0:
+            key = state * self.wide + at
+            k = bisect_left(self.key_, key)
+            if self.key_[k] - key < self.wide - at and self.first_[k] <= at and self.rank_[k] < before:
+                return False
+            before, state = min(before, self.made_[state]), self.tail_[state]
+        return True
+
+    def opens(self, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
+        """open() of many states and arcs; state `size` is the start."""
+        ok = np.ones(len(state), dtype=bool)
+        x, before, at = state, np.full(len(state), NEVER), self.place[arc]
+        skip = ~self.has[x]
+        before, x = np.where(skip, self.bound[x], before), np.where(skip, self.after[x], x)
+        row = np.nonzero(x >= 0)[0]
+        x, before, at = x[row], before[row], at[row]
+        while len(row):
+            key = x * self.wide + at
+            k = np.searchsorted(self.key, key)
+            hit = (self.key[k] - key < self.wide - at) & (self.first[k] <= at) & (self.rank[k] < before)
+            ok[row[hit]] = False
+            next_ = self.after[x]
+            go = ~hit & (next_ >= 0)
+            row, at, before, x = row[go], at[go], self.bound[x[go]], next_[go]
+        return ok
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Where the trie's nodes lead by a byte, -1 for nowhere."""
+        k = self.base[node] + byte
+        return np.where(self.owner[k] == node, self.to[k], -1)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and the ids of all, word after word."""
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        far = int((sizes > LONG).sum())
+        found = [([k], *self._alone(words[k])) for k in order[:far].tolist()]
+        for at in range(far, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            found.append((some, *self._together([words[k] for k in some.tolist()], sizes[some])))
+        counts = np.zeros(len(words), dtype=np.int64)
+        for some, n, _ in found:
+            counts[some] = n
+        starts = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), dtype=np.int32)
+        for some, n, ids in found:
+            flat[ragged(starts[some], n)] = ids
+        return counts, flat
+
+    def _together(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words, the longest first, by steps that all of them take together."""
+        width = int(sizes[0]) if len(sizes) else 0
+        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width).astype(np.int64)
+        # the token that ends at each place of each word
+        state = np.full((len(words), width + 1), -1, dtype=np.int64)
+        state[:, 0] = self.size
+        for at in range(width):
+            row = np.nonzero(sizes > at)[0]
+            node, from_ = np.zeros(len(row), np.int64), state[row, at]
+            # a place that no walk reaches begins nothing
+            row, node, from_ = row[from_ >= 0], node[from_ >= 0], from_[from_ >= 0]
+            for end in range(at + 1, min(width, at + self.longest) + 1):
+                node = self.step(node, text[row, end - 1])
+                go = (node >= 0) & (sizes[row] >= end)
+                row, node, from_ = row[go], node[go], from_[go]
+                if not len(row):
+                    break
+                token = self.token[node]
+                some = np.nonzero(token >= 0)[0]
+                some = some[self.opens(from_[some], token[some])]
+                state[row[some], end] = token[some]
+        # back from the ends along the one walk that reaches them
+        at, rows, held = sizes.copy(), np.arange(len(words)), []
+        while len(rows := rows[at[rows] > 0]):
+            token = state[rows, at[rows]]
+            if (token < 0).any():
+                raise ValueError("a byte without a token")
+            held.append((rows, token))
+            at[rows] -= self.lengths[token]
+        if not held:
+            return np.zeros(len(words), np.int64), np.zeros(0, np.int64)
+        row, token = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        return np.bincount(row, minlength=len(words)), token[::-1][np.argsort(row[::-1], kind="stable")]
+
+    def _alone(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A long word: its arcs are read from the trie piece by piece, then it walks as the others do."""
+        n, known = len(word), {}
+        state = np.full(n + 1, -1, dtype=np.int64)
+        state[0] = -2
+        for begin in range(0, n, 1 << 16):
+            text = np.frombuffer(word, np.uint8, min((1 << 16) + self.longest, n - begin), begin).astype(np.int64)
+            row = np.arange(min(1 << 16, n - begin))
+            node, found = np.zeros(len(row), np.int64), []
+            for k in range(self.longest):
+                inside = row + k < len(text)
+                row, node = row[inside], node[inside]
+                node = self.step(node, text[row + k])
+                row, node = row[node >= 0], node[node >= 0]
+                if not len(row):
                     break
-                after, left = made[0], made[1]
-            made = self.made.get(state)
-            if made is None:
-                return True
-            before, state = min(before, made[0]), made[2]
-
-    def encode(self, word: bytes) -> list[int]:
-        whole = self.ids.get(word)
-        if whole is not None and (whole not in self.made or self._single(whole)):
-            return [whole]
-        arcs, table, n = self.arcs, self.table, len(word)
-        path: list[int] = []
-        ends = [0]
-        tries: list[list[int]] = []  # arcs not tried yet at each place of the path, the longest last
-        dead: set[int] = set()
-        at, new = 0, True
-        while at < n:
-            if new:
-                open_, node = [], arcs
-                for end in range(at, n):
-                    node = node.get(word[end])
-                    if node is None:
-                        break
-                    token = node.get(TOKEN)
-                    if token is not None:
-                        open_.append((token, end + 1))
-                tries.append(open_)
-            open_ = tries[-1]
-            while open_:
-                token, end = open_.pop()
-                if end in dead:
+                some = self.token[node] >= 0
+                found.append((row[some] + begin, self.token[node[some]], np.full(int(some.sum()), k + 1)))
+            row, token, size = (np.concatenate([f[k] for f in found]) for k in (0, 1, 2))
+            order = np.lexsort((size, row))
+            for at, t, k in zip(row[order].tolist(), token[order].tolist(), size[order].tolist()):
+                from_ = int(state[at])
+                if from_ == -1:
                     continue
-                if path:
-                    key = path[-1] << 20 | token
-                    ok = table.get(key)
-                    if ok is None:
-                        ok = self.open(path[-1], token)
-                    if not ok:
-                        continue
-                path.append(token)
-                ends.append(end)
-                at, new = end, True
-                break
-            else:
-                if not path:
-                    raise ValueError("a byte without a token")
-                dead.add(at)
-                tries.pop()
-                path.pop()
-                ends.pop()
-                at, new = ends[-1], False
-        return path
+                ok = known.get((from_, t))
+                if ok is None:
+                    if len(known) > 1 << 16:
+                        known.clear()
+                    ok = known[from_, t] = self.open(from_, t)
+                if ok:
+                    state[at + k] = t
+        out, at = [], n
+        while at:
+            token = int(state[at])
+            if token < 0:
+                raise ValueError("a byte without a token")
+            out.append(token)
+            at -= int(self.lengths[token])
+        return np.array([len(out)]), np.array(out[::-1], dtype=np.int64)
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), then the same of starts[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(np.asarray(starts) - (ends - counts), counts)
 
-    def _single(self, token: int) -> bool:
-        """Whether a token's own bytes come out as that token: each merge in it is reached."""
-        rank, u, v = self.made[token]
-        return self._open(u, v, rank) and all(x not in self.made or self._single(x) for x in (u, v))
+
+class Words(dict):
+    """Numbers of words, new ones as they come; `new` lists those."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
 
 class Tokenizer:
@@ -158,81 +345,122 @@ class Tokenizer:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec, path)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.label = dict(self.automaton.label)
-        self.label.update({i: t.encode() for t, i in self.special.items()})
-        top = max(self.label) + 1
+        label = self.automaton.label | {i: t.encode() for t, i in self.special.items()}
+        top = max(label) + 1
         self.names = [str(i) for i in range(top)]
-        self.labels = [self.label.get(i, b"") for i in range(top)]
-        self.number = list(range(top))  # one object for each id, shared by all that is remembered
+        self.labels = [label.get(i, b"") for i in range(top)]
         ordered = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if ordered else None
         self.split = regex.compile(PATTERN)
         self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII)  # the same on ASCII
-        # a token never goes on from other characters to white space, so such chunks encode on their own
-        self.chunk = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-        # what is remembered, in two ages: what is used again outlives the older one
-        self.known: dict[str, list[int]] = {}
-        self.known_before: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.words_before: dict[str, list[int]] = {}
+        self.gap = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
+        # words that are remembered: numbers, and by number how often they came, where their ids are, how many
+        self.words = Words()
+        self.uses, self.starts, self.counts, self.ids = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32))
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """A text in pieces of about PIECE characters, cut where white space begins and around special tokens."""
+        parts = self.cut.split(text) if self.cut and any(t in text for t in self.special) else [text]
+        for part in parts:
+            at = 0
+            while len(part) - at > PIECE:
+                found = self.gap.search(part, at + PIECE)
+                end = found.start() if found else len(part)
+                yield part[at:end]
+                at = end
+            yield part[at:] if at else part
 
     def encode(self, text: str) -> list[int]:
-        if self.cut and any(t in text for t in self.special):
-            out: list[int] = []
-            for part in self.cut.split(text):
-                if part in self.special:
-                    out.append(self.special[part])
-                else:
-                    self._encode(part, out)
-            return out
-        return self._encode(text, [])
-
-    def _encode(self, text: str, out: list[int]) -> list[int]:
-        known, words = self.known, self.words
-        if len(known) > REMEMBERED // 2:
-            self.known, self.known_before = known, _ = {}, known
-        if len(words) > REMEMBERED:
-            self.words, self.words_before = words, _ = {}, words
-        if len(self.automaton.table) > REMEMBERED:
-            self.automaton.table.clear()
-        for chunk in self.chunk.findall(text):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self.known_before.get(chunk)
-                if ids is None:
-                    ids = self._words(chunk)
-                if len(chunk) < 64:
-                    known[chunk] = ids
-            out += ids
-        return out
-
-    def _words(self, chunk: str) -> list[int]:
-        words, ids = self.words, []
-        for word in (self.split_ascii if chunk.isascii() else self.split).findall(chunk):
-            found = words.get(word)
-            if found is None:
-                found = self.words_before.get(word)
-                if found is None:
-                    found = [self.number[i] for i in self.automaton.encode(word.encode())]
-                if len(word) < 64:
-                    words[word] = found
-            ids += found
-        return ids
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of each text. Words are looked up when texts of PIECE characters are split."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for piece in self.pieces(text):
+                if piece in self.special:
+                    held.append((k, np.array([-self.special[piece] - 1])))
+                    continue
+                found = (self.split_ascii if piece.isascii() else self.split).findall(piece)
+                held.append((k, np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))))
+                size += len(piece)
+                if size >= PIECE:
+                    self._look_up(held, out)
+                    size = 0
+        self._look_up(held, out)
+        return [parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts]) for parts in out]
+
+    def _look_up(self, held: list[tuple[int, np.ndarray]], out: list[list[np.ndarray]]) -> None:
+        """Encodes the words that are new, then all that is held: numbers of words, or special tokens below 0."""
+        new = self.words.new
+        if new:
+            counts, ids = self.automaton.encode([w.encode() for w in new])
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            new.clear()
+        for k, numbers in held:
+            if len(numbers) and numbers[0] < 0:
+                out[k].append(-numbers.astype(np.int32) - 1)
+            else:
+                out[k].append(self.ids[ragged(self.starts[numbers], self.counts[numbers])])
+                self.uses += np.bincount(numbers, minlength=len(self.uses)) if len(numbers) > 4096 else 0
+                if len(numbers) <= 4096:
+                    np.add.at(self.uses, numbers, 1)
+        held.clear()
+        if len(self.words) > REMEMBERED:
+            self._forget()
+
+    def _forget(self) -> None:
+        """Keeps the words that came most, half of REMEMBERED at the most, and none that is long; counts start again."""
+        order = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+        keep = np.zeros(len(self.uses), dtype=bool)
+        keep[order] = (self.uses[order] > 1) & (self.counts[order] <= LONG)
+        words, self.words = self.words, Words()
+        self.words.update(zip((w for w, k in zip(words, keep.tolist()) if k), range(int(keep.sum()))))
+        self.ids = self.ids[ragged(self.starts[keep], self.counts[keep])]
+        self.counts = self.counts[keep]
+        self.starts, self.uses = np.cumsum(self.counts) - self.counts, np.zeros(len(self.counts), np.int64)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
 
 
+def check(spec: dict, path: str) -> None:
+    """Refuses a vocabulary file whose rules are not those that are compiled here."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    right = (
+        model.get("type", "BPE") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and spec.get("normalizer") is None
+        and before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space")
+        and before.get("use_regex", True)
+        and not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+    )
+    if not right:
+        raise ValueError(f"{path} is no plain byte-level BPE: its text rules are not those of this automaton")
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     """One for each worker process."""
     return Tokenizer(path)
 
 
+def listed(ids: list[np.ndarray]) -> pa.ListArray:
+    """An Arrow array of lists of ids."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids, one row per row of docs. The path is of a vocabulary file that every executor has."""
     prepare(docs.sparkSession)
@@ -240,8 +468,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in slices(batches):
-            yield record(schema, batch.column("doc_id").cast(pa.int64()), [t.encode(x or "") for x in batch.column("text").to_pylist()])
+        for batch in slices(batches, BATCH):
+            yield record(schema, batch.column("doc_id").cast(pa.int64()), listed(t.encode_all([x or "" for x in batch.column("text").to_pylist()])))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -253,7 +481,7 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH):
             yield record(schema, batch.column("doc_id"), [t.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()])
 
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -268,10 +496,10 @@ def report(docs: DataFrame, path: str) -> DataFrame:
         t = tokenizer(path)
         name = t.names.__getitem__
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH):
             counts, ids_, texts_ = [], [], []
-            for x in batch.column("text").to_pylist():
-                ids = t.encode(x or "")
+            for found in t.encode_all([x or "" for x in batch.column("text").to_pylist()]):
+                ids = found.tolist()
                 counts.append(len(ids))
                 ids_.append(sha(",".join(map(name, ids)).encode()))
                 texts_.append(sha(t.decode(ids).decode("utf-8", "replace").encode()))
