@@ -158,23 +158,19 @@ class Automaton:
                     children.append({})
                 node = new
             token[node] = i
-        used, free = bytearray(256), 0
+        # rows of more children first; each at the first of its own pseudo-random places that are all free, which
+        # is soon found while the array stays a third full
+        size = 1 << (3 * len(token)).bit_length()
+        used = bytearray(size + 256)
         self.base = np.zeros(len(token), dtype=np.int64)
         for node in sorted(range(len(token)), key=lambda k: -len(children[k])):
-            row = sorted(children[node])
-            if not row:
-                continue
-            while used[free]:
-                free += 1
-                used.extend(bytes(max(0, free + 512 - len(used))))
-            at = max(0, free - row[0])
-            while any(used[at + b] for b in row):
-                at += 1
-                used.extend(bytes(max(0, at + 512 - len(used))))
-            self.base[node] = at
+            row, at = list(children[node]), node
+            while any(used[at * 2654435761 % size + b] for b in row):
+                at += len(token)
+            self.base[node] = at * 2654435761 % size
             for b in row:
-                used[at + b] = 1
-        self.owner, self.to = np.full(len(used) + 512, -1), np.full(len(used) + 512, -1)
+                used[self.base[node] + b] = 1
+        self.owner, self.to = np.full(len(used), -1), np.full(len(used), -1)
         for node, row in enumerate(children):
             for byte, new in row.items():
                 self.owner[self.base[node] + byte], self.to[self.base[node] + byte] = node, new
