@@ -10,19 +10,24 @@ bound is under the k-th lower bound is out; once few enough are left (or nothing
 exactly. The k-th best exact score so far of the query, from the shards before, counts as a lower bound too.
 Nothing is approximate: without proof, reading goes on to the end.
 
-Queries are a stated set, met by the candidates in blocks: QUERY_BLOCK queries are broadcast at a time, so
-the broadcast has a bound whatever the number of queries. A task returns its k best of each query; the final
-ranks come from a window over those.
-
-Vectors that are null, or hold null, non-finite or no components, or one beyond 2**18 (whose products don't fit a
-long), take no part; those of another length than
-a query's share the score 0 with nobody: they are not its candidates. Rows with a null vec_id take no part.
-Rows that repeat a vec_id are candidates each (but not for the query of their own id), queries once (the
-smallest vector of the id); ties go to the smaller vec_id.
+Queries are a stated set, met by the candidates in blocks of BLOCK components at most: a block is on the driver
+and broadcast by itself, and let go before the next, so both have a bound whatever the number of queries. Of
+several blocks each goes over all candidates, which are dealt once. A task returns its k best of each query; the
+final ranks come from a window over those.
+
+All vectors take part but those that are null or hold null or non-finite components. Components are doubles with
+whole values, which are exact; vectors of like magnitude share an index. Scores are summed exactly: in doubles
+or longs where a bound says that these hold them, else in whole numbers of any size. A score that fits no long is
+returned as the nearest long, and ranks by its own value. Vectors of another length than a query's
+have no inner product with it and are not its candidates; vectors of no components have score 0 with each other.
+Rows with a null vec_id take no part. Rows that repeat a vec_id are candidates and queries each; rows of the
+query's own vec_id are not its candidates. Ties go to the smaller vec_id. Other columns are not read. No vectors
+or no queries: no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,39 +38,60 @@ from pyspark.sql import functions as F
 from palisade.llm.common import partitions, prepare, record
 
 SCALE, K, EVERY = 1024, 10, 100
-#: Largest component that takes part: products of integers up to 2**28 fit a long.
-LARGEST = 2.0**18
-#: Width of a quantised impact, queries of one broadcast block, candidates of one shard.
-STEP, QUERY_BLOCK, SHARD = 8, 20_000, 65_536
+#: Width of a quantised impact at least, quantised impacts of an index at most, components of a broadcast block,
+#: candidates of one shard.
+STEP, STEPS, BLOCK, SHARD = 8, 4096, 8 << 20, 65_536
 #: A level reads segments of contributions down to this share of the largest; 0 reads all.
 LEVELS = (0.5, 0.3, 0.18, 0.1, 0.05, 0.0)
 #: Possible members that are scored exactly rather than read on, as a share of the shard.
 FEW = 1 / 64
+#: Components beyond which products may not be doubles; what whole numbers doubles and longs hold for sure.
+FAR, DOUBLES, LONGS = 2.0**400, 2.0**52, 2.0**62
+
+
+def whole(x: np.ndarray) -> list[int]:
+    """floor(1024 x), whatever its size."""
+    return [math.floor(c * SCALE) if abs(c) < FAR else int(c) * SCALE for c in x.tolist()]
+
+
+def magnitude(x: np.ndarray) -> np.ndarray:
+    """A class for each vector, by its largest component: 0 up to 8, then one for each factor of 16."""
+    most = np.abs(x).max(axis=1, initial=0.0)
+    return np.where(most > FAR, 999, np.ceil(np.log2(np.maximum(most, 8.0) / 8) / 4)).astype(np.int64)
 
 
 class Index:
     """Impact-ordered postings of a shard: by dimension, vectors in order of their quantised impact, and where
     each segment (the postings of one impact) begins."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
-        self.ids, self.x = ids, x
-        level = np.floor_divide(x, STEP)
-        self.base = int(level.min()) if len(x) else 0
+    def __init__(self, ids: np.ndarray, raw: np.ndarray) -> None:
+        self.ids, self.raw = ids, raw
+        self.most = float(np.abs(raw).max(initial=0.0)) * SCALE
+        self.far = self.most > FAR * SCALE or not raw.shape[1]
+        if self.far:
+            return
+        x = self.x = np.floor(raw * SCALE)
+        width = max(STEP, float(x.max() - x.min()) / STEPS, self.most / 2**20)
+        self.step = step = 2.0 ** math.ceil(math.log2(width))
+        level = np.floor(x / step).astype(np.int64)
+        self.base = int(level.min())
         order = np.argsort(level, axis=0, kind="stable")
         self.order = np.ascontiguousarray(order.T.astype(np.int32))
         by = np.ascontiguousarray(np.take_along_axis(level, order, axis=0).T)
-        self.impact = (by * STEP + STEP // 2).astype(np.float64)
-        count = int(level.max()) - self.base + 1 if len(x) else 0
-        self.starts = np.array([np.searchsorted(row, np.arange(self.base, self.base + count + 1)) for row in by])
-        self.count = count
-
-    def top(self, q: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of the k best, ties to the smaller id; fewer if `floor`, a score that k
-        others reach, rules them out."""
-        n, size = len(self.ids), np.abs(q)
+        self.impact = by * step + step / 2
+        self.count = int(level.max()) - self.base + 1
+        self.starts = np.array([np.searchsorted(row, np.arange(self.base, self.base + self.count + 1)) for row in by])
+
+    def top(self, raw: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
+        """(-score, id) of the k best, ties to the smaller id; fewer if `floor`, a score that k others reach, rules
+        them out."""
+        if self.far or np.abs(raw).max(initial=0.0) > FAR:
+            return self.exact(np.nonzero(self.ids != own)[0], raw, k)
+        n, q = len(self.ids), np.floor(raw * SCALE)
+        size, step = np.abs(q), self.step
         score = np.zeros(n)
         # |x - impact| is at most half a step; sums beyond 2**53 lose their last bits
-        rounding = float(size.sum()) * (STEP // 2)
+        rounding = float(size.sum()) * step / 2
         dims = np.arange(len(q))
         most = size * np.maximum(np.abs(self.impact[:, 0]), np.abs(self.impact[:, -1]))
         rounding += float(most.sum()) * len(q) * 2.0**-50
@@ -75,10 +101,11 @@ class Index:
         lo[q == 0] = n
         for part in LEVELS:
             # segments whose contribution is at least this much: the largest impacts at either end
-            bar = part * float(most.max())
-            limit = bar / np.maximum(size, 1)
-            below = np.floor((-limit - STEP // 2) / STEP).astype(np.int64) - self.base + 1
-            above = np.ceil((limit - STEP // 2) / STEP).astype(np.int64) - self.base
+            limit = part * float(most.max()) / np.maximum(size, 1)
+            # contributions of the dimension's own largest impact at the most
+            limit = np.minimum(limit, 2 * self.most + 4 * step)
+            below = np.floor((-limit - step / 2) / step).astype(np.int64) - self.base + 1
+            above = np.ceil((limit - step / 2) / step).astype(np.int64) - self.base
             a = self.starts[dims, np.clip(below, 0, self.count)] if part else hi
             b = self.starts[dims, np.clip(above, 0, self.count)] if part else hi
             a = np.clip(a, lo, hi)
@@ -93,90 +120,134 @@ class Index:
             ends = np.stack([q[some] * self.impact[some, lo[some]], q[some] * self.impact[some, hi[some] - 1]])
             up = float(np.maximum(ends.max(axis=0), 0).sum()) + rounding
             down = float(np.minimum(ends.min(axis=0), 0).sum()) - rounding
-            bound = -np.inf if floor is None else floor
+            bound = -np.inf if floor is None else as_double(floor) - abs(as_double(floor)) * 2.0**-50
             if rivals > k:
                 bound = max(bound, np.partition(score[others], -k)[-k] + down)
             possible = np.nonzero(others & (score + up >= bound))[0]
             if not len(some) or len(possible) <= max(4 * k, n * FEW):
                 break
-        exact = self.x[possible] @ q
-        best = np.lexsort((self.ids[possible], -exact))[:k]
-        return possible[best], exact[best]
-
-
-def integers(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array of longs): vectors that take part."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * SCALE))
-    finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) <= LARGEST))
-    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0))
-    return kept.select("vec_id", x.alias("v"))
+        return self.exact(possible, raw, k)
+
+    def exact(self, at: np.ndarray, raw: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(-score, id) of the k best of some rows."""
+        far = self.far or np.abs(raw).max(initial=0.0) > FAR
+        if not far:
+            q = np.floor(raw * SCALE)
+            bound = self.most * float(np.abs(q).max()) * len(q)
+            if bound < LONGS:
+                x = self.x[at]
+                score = (x @ q).astype(np.int64) if bound < DOUBLES else x.astype(np.int64) @ q.astype(np.int64)
+                best = np.lexsort((self.ids[at], -score))[:k]
+                return list(zip((-score[best]).tolist(), self.ids[at[best]].tolist()))
+            if len(at) > k:  # those that rounding may not rule out
+                near = self.x[at] @ q
+                off = (np.abs(self.x[at]) @ np.abs(q)) * len(q) * 2.0**-50
+                at = at[near + off >= np.partition(near - off, -k)[-k]]
+        ints = whole(raw)
+        return sorted((-sum(a * b for a, b in zip(ints, whole(self.raw[i]))), int(self.ids[i])) for i in at)[:k]
+
+
+def sortable(score: int) -> str:
+    """A string for a score that fits no long, in the order of such scores; those that fit are between."""
+    digits = str(abs(score))
+    up = f"{len(digits):06d}{digits}"
+    return f"2{up}" if score > 0 else "0" + up.translate(str.maketrans("0123456789", "9876543210"))
+
+
+def as_double(score: int) -> float:
+    try:
+        return float(score)
+    except OverflowError:
+        return math.inf if score > 0 else -math.inf
+
+
+def doubles(vectors: DataFrame) -> DataFrame:
+    """vec_id and v (array of doubles): vectors that take part."""
+    finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda c: c.cast("double")).alias("v"))
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score; both frames as integers() gives them."""
-    spark = candidates.sparkSession
-    prepare(spark)
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).persist()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    """query_id, rank, vec_id, score; both frames as doubles() gives them."""
+    prepare(candidates.sparkSession)
+    # each row is a query, under a number of its own
+    asked = queries.select("vec_id", "v").withColumn("q", F.monotonically_increasing_id()).checkpoint()
+    values = asked.agg(F.sum(F.size("v") + 2)).first()[0] or 0
+    blocks = max(1, -(-values // BLOCK))
+    dealt = candidates.repartition(partitions(candidates))
+    if blocks > 1:
+        dealt = dealt.checkpoint()
     found = None
     for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        part = _search(candidates, mine.orderBy("vec_id").collect(), k)
+        mine = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else asked
+        shared = candidates.sparkSession.sparkContext.broadcast(by_length(mine.toArrow()))
+        part = _search(dealt, shared, k)
+        if blocks > 1:
+            part = part.checkpoint()
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
-    asked.unpersist()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(candidates: DataFrame, queries: list, k: int) -> DataFrame:
-    by_length: dict[int, tuple[list[int], list]] = {}
-    for r in queries:
-        ids, v = by_length.setdefault(len(r.v), ([], []))
-        ids.append(r.vec_id)
-        v.append(r.v)
-    shared = candidates.sparkSession.sparkContext.broadcast({n: (ids, np.array(v, dtype=np.int64)) for n, (ids, v) in by_length.items()})
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def rows_of(v: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of an array of vectors: by length, which they are and their components."""
+    starts = v.offsets.to_numpy()
+    flat, sizes = v.values.to_numpy(zero_copy_only=False), np.diff(starts)
+    for n in np.unique(sizes).tolist():
+        rows = np.nonzero(sizes == n)[0]
+        yield n, rows, flat[starts[rows][:, None] + np.arange(n)]
+
+
+def by_length(queries: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers, ids and components of queries, by the number of components."""
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for batch in queries.to_batches():
+        q, ids = batch.column("q").to_numpy(), batch.column("vec_id").to_numpy()
+        for n, rows, x in rows_of(batch.column("v")):
+            held.setdefault(n, []).append((q[rows], ids[rows], x))
+    return {n: tuple(map(np.concatenate, zip(*parts))) for n, parts in held.items()}
+
+
+def _search(dealt: DataFrame, shared, k: int) -> DataFrame:
+    schema = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.string())])
+    least, most = -(1 << 63), (1 << 63) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best: dict[int, tuple[int, list[tuple[int, int]]]] = {}
 
         def shard(ids: np.ndarray, x: np.ndarray) -> None:
             index = Index(ids, x)
-            for query, q in zip(*shared.value[x.shape[1]]):
-                had = best.get(query)
-                floor = int(had[1][-1]) if had is not None and len(had[1]) == k else None
-                at, score = index.top(q, query, k, floor)
-                every_id, every = index.ids[at], score
-                if had is not None:
-                    every_id, every = np.concatenate([had[0], every_id]), np.concatenate([had[1], every])
-                    order = np.lexsort((every_id, -every))[:k]
-                    every_id, every = every_id[order], every[order]
-                best[query] = every_id, every
-
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for number, query, v in zip(*shared.value[x.shape[1]]):
+                had = best[number][1] if number in best else []
+                new = index.top(v, query, k, -had[-1][0] if len(had) == k else None)
+                best[number] = query, sorted(had + new)[:k] if had else new
+
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            v = batch.column("v")
-            sizes = np.diff(v.offsets.to_numpy())
-            flat, ids = v.flatten().to_numpy(), batch.column("vec_id").to_numpy()
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            for n in np.unique(sizes):
-                if int(n) not in shared.value:
+            ids = batch.column("vec_id").to_numpy()
+            for n, rows, x in rows_of(batch.column("v")):
+                if n not in shared.value:
                     continue
-                rows = np.nonzero(sizes == n)[0]
-                x = flat[starts[rows][:, None] + np.arange(n)]
-                held.setdefault(int(n), []).append((ids[rows], x))
-                if sum(len(i) for i, _ in held[int(n)]) >= SHARD:
-                    shard(*map(np.concatenate, zip(*held.pop(int(n)))))
+                kind = magnitude(x)
+                for c in np.unique(kind).tolist():
+                    held.setdefault((n, c), []).append((ids[rows[kind == c]], x[kind == c]))
+                    if sum(len(i) for i, _ in held[n, c]) >= SHARD:
+                        shard(*map(np.concatenate, zip(*held.pop((n, c)))))
         for parts in held.values():
             shard(*map(np.concatenate, zip(*parts)))
-        for query, (ids, score) in best.items():
-            if len(ids):
-                yield record(schema, [query] * len(ids), ids, score)
+        for number, (query, found) in best.items():
+            if found:
+                score = [-s for s, _ in found]
+                fits = [min(max(s, least), most) for s in score]
+                beyond = ["1" if s == f else sortable(s) for s, f in zip(score, fits)]
+                yield record(schema, [number] * len(found), [query] * len(found), [i for _, i in found], fits, beyond)
 
-    return candidates.repartition(partitions(candidates)).mapInArrow(run, "query_id long, vec_id long, score long")
+    return dealt.mapInArrow(run, "q long, query_id long, vec_id long, score long, beyond string")
 
 
 def report(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: queries are the rows whose vec_id is divisible by `every`, candidates all."""
-    rows = integers(vectors)
+    rows = doubles(vectors)
     return search(rows, rows.where(F.col("vec_id") % every == 0), k)

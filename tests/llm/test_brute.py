@@ -202,8 +202,8 @@ def test_topk_blocks(spark, monkeypatch):
         s = n @ n[q]
         best = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != q][:10]
         want[q] = [(j, s[j]) for j in best]
-    for block, shard in ((20_000, 65_536), (3, 100)):
-        monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    for block, shard in ((8 << 20, 65_536), (60, 100)):
+        monkeypatch.setattr(topk, "BLOCK", block)
         monkeypatch.setattr(topk, "SHARD", shard)
         got = {}
         for r in topk.report(v).orderBy("query_id", "rank").collect():
@@ -211,6 +211,23 @@ def test_topk_blocks(spark, monkeypatch):
         assert got == want
 
 
+def test_topk_of_any_magnitude(spark):
+    rng = np.random.default_rng(1)
+    rows = [[400000.0, 1.0], [1.0, 2.0], [300000.0, 0.5], [-(2.0**31), 3.0], [2.0**40, -(2.0**40)], [2.0**40, -(2.0**40) + 1], [1e300, -1e300]]
+    rows += [[float(a * 10.0**e), float(b)] for a, b, e in zip(rng.normal(0, 1, 300), rng.normal(0, 1, 300), rng.integers(-2, 9, 300))]
+    rows += [[200000.0] * 300, [200000.0] * 299 + [1.0], [-200000.0] * 300]
+    v = spark.createDataFrame([(k * 50, r) for k, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    n = [[int(np.floor(c * 1024)) if abs(c) < 1e200 else int(c) * 1024 for c in r] for r in rows]
+    want = {}
+    for q in range(0, len(rows), 2):
+        s = [(-sum(a * b for a, b in zip(n[q], n[j])), j) for j in range(len(rows)) if j != q and len(n[j]) == len(n[q])]
+        want[q * 50] = [(j * 50, min(max(-x, -(2**63)), 2**63 - 1)) for x, j in sorted(s)[:10]]
+    got = {}
+    for r in topk.report(v).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {q: x for q, x in want.items() if x}
+
+
 def accuracy(spark, out, table, column):
     truth = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet").select("doc_id", F.col(column).alias("truth"))
     held = out.where("held_out").join(truth, "doc_id").where("truth IS NOT NULL").collect()

@@ -124,7 +124,15 @@ def test_topk(spark):
     rows = [(0, [1.0, 0.5]), (100, [0.5, -1.0]), (3, [1.0, 0.5]), (3, [1.0, 0.5]), (4, None), (5, [None, 1.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, []), (9, [1.0]), (None, [1.0, 1.0]), (200, [1e30, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     out = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.report(v).orderBy("query_id", "rank").collect()]
-    assert out == [(0, 1, 3, 1310720), (0, 2, 3, 1310720), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 3, 0), (100, 3, 3, 0)]
+    top = 2**63 - 1  # the nearest long to what fits none
+    assert out == [
+        *((0, 1, 200, top), (0, 2, 3, 1310720), (0, 3, 3, 1310720), (0, 4, 100, 0)),
+        *((100, 1, 200, top), (100, 2, 0, 0), (100, 3, 3, 0), (100, 4, 3, 0)),
+        *((200, 1, 0, top), (200, 2, 3, top), (200, 3, 3, top), (200, 4, 100, top)),
+    ]
     assert topk.report(v.limit(0)).count() == 0
     twelve = spark.createDataFrame([(100, [1.0, 2.0])] * 14, "vec_id long, embedding array<float>")
     assert topk.report(twelve).count() == 0
+    # a query for each row, also where rows share an id; vectors without components have scores of 0
+    twice = spark.createDataFrame([(100, [1.0]), (100, [2.0]), (7, [3.0]), (0, []), (1, [])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.report(twice).collect())) == [(0, 1, 1, 0), (100, 1, 7, 3 << 20), (100, 1, 7, 6 << 20)]
