@@ -11,17 +11,20 @@ spans of the formatted text, one for each assistant turn's escaped text.
 
 Turns go by (turn, role, text), nulls first; repeated rows stay. A null role is an empty role; a null text
 is empty. A conversation is one row of output, so one conversation's turns meet in one row, whatever its
-length: that is the operator's result, and the only thing that is gathered. Rows with a null conv_id make
-up one conversation. No rows, no conversations.
+length: that is the operator's result, and the only thing that is gathered: its turns are sorted as structs and
+merged by aggregations over the array. Rows with a null conv_id make up one conversation. Texts may be of any
+length that a row holds. Columns other than conv_id, turn, role and text are not read. No rows, no conversations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART, TURN = "</part>", "</turn>\n"
 LOSS_ROLE = "assistant"
+#: Turns that one aggregation goes over.
+TURNS = 512
 
 
 def escape(text: Column) -> Column:
@@ -41,37 +44,59 @@ def unescape(text: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (array of structs begin, length in code points of formatted)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    start = F.lag("role").over(order)
-    # what stands before a turn's text: a part mark within a block, else the end of a block and a new head
-    head = F.concat(F.lit("### "), escape_role(F.col("role")), F.lit(": "))
-    before = (
-        F.when(F.col("last_role").isNull(), head)
-        .when(F.col("last_role") == F.col("role"), F.lit(PART))
-        .otherwise(F.concat(F.lit(TURN), head))
-    )
-    placed = (
-        rows.withColumn("last_role", start)
-        .select("conv_id", "turn", "role", "text", before.alias("before"), escape(F.col("text")).alias("body"))
-        .withColumn("end", F.sum(F.length("before") + F.length("body")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = F.struct("turn", role.alias("role"), text.alias("text"))
+    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    parts = chats.select("conv_id", _merged(F.col("turns")).alias("parts"))
+    # where a part begins: few numbers, as a part has many turns
+    placed = parts.select(
+        "conv_id",
+        "parts",
+        F.aggregate("parts", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["size"]))).alias("at"),
     )
-    turn = F.struct(
-        "end",
-        F.concat("before", "body").alias("piece"),
-        (F.col("role") == LOSS_ROLE).alias("loss"),
-        F.length("body").alias("length"),
+    spans = F.transform(
+        "parts",
+        lambda p, i: F.transform(p["spans"], lambda s: F.struct((s["begin"] + F.get(F.col("at"), i)).alias("begin"), s["length"].alias("length"))),
     )
-    chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return chats.select(
+    return placed.select(
         "conv_id",
-        F.concat(F.array_join(F.transform("turns", lambda t: t["piece"]), ""), F.lit(TURN)).alias("formatted"),
-        F.transform(
-            F.filter("turns", lambda t: t["loss"]),
-            lambda t: F.struct((t["end"] - t["length"]).cast("int").alias("begin"), t["length"].alias("length")),
-        ).alias("loss_spans"),
+        F.concat(F.array_join(F.transform("parts", lambda p: F.array_join(p["pieces"], "")), ""), F.lit(TURN)).alias("formatted"),
+        F.flatten(spans).alias("loss_spans"),
+    )
+
+
+def _merged(turns: Column) -> Column:
+    """Sorted turns, merged where neighbours have one role, in parts of TURNS turns, so that what an aggregation
+    carries from turn to turn is bounded: an array of structs pieces (of the formatted text), size (its code
+    points) and spans (of the loss, from where the part begins)."""
+    nothing = F.struct(
+        F.lit("").alias("role"),
+        F.lit(0).alias("size"),
+        F.array().cast("array<string>").alias("pieces"),
+        F.array().cast("array<struct<begin:int,length:int>>").alias("spans"),
     )
 
+    def part(k: Column) -> Column:
+        # what the turn before the part has for a role; the first part has none before it
+        last = F.get(turns, k * TURNS - 1)
+        begun = nothing.withField("role", last["role"])
+        return F.aggregate(F.slice(turns, k * TURNS + 1, TURNS), begun, put, lambda a: a.dropFields("role"))
+
+    def put(a: Column, t: Column) -> Column:
+        head = F.concat(F.lit("### "), escape_role(t["role"]), F.lit(": "))
+        # a part mark within a block of one role, else the end of a block and a new head
+        before = F.when(a["role"].isNull(), head).when(a["role"] == t["role"], F.lit(PART)).otherwise(F.concat(F.lit(TURN), head))
+        body = escape(t["text"])
+        at, length = a["size"] + F.length(before), F.length(body)
+        span = F.array(F.struct(at.alias("begin"), length.alias("length")))
+        return F.struct(
+            t["role"].alias("role"),
+            (at + length).alias("size"),
+            F.concat(a["pieces"], F.array(F.concat(before, body))).alias("pieces"),
+            F.when(t["role"] == LOSS_ROLE, F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(turns) - 1) / TURNS).cast("int")), part)
+
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted chat: array of structs role, text."""
