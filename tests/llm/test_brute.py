@@ -175,7 +175,7 @@ def test_token_store(spark, rows, tmp_path):
     rows = rows | {8000: "<|ENDOFTEXT|> <|endoftext|> don't 12 É é \x1c", 8001: None}
     docs = frame(spark, rows)
     shards = tokenstore.write(docs, f"file://{tmp_path}/ids", path)
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenstore.read(spark, shards).collect()}
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenstore.read(spark, shards, docs).collect()}
     start = 0
     for d, t in sorted(rows.items()):
         ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4")
@@ -184,6 +184,57 @@ def test_token_store(spark, rows, tmp_path):
         if d % 50 == 0:
             assert [x.tolist() for x in tokenstore.lookup(shards, d)] == [ids.tolist()]
     assert tokenstore.lookup(shards, 123456789) == []
+    absent = spark.createDataFrame([(123456789,)], "doc_id long")
+    assert tokenstore.read(spark, shards, absent).count() == 0
+
+
+def test_token_store_lookups_read_little(spark, tmp_path):
+    """What a lookup reads doesn't grow with the shard, and repeated keys go on in the next shard."""
+    from pyarrow.fs import LocalFileSystem
+
+    read = [0]
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.closed = file, False
+
+        def read(self, size=-1):
+            out = self.file.read(size)
+            read[0] += len(out)
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    class Local:
+        def open_input_file(self, path):
+            return Counted(LocalFileSystem().open_input_file(path))
+
+    sizes = []
+    for n in (200, 20_000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+        shards = tokenstore.write(docs, f"file://{tmp_path}/{n}", vocabulary("word_bpe_49k.json"), shards=1)
+        local = [s | {"path": s["path"].removeprefix("file://")} for s in shards]
+        read[0] = 0
+        for key in range(0, n, n // 50):
+            assert len(tokenstore.lookup(local, key, Local())) == 1
+        sizes.append(read[0] / 50)
+    assert max(sizes) < 1000
+    twice = spark.range(900).select((F.col("id") % 3).alias("doc_id"), F.lit("one two").alias("text"))
+    shards = tokenstore.write(twice, f"file://{tmp_path}/twice", vocabulary("word_bpe_49k.json"), shards=7)
+    assert len(shards) > 3 and [len(tokenstore.lookup(shards, k)) for k in range(-1, 4)] == [0, 300, 300, 300, 0]
+    got = tokenstore.read(spark, shards, twice).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(k % 3 for k in range(900)) and [r.start for r in got] == list(range(0, 2700, 3))
+
+
+def test_token_store_of_another_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Hello World, this is text", "  two  spaces\n", ""]
+    shards = tokenstore.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"file://{tmp_path}/b", path)
+    assert [tokenstore.lookup(shards, k)[0].tolist() for k in range(3)] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
 def test_perfect_hash():
