@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,34 @@ def prepare(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if not folder:
         has = jsc.getCheckpointDir()
-        folder = has.get() if has.isDefined() else "file://" + tempfile.mkdtemp(prefix="palisade-")
+        if has.isDefined():
+            folder = has.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="palisade-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of Arrow batches that gives memory back to the system when a task ends, as Python workers go on to
+    tasks of other stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return task
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
     return f"{prepare(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

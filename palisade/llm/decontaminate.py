@@ -5,13 +5,14 @@ is 13 consecutive words of an item; an item of fewer words is one window. The wo
 get ids; a document becomes a vector of ids (0: not a benchmark word), in which windows are found by
 a rolling hash and every hit is verified id by id, so hash collisions never count.
 
-The broadcast is checked: beyond MOST_WORDS benchmark words the benchmark is cut into blocks of items
-under that bound and the documents are scanned once a block; hits are merged per document as position
+The broadcast is checked: beyond MOST_WORDS benchmark words the benchmark is cut into blocks of about that
+many words (long items in parts that overlap) and the documents are scanned once a block; hits are merged per document as position
 runs, so the result is the same.
 
 Nulls and empty texts have no words; they are neither hit nor hit anything. Repeated items with one id
 count once, items with a null id hit words but are not listed. Rows of documents are judged each on its
-own, so repeated doc_ids stay separate rows. An empty benchmark hits nothing.
+own, so repeated doc_ids stay separate rows, and texts are judged whole whatever their length. Other columns,
+whatever their names, stay as they are. An empty benchmark hits nothing; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -134,18 +135,20 @@ def without(text: bytes, begins: list[int], ends: list[int]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, bytes]]]:
-    """Items in blocks of at most `most` words (one item at least), one block on the driver at a time."""
+def _blocks(benchmark: DataFrame, most: int, window: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Items in blocks of about `most` words, one block on the driver at a time. An item of more goes in parts that
+    have window - 1 words in common, so that each of its windows is in one."""
     block: list[tuple[int | None, bytes]] = []
     size = 0
     for item_id, text in benchmark.select("item_id", "text").distinct().toLocalIterator():
-        raw = (text or "").encode()
-        n = raw.count(b" ") + 1
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((item_id, raw))
-        size += n
+        w = words((text or "").encode())
+        for at in range(0, max(len(w) - window + 1, 1), most):
+            part = w[at : at + most + window - 1]
+            if block and size + len(part) > most:
+                yield block
+                block, size = [], 0
+            block.append((item_id, b" ".join(part)))
+            size += len(part)
     yield block
 
 
@@ -161,7 +164,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words
     spark = docs.sparkSession
     prepare(spark)
     out, before = docs, None
-    for block in _blocks(benchmark, most_words):
+    for block in _blocks(benchmark, most_words, window):
         if before is not None:
             out = out.checkpoint()
             before.unpersist()

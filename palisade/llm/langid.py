@@ -8,8 +8,12 @@ the others) picks the family; within it each pair of languages has a machine and
 to the larger sum of margins. Machines are fitted in numpy on at most TRAIN_ROWS documents, chosen by hash of
 doc_id, an equal share of each language: all of those that have fewer, and what they leave goes to the others.
 
-A null text, or one without a letter, is `und` with score 0. Rows with a null lang teach nothing. With no
-language to learn, all is `und`; with one, all that has letters is that one with score 1.
+A null text, or one without a letter, is `und` with score 0. Rows with a null lang teach nothing; of rows that
+repeat a doc_id and a lang one teaches (the smallest hash of its text), so the bound is one of rows. Repeated rows
+are judged each on its own, texts of any length whole, n-grams across the parts in which they are counted included.
+Equal votes and margins go to the language whose name comes first. doc_id is a number; columns other than it, text
+and (for fit) lang are not read, whatever their names. With no language to learn, all is `und`; with one, all that
+has letters is that one with score 1. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -141,7 +145,7 @@ def fit(docs: DataFrame, learn=None, most: int = TRAIN_ROWS) -> Model:
     before = some.groupBy("lang", "k").count().select("lang", "k", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     by_k = Window.partitionBy("lang", "k").orderBy("h", "doc_id", "part")
     placed = some.withColumn("r", F.row_number().over(by_k)).join(before, ["lang", "k"]).withColumn("place", F.col("before") + F.col("r"))
-    chosen = placed.orderBy("place", "h", "doc_id", "lang").limit(most).select("doc_id").distinct()
+    chosen = placed.orderBy("place", "h", "doc_id", "lang").limit(most).select("doc_id", "lang").distinct()
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +153,9 @@ def fit(docs: DataFrame, learn=None, most: int = TRAIN_ROWS) -> Model:
             some = [(i, v, t) for i, v, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))) if LETTER.search(t)]
             yield record(schema, [s[0] for s in some], [s[1] for s in some], [vector(s[2]).astype(np.float16).tobytes() for s in some])
 
-    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    # a doc_id of very many rows comes down to one a language in the tasks
+    texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = sorted(texts.mapInArrow(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], dtype=np.float32).reshape(len(got), SIZE)
     return Model(x, [r.lang for r in got])

@@ -3,8 +3,9 @@
 Tokens (runs of letters, of digits, of other signs) fall into BUCKETS buckets by hash. Each bucket has a
 random index vector of a few +1 and -1, fixed by a seed, and a context vector: the sum of the index vectors
 of the two tokens on either side of each of its occurrences, counted over the whole corpus. Partial sums of
-tasks are added up by blocks of buckets after a shuffle, so a task holds a few blocks and the driver the
-finished table (BUCKETS x DIMS numbers, whatever the corpus). Sums are of integers and don't depend on order.
+tasks are added up by blocks of buckets in a tree, of which a task adds TREE partial sums of a block, so that there
+are as many tasks as the input needs; the driver holds the finished table (BUCKETS x DIMS numbers, whatever the
+corpus). Sums are of integers and don't depend on order.
 
 A document is the mean of its tokens' context and index vectors. Three marks count as tokens of their own:
 a word in capitals, a repeat of the token before, a token that the document had before. A tanh layer and
@@ -12,8 +13,11 @@ a logistic output are fitted in numpy on at most TRAIN_ROWS labelled documents (
 of doc_id); a temperature, fitted on a fifth of them that training doesn't see, calibrates the probability.
 
 Null and empty texts have the zero vector and get a score from it like any other. Labels that are null or
-whose document is missing teach nothing; repeated labels of one document count once (the largest). Without
-both classes among the labels the score is the share of label 1 (0.5 without labels).
+whose document is missing teach nothing; repeated labels of one document count once (the largest), and of rows
+that repeat a doc_id one teaches (the smallest hash of its text), so the bound is one of rows. Of equal hashes the
+smaller doc_id comes first. Repeated rows are scored each on its own, texts of any length whole; other columns,
+whatever their names, are not read by report() and stay as they are in keep(). Without both classes among the
+labels the score is the share of label 1 (0.5 without labels). No documents: no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import crc_mod, prepare, record, slices, texts
+from palisade.llm.common import crc_mod, partitions, prepare, record, slices, texts, trimmed
 
 BUCKETS, DIMS, SEED, MARKS = 1 << 14, 64, 20241, 3
 #: Labelled documents that the network is fitted on, at most.
@@ -35,6 +40,8 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
 #: Buckets of a block of the table of context vectors, as it is shuffled.
 BLOCK = 512
+#: Partial sums of a block that one task of the tree adds up.
+TREE = 64
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 REMEMBERED = 150_000
 _bucket: dict[bytes, int] = {}
@@ -77,7 +84,7 @@ def index_table() -> np.ndarray:
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """The (BUCKETS, DIMS) sums of index vectors around each bucket's tokens, over all of docs."""
     prepare(docs.sparkSession)
-    schema = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, total = index_vectors(), np.zeros(BUCKETS * DIMS, dtype=np.int64)
@@ -97,21 +104,27 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         rows = total.reshape(-1, BLOCK * DIMS)
         some = np.nonzero(rows.any(axis=1))[0]
         if len(some):
-            yield record(schema, some.astype(np.int32), [rows[k].astype("<i8").tobytes() for k in some])
+            yield record(schema, some.astype(np.int32), [TaskContext.get().partitionId()] * len(some), [rows[k].astype("<i8").tobytes() for k in some])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
-                sums[block] = sums.get(block, 0) + np.frombuffer(raw, "<i8")
-        for block, x in sums.items():
-            yield record(schema, [block], [x.astype("<i8").tobytes()])
-
-    kind = "block int, sums binary"
-    partial = docs.select("text").mapInArrow(gather, kind)
+            for block, part, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "sums"))):
+                sums[block, part] = sums.get((block, part), 0) + np.frombuffer(raw, "<i8")
+        for (block, part), x in sums.items():
+            yield record(schema, [block], [part], [x.astype("<i8").tobytes()])
+
+    kind = "block int, part int, sums binary"
+    sums, width = docs.select("text").mapInArrow(trimmed(gather), kind), partitions(docs)
+    while True:
+        last, width = width <= TREE, max(1, -(-width // TREE))
+        mine = F.lit(0) if last else F.pmod("part", F.lit(width))
+        sums = sums.withColumn("part", mine.cast("int")).repartition(BUCKETS // BLOCK * (1 if last else width), "block", "part").mapInArrow(add, kind)
+        if last:
+            break
     out = np.zeros((BUCKETS // BLOCK, BLOCK * DIMS), dtype=np.int64)
-    for row in partial.repartition(BUCKETS // BLOCK, "block").mapInArrow(add, kind).collect():
-        out[row.block] = np.frombuffer(row.sums, "<i8")
+    for row in sums.collect():
+        out[row.block] += np.frombuffer(row.sums, "<i8")
     return out.reshape(BUCKETS, DIMS)
 
 
@@ -191,8 +204,8 @@ class Network:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, most: int) -> DataFrame:
-    """text and label of at most `most` labelled documents for which `learn` holds: those whose doc_id has
-    the smallest hash. What is broadcast is their ids and labels, `most` at the most."""
+    """doc_id, text and label of at most `most` labelled documents for which `learn` holds: those whose doc_id has
+    the smallest hash, one row each. What is broadcast is their ids and labels, `most` at the most."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
         .groupBy("doc_id")
@@ -200,7 +213,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, most: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("double").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # a doc_id of very many rows comes down to one in the tasks
+    return rows.groupBy("doc_id", F.col("label").cast("double").alias("label")).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def features(docs: DataFrame, vectors) -> DataFrame:
@@ -244,7 +259,7 @@ def report(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for batch in slices(batches):
             yield record(schema, batch.column("doc_id").cast(pa.int64()), shared.value.score(texts(batch)))
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -257,4 +272,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
         for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.score(texts(batch)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -6,18 +6,20 @@ link at RADIUS or fewer differing bits.
 Rows first collapse to distinct fingerprints. By the pigeonhole principle, two fingerprints within
 radius 3 agree on at least one of four 16-bit blocks, so each distinct fingerprint goes to four shards
 (block number, block value) and every link lies whole in some shard. A shard that holds more than
-SHARD_MOST fingerprints is split the same way again on its other bits, as often as needed while bits
-last, so a hot shard spreads over many tasks. In each shard a BK-tree (children keyed by integer
+SHARD_MOST fingerprints is split the same way again on its other bits, up to LEVELS times in all: then its
+fingerprints have 45 bits in common, so that they can't be more than 2**19. In each shard a BK-tree (children keyed by integer
 Hamming distance to the parent) is built and searched, following only edges within the radius. Trees
 travel to their queries by shuffle rather than broadcast, as a broadcast would gather all fingerprints
 on the driver. A shard returns its links as a forest over its own members, never all pairs.
 
 Components come from alternating large-star and small-star rounds on the links alone, as DataFrame
-aggregates, checkpointed each round.
+aggregates, checkpointed each round. Once no more than FEW_LINKS are left (they are counted first) one task
+finishes them: rounds of shuffles would cost more than those links do.
 
 A null or empty text, or one of spaces only, has fingerprint zero and links like any other. Repeated
 rows are members like any other; a row with a null doc_id is a member, but never names a component
-unless all ids in it are null.
+unless all ids in it are null. Texts of any length count whole. doc_id is a number; other columns, whatever their
+names, are not read and stay as they are in representatives(). No documents: no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from palisade.llm.common import named, numbered, partitions, prepare, record, re
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints of a shard beyond which it is split again.
 SHARD_MOST = 4096
+#: Splits of a shard at most; links that one task makes into components at most (16 bytes each).
+LEVELS, FEW_LINKS = 4, 1_000_000
 #: Pairs of a query and a node that are looked at together.
 FRONTIER = 200_000
 
@@ -176,7 +180,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, levels: int = 2) -> DataFrame:
+def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, levels: int = LEVELS) -> DataFrame:
     """fp and shard (a string key): each fingerprint under each block of its bits; shards with more than
     `most` members are split again by blocks of the other bits."""
 
@@ -186,12 +190,11 @@ def shards(distinct: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST, le
         rows, free = _split(rows, free, radius)
         if k + 1 == levels:
             break
-        # hot shards are few: at most the rows of this level divided by `most`
-        hot = [(r[0], True) for r in rows.groupBy("shard").count().where(F.col("count") > most).collect()]
-        if not hot:
+        # they stay a frame, as their number grows with the input; Spark picks the join by their size
+        hot = rows.groupBy("shard").count().where(F.col("count") > most).select("shard", F.lit(True).alias("hot")).checkpoint()
+        if hot.isEmpty():
             break
-        marks = distinct.sparkSession.createDataFrame(hot, "shard string, hot boolean")
-        marked = rows.join(F.broadcast(marks), "shard", "left")
+        marked = rows.join(hot, "shard", "left")
         done.append(marked.where(F.col("hot").isNull()).select("fp", "shard"))
         rows = marked.where("hot").select("fp", "shard", "mask")
     out = rows.select("fp", "shard")
@@ -221,17 +224,20 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = SHARD_M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # whole shards at a time: rows come sorted by shard
         def groups() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            held_fp, held_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
             for b in batches:
-                fp = np.concatenate([held_fp, b.column("fp").to_numpy()])
-                key = np.concatenate([held_key, b.column("key").to_numpy()])
-                last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-                if last > 20000:
+                if not b.num_rows:
+                    continue
+                held.append((b.column("fp").to_numpy(), b.column("key").to_numpy()))
+                size += b.num_rows
+                if size > 20000 and held[0][1][0] != held[-1][1][-1]:
+                    fp, key = map(np.concatenate, zip(*held))
+                    last = int(np.searchsorted(key, key[-1]))
                     yield fp[:last], key[:last]
-                    fp, key = fp[last:], key[last:]
-                held_fp, held_key = fp, key
-            if len(held_fp):
-                yield held_fp, held_key
+                    held, size = [(fp[last:], key[last:])], len(key) - last
+            if held:
+                yield tuple(map(np.concatenate, zip(*held)))
 
         for fp, key in groups():
             _, group, sizes = np.unique(key, return_inverse=True, return_counts=True)
@@ -247,12 +253,27 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = SHARD_M
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fp and root of all that the links (a, b) of one task connect."""
+    schema = pa.schema([("fp", pa.int64()), ("root", pa.int64())])
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if held:
+        a, b = map(np.concatenate, zip(*held))
+        fp, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = fp[roots_of(len(fp), at[: len(a)], at[len(a) :])]
+        for k in range(0, len(fp), 50_000):
+            yield record(schema, fp[k : k + 50_000], root[k : k + 50_000])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """fp and root for all that have links, by large-star and small-star rounds until nothing changes."""
+    """fp and root for all that have links, by large-star and small-star rounds until few are left or nothing
+    changes."""
     prepare(edges.sparkSession)
     state = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     seen = None
     for _ in range(most_rounds):
+        if state.count() <= FEW_LINKS:
+            return state.coalesce(1).mapInArrow(_settled, "fp long, root long")
         # large-star: larger neighbours go to the smallest of one's neighbourhood. Minima are aggregates
         # (combined before the shuffle) and a hub meets its minimum in a join, which AQE splits.
         both = state.select("a", "b").unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))

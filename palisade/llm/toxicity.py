@@ -10,8 +10,10 @@ in numpy by second-order boosting on at most TRAIN_ROWS labelled documents; pool
 fifth of them, which the trees don't see, calibrates the probability.
 
 Null and empty texts have zero features and get the score of those. Labels that are null or whose document
-is missing teach nothing; of repeated labels the largest counts. Without both classes among the labels the
-score is the share of label 1 (0.5 without labels).
+is missing teach nothing; of repeated labels the largest counts, of rows that repeat a doc_id the one of the smallest
+hash of its text. Repeated rows are scored each on its own, texts of any length whole; equal scores need no order.
+doc_id is a number; columns other than doc_id and text are not read, whatever their names. Without both classes
+among the labels the score is the share of label 1 (0.5 without labels). No documents: no rows.
 """
 
 from __future__ import annotations
