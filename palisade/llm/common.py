@@ -58,12 +58,17 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{prepare(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of text in memory for a byte of Catalyst's estimate, which counts Parquet files as they are (measured on
+#: the documents table: 2.5).
+EXPANSION = 3
+
+
 def partitions(df: DataFrame, each: int = 64 << 20) -> int:
     """How many partitions to deal df into: the session's number, or more where by Catalyst's estimate of df's
-    size a partition would be over `each` bytes, as tasks hold a partition of some shuffles in memory."""
+    size a partition would be over `each` bytes of text, as tasks hold a partition of some shuffles in memory."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return least if size >= 1 << 60 else max(least, -(-size // each))
+    return least if size >= 1 << 60 else max(least, -(-size * EXPANSION // each))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

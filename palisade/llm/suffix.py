@@ -18,11 +18,14 @@ two 64-bit hashes (its anchor's, h, and g of the run's own bytes, length and anc
    looked up by binary search in the sorted windows of the shards before.
 
 An anchor inside a very common passage may have so many different surroundings that one task should not hold
-them. Such anchors (over HOT different runs, as estimated on a 64th of the documents) are split: each of
-their windows becomes a run of its own under its own hash. The estimate decides only where work is done.
+them. Such anchors (over HOT different runs, or more where there are so many runs that this would be over ANCHORS
+anchors) are split: each of their windows becomes a run of its own under its own hash. Different runs are counted on
+the 16th of them whose hash g says so, wherever they lie, so an anchor can't hide in a few documents; and the count
+decides only where work is done. What is broadcast is ANCHORS numbers at the most.
 
 Documents go by doc_id (see common.numbered for nulls and repeats); null texts are empty and keep the hash of
-nothing. Texts are bytes; spans may begin within a character. Extra columns are left alone.
+nothing. Texts are bytes of any length; spans may begin within a character. Of equal strings the first stays, so
+there are no ties. Extra columns, whatever their names, are left alone. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -35,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import named, numbered, partitions, prepare, record, renamed, slices, texts
+from palisade.llm.common import named, numbered, partitions, prepare, record, renamed, slices, texts, trimmed
 from palisade.llm.decontaminate import powers
 
 LENGTH, GRAM = 100, 24
 #: Bytes of a shard's text; bytes of text hashed at once; runs that a task holds before it collapses them.
 SHARD, PIECE, HELD = 1 << 19, 1 << 19, 400_000
-#: Different runs under one anchor beyond which its windows are dealt out singly; one document in so many is
-#: looked at for that.
-HOT, SAMPLE = 5000, 64
+#: Different runs under one anchor beyond which its windows are dealt out singly; one run in so many is looked at
+#: for that; anchors that may be found so at most (a run is under one anchor).
+HOT, SAMPLE, ANCHORS = 1000, 16, 4_000_000
 _U = np.uint64
 _BYTES = np.random.default_rng(100).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
 _PLACE = (1 << 22) - 1
@@ -134,7 +137,7 @@ _RUNS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("rid", pa.int64()), ("
 _RUNS_SQL = "h long, g long, rid long, a int, n int, whole boolean"
 
 
-def gathered(docs: DataFrame, length: int, hot=None, collapse: bool = True) -> DataFrame:
+def gathered(docs: DataFrame, length: int, hot=None) -> DataFrame:
     """Runs of all documents. whole: a stretch of n bytes from a that is known to be repeated, found by
     collapsing equal runs in the task; else a run of n windows from a."""
 
@@ -148,8 +151,7 @@ def gathered(docs: DataFrame, length: int, hot=None, collapse: bool = True) -> D
             order = order[np.argsort((h ^ mix(g))[order], kind="stable")]
             h, g, rid, a, n = (x[order] for x in (h, g, rid, a, n))
             again = np.zeros(len(h), dtype=bool)
-            if collapse:
-                again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+            again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
             new = ~again
             yield from out(h[new], g[new], rid[new], a[new], n[new], False)
             if again.any():
@@ -175,7 +177,7 @@ def gathered(docs: DataFrame, length: int, hot=None, collapse: bool = True) -> D
         if held:
             yield from flush()
 
-    return docs.select("rid", "text").mapInArrow(run, _RUNS_SQL)
+    return docs.select("rid", "text").mapInArrow(trimmed(run), _RUNS_SQL)
 
 
 def merged(rid: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +229,7 @@ def resolved(found: DataFrame, length: int) -> DataFrame:
         several = new_g & (np.bincount(group, new_g)[group] > 1)
         yield from out(rid[several], a[several], n[several], h[several], True)
 
-    return found.mapInArrow(run, "rid long, a int, n int, h long, check boolean")
+    return found.mapInArrow(trimmed(run), "rid long, a int, n int, h long, check boolean")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -408,14 +410,80 @@ def compared(joined: DataFrame, length: int, n: int) -> DataFrame:
             yield from flush()
 
     cut_out = joined.mapInArrow(cuts, "h long, rid long, a int, n int, part binary")
-    return cut_out.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "rid long, a int, n int")
+    return cut_out.repartition(n, "h").sortWithinPartitions("h").mapInArrow(trimmed(run), "rid long, a int, n int")
 
 
 def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
-    """Anchors with over HOT different runs, as a sample of documents has them; at most all runs / HOT."""
-    some = docs.where(F.pmod(F.xxhash64("rid", F.length("text")), F.lit(SAMPLE)) == 0)
-    seen = gathered(some, length, collapse=False).select("h", "g").distinct().groupBy("h").count()
-    return np.array(sorted(r.h for r in seen.where(F.col("count") * SAMPLE > HOT).collect()), dtype=np.int64).view(np.uint64)
+    """Anchors with too many different runs for one task, ANCHORS at the most."""
+    seen = pa.schema([("h", pa.int64()), ("g", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, PIECE):
+            for text, ends, _, _ in pieces(batch, length):
+                h, g, _, _ = runs(text, ends, length)
+                some = g % _U(SAMPLE) == 0
+                found = np.unique(np.stack([h[some], g[some]]), axis=1).view(np.int64)
+                yield record(seen, found[0], found[1])
+
+    # equal runs are equal pairs, which tasks put together before the shuffle
+    counts = docs.select("rid", "text").mapInArrow(trimmed(run), "h long, g long").distinct().groupBy("h").count().checkpoint()
+    every = counts.agg(F.sum("count")).first()[0] or 0
+    least = max(HOT, every * SAMPLE // ANCHORS)
+    found = counts.where(F.col("count") * SAMPLE > least).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found).view(np.uint64)
+
+
+def listed(parts: DataFrame, n: int, checks: bool) -> DataFrame:
+    """rid and its stretches as one array (structs a, n; with `checks` h and check too), in n partitions. Stretches
+    that touch become one on the way, but for those that are still to check."""
+    names = ("a", "n", "h", "check") if checks else ("a", "n")
+    kind = pa.struct([(c, _PARTS.field(c).type) for c in names])
+    schema = pa.schema([("rid", pa.int64()), ("parts", pa.list_(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def joined() -> tuple[np.ndarray, ...]:
+            rid, a, n_, h, check = map(np.concatenate, zip(*held))
+            r, begin, end = merged(rid[~check], a[~check], (a + n_)[~check])
+            new = r, begin, end - begin, np.zeros(len(r), np.int64), np.zeros(len(r), bool)
+            out = [np.concatenate([x, y[check]]) for x, y in zip(new, (rid, a, n_, h, check))]
+            order = np.lexsort((out[1], out[0]))
+            return tuple(x[order] for x in out)
+
+        def put(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            rid = rows[0]
+            first = np.nonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))[0]
+            ends = np.concatenate([first, [len(rid)]])
+            for at in range(0, len(first), 2000):
+                lo, hi = ends[at], ends[min(at + 2000, len(first))]
+                values = [pa.array(x[lo:hi], kind.field(c).type) for c, x in zip(names, rows[1:])]
+                lists = pa.ListArray.from_arrays((ends[at : at + 2001] - lo).astype(np.int32), pa.StructArray.from_arrays(values, names=list(names)))
+                yield record(schema, rid[first[at : at + 2000]], lists)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
+            if not checks:
+                own += [np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)]
+            held.append(tuple(own))
+            size += batch.num_rows
+            if size > HELD:
+                rows = joined()
+                held.clear()
+                last = int(np.searchsorted(rows[0], rows[0][-1]))  # whose stretches may go on
+                if last:
+                    yield from put(tuple(x[:last] for x in rows))
+                held.append(tuple(x[last:] for x in rows))
+                size = 0
+        if held:
+            yield from put(joined())
+
+    inner = "a: int, n: int, h: bigint, check: boolean" if checks else "a: int, n: int"
+    dealt = parts.select("rid", *names).repartition(n, "rid").sortWithinPartitions("rid", "a")
+    return dealt.mapInArrow(trimmed(run), f"rid long, parts array<struct<{inner}>>")
 
 
 def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -426,11 +494,11 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = partitions(docs)
     hot = spark.sparkContext.broadcast(hot_anchors(docs, length))
     parts = resolved(gathered(docs, length, hot).repartition(n, "h"), length)
-    by_row = parts.groupBy("rid").agg(F.collect_list(F.struct("a", "n", "h", "check")).alias("parts")).checkpoint()
+    by_row = listed(parts, n, True).checkpoint()
     # texts are shuffled once: both uses of this join have the same columns and filters, so that Spark reuses
     # the exchange
     with_parts = docs.repartition(n, "rid").join(by_row, "rid", "left")
-    more = compared(with_parts, length, n).groupBy("rid").agg(F.collect_list(F.struct("a", "n")).alias("more"))
+    more = listed(compared(with_parts, length, n), n, False).withColumnRenamed("parts", "more")
     return with_parts.join(more, "rid", "left")
 
 
