@@ -26,6 +26,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def written(name: str) -> str:
+    """The SQL that a query has been registered with, for queries that build on it."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for name in PLANS:
         importlib.import_module(f"palisade.plans.{name}")

@@ -175,6 +175,17 @@ def wavelet(frames: DataFrame, width: int, cuts: DataFrame | None = None) -> Dat
     return row(df.withColumn("events", events), "wavelet", score, confidence, (d.n >= 4) & (score >= 0.35), "events", keep=True)
 
 
+def wavelet_levels(frames: DataFrame, width: int) -> DataFrame:
+    """clip_id, frames and the median energy of each band of the second Haar level, which goes over the first one's `ll`;
+    diagnostics only, the score has the first level."""
+    # the first level comes to be once, before what is made of it
+    first = frames.select("clip_id", T.haar(F.col("tiles"), width)["ll"].alias("ll"))
+    scale = T.mean_abs(F.col("ll")) + 1e-6
+    rows = first.select("clip_id", *((T.mean_abs(b) / scale).alias(f"level2_{n}") for n, b in T.haar(F.col("ll"), width // 2).items()))
+    names = [c for c in rows.columns if c != "clip_id"]
+    return rows.groupBy("clip_id").agg(F.count("*").alias("frames"), *(F.round(F.percentile(c, F.lit(0.5)), 6).alias(c) for c in names))
+
+
 def resampling(frames: DataFrame) -> DataFrame:
     """frames: clip_id, pos, signature. A diagnostic score that never takes part in fusion."""
     rows = S.pairs(frames, ["clip_id"], "pos", "signature")

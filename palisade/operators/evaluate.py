@@ -144,23 +144,41 @@ def rates(counts: DataFrame) -> DataFrame:
     return out.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
 
 
+def running(df: DataFrame, order: list[Column | str], *sums: str) -> DataFrame:
+    """df with <c>_before, the sum of a column over the rows before in an order. Rows are sorted over ranges and
+    added up within each; what comes together is one row of sums for each range."""
+    # an id holds the number of the range above its lowest 33 bits
+    rows = durable(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
+    before, starts = [0] * len(sums), []
+    for r in sorted(rows.groupBy("_part").agg(*(F.sum(c) for c in sums)).collect()):
+        starts.append((r[0], *before))
+        before = [x + (y or 0) for x, y in zip(before, r[1:])]
+    dim = df.sparkSession.createDataFrame(starts, ", ".join(["_part long", *(f"_{c} long" for c in sums)]))
+    above = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(F.broadcast(dim), "_part")
+    return joined.select(*df.columns, *((F.col(f"_{c}") + F.coalesce(F.sum(c).over(above), F.lit(0))).alias(f"{c}_before") for c in sums))
+
+
 def rank_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, positives, negatives, pairs, concordant, tied, discordant, auroc, average_precision of valid scores
-    of labelled rows (name, expected, score). Pairs are counted from cumulative counts by distinct score, not
-    made; a window goes over distinct scores of a key."""
-    rows = df.where(F.col("expected").isin("positive", "negative") & F.col("score").between(0.0, 1.0))
-    plus = F.count_if(F.col("expected") == "positive")
-    by_score = rows.groupBy(*keys, "score").agg(plus.alias("p"), (F.count("*") - plus).alias("n"))
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("n_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    pairs = ranked.groupBy(*keys).agg(
+    of labelled rows (name, expected, score). Pairs are counted from running counts by distinct score, not made."""
+    hit = (F.col("expected") == "positive").cast("long")
+    rows = df.where(F.col("expected").isin("positive", "negative") & F.col("score").between(0.0, 1.0)).withColumns({"hit": hit, "one": F.lit(1).cast("long")})
+
+    def within(found: DataFrame, *sums: str) -> DataFrame:
+        """Running sums from where a key begins; keys are few next to rows."""
+        if not keys:
+            return found
+        starts = found.groupBy(*keys).agg(*(F.min(f"{c}_before").alias(f"_{c}") for c in sums))
+        return found.join(starts, keys).withColumns({f"{c}_before": F.col(f"{c}_before") - F.col(f"_{c}") for c in sums})
+
+    by_score = rows.groupBy(*keys, "score").agg(F.sum("hit").alias("p"), F.sum(F.col("one") - F.col("hit")).alias("n"))
+    pairs = within(running(by_score, [*keys, "score"], "n"), "n").groupBy(*keys).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
-        F.sum(F.col("p") * F.col("n_below")).alias("concordant"), F.sum(F.col("p") * F.col("n")).alias("tied"),
+        F.sum(F.col("p") * F.col("n_before")).alias("concordant"), F.sum(F.col("p") * F.col("n")).alias("tied"),
     )
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "name")
-    seen = order.rowsBetween(Window.unboundedPreceding, 0)
-    steps = rows.withColumns({"k": F.row_number().over(order), "hits": F.sum((F.col("expected") == "positive").cast("int")).over(seen)})
-    precision = steps.where("expected = 'positive'").groupBy(*keys).agg(F.round(F.avg(F.col("hits") / F.col("k")), 6).alias("average_precision"))
+    steps = within(running(rows.select(*keys, "score", "name", "hit", "one"), [*keys, F.desc("score"), "name"], "hit", "one"), "hit", "one")
+    precision = steps.where("hit = 1").groupBy(*keys).agg(F.round(F.avg((F.col("hit_before") + 1) / (F.col("one_before") + 1)), 6).alias("average_precision"))
     out = pairs.withColumn("pairs", F.col("positives") * F.col("negatives"))
     out = out.withColumn("discordant", F.col("pairs") - F.col("concordant") - F.col("tied"))
     auroc = F.round(F.try_divide(F.col("concordant") + F.col("tied") * 0.5, F.col("pairs")), 6)
@@ -190,12 +208,13 @@ def operating_points(df: DataFrame, negative: float = NEGATIVE, provisional: boo
     marks = grid.unionByName(own).distinct().where((F.col("t") > negative) & (F.col("t") <= 1.0))
     # thresholds and scores in one order; a threshold comes before scores equal to it
     events = by_score.select(F.col("score").alias("v"), F.lit(1).alias("is_score"), *by_score.columns[1:]).unionByName(marks.select(F.col("t").alias("v"), F.lit(0).alias("is_score")), allowMissingColumns=True)
-    order = Window.orderBy(F.col("v").asc_nulls_first(), "is_score")
-    so_far, later = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    counts = events.select(
-        "v", "is_score", *((zero(f"{n}_below", so_far) + zero(f"{n}_above", later)).alias(n) for n in names), zero("labeled_here", everything).alias("labeled")
+    cells = [f"{n}_{side}" for n in names for side in ("below", "above")]
+    events = events.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in (*cells, "labeled_here")})
+    totals = events.agg(*(F.sum(c).alias(f"{c}_all") for c in (*cells, "labeled_here")))
+    so_far = running(events, [F.col("v").asc_nulls_first(), "is_score"], *cells)
+    # a threshold has nothing of its own: what is not before it comes after it
+    counts = so_far.join(F.broadcast(totals), F.lit(True)).select(
+        "v", "is_score", *((F.col(f"{n}_below_before") + F.col(f"{n}_above_all") - F.col(f"{n}_above_before")).alias(n) for n in names), F.col("labeled_here_all").alias("labeled")
     )
     counts = counts.where("is_score = 0").select(F.col("v").alias("positive_threshold"), *names, "labeled")
     return rates(counts.withColumn("abstain", F.col("labeled") - F.col("tp") - F.col("fp") - F.col("tn") - F.col("fn")))
@@ -234,6 +253,35 @@ def forced(score: Column, threshold: float) -> Column:
     return F.when(valid(score).isNotNull(), F.when(score >= threshold, "synthetic").otherwise("original"))
 
 
+#: The views of its evidence that a report can be judged by.
+EVIDENCE_SETS = ("all", "legacy", "new_additions", "directional")
+
+
+def evidence_view(fused: DataFrame, directional: DataFrame, evidence_set: str = "all") -> DataFrame:
+    """clip_id, evidence_set, score and label by which a report is judged: those of one of the fused sets (clip_id,
+    evidence_set, score, label), or the directional score (clip_id, score) with its label."""
+    if evidence_set not in EVIDENCE_SETS:
+        raise ValueError(f"evidence_set must be one of {', '.join(EVIDENCE_SETS)}")
+    if evidence_set != "directional":
+        return fused.where(F.col("evidence_set") == evidence_set).select("clip_id", "evidence_set", "score", "label")
+    label = F.when(F.col("score").isNotNull(), F.lit("directional-anomaly-score"))
+    return directional.select("clip_id", F.lit(evidence_set).alias("evidence_set"), "score", label.alias("label"))
+
+
+def forced_metrics(df: DataFrame, threshold: float, keys: list[str] | None = None) -> DataFrame:
+    """Counts and rates of forced buckets (expected, score), for each of keys; rates over nothing are null."""
+    rows = df.withColumn("bucket", forced(F.col("score"), threshold))
+    hit = lambda e, b: F.count_if((F.col("expected") == e) & (F.col("bucket") == b))
+    known = F.coalesce(F.col("expected").isin("positive", "negative"), F.lit(False))
+    counts = rows.groupBy(*(keys or [])).agg(
+        hit("positive", "synthetic").alias("true_positive"), hit("negative", "synthetic").alias("false_positive"), hit("negative", "original").alias("true_negative"),
+        hit("positive", "original").alias("false_negative"), F.count_if(~known | F.col("bucket").isNull()).alias("unscored"), F.count_if(known).alias("labeled"),
+    )
+    tp, fp, tn, fn = (F.col(c) for c in ("true_positive", "false_positive", "true_negative", "false_negative"))
+    rates_ = {"coverage": metric(tp + fp + tn + fn, F.col("labeled")), "sensitivity": metric(tp, tp + fn), "specificity": metric(tn, tn + fp)}
+    return counts.withColumns(rates_).drop("labeled")
+
+
 def class_medians(df: DataFrame) -> DataFrame:
     rows = df.where(F.col("score").between(0.0, 1.0))
     of = lambda e: F.round(F.percentile(F.when(F.col("expected") == e, F.col("score")), F.lit(0.5)), 6)

@@ -3,10 +3,12 @@
 Input, one row a clip and branch: clip_id, branch, branch_order, status, score, has_confidence,
 confidence_raw, coverage_raw, observed_raw (strings, so that missing, null and malformed stay apart),
 fusion_eligible. Clips: clip_id, quality_confounder, detection_frames. All evidence sets are fused in one
-pass, with the set as a key."""
+pass, with the set as a key. `keys` are what is fused apart: clips, or a clip's windows (clip_id, cell)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ SETS = {
     "legacy": ("temporal", "recompression", "frequency", "face", "spatial", "integrity", "audio"),
     "new_additions": ("periodicity", "codec", "avsync", "wavelet", "resampling"),
 }
+CLIP = ("clip_id",)
 QUALITY_GROUP, NON_FACE_QUALITY = "codec", ("codec", "wavelet")
 
 
@@ -37,10 +40,10 @@ def unit(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
-def weighed(branches: DataFrame, clips: DataFrame) -> DataFrame:
+def weighed(branches: DataFrame, clips: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
     """Branches that can take part, with `rejected` (why a malformed one can't) and `reliability`."""
     dim = F.broadcast(branch_dim(branches.sparkSession))
-    rows = branches.join(dim, "branch").join(clips.select("clip_id", "quality_confounder"), "clip_id", "left")
+    rows = branches.join(dim, "branch").join(clips.select(*keys, "quality_confounder"), [*keys], "left")
     number = lambda c: R.finite(F.col(c).try_cast("double"))
     able = (F.col("status") == "ok") & R.finite("score").isNotNull() & F.coalesce("fusion_eligible", F.lit(True))
     confidence = F.when(~F.col("has_confidence"), 0.5).when(F.col("confidence_raw").isNull(), 0.0).otherwise(number("confidence_raw"))
@@ -61,13 +64,13 @@ def weighed(branches: DataFrame, clips: DataFrame) -> DataFrame:
     )
 
 
-def _by_group(branches: DataFrame, clips: DataFrame) -> DataFrame:
-    """clip_id, evidence_set, grp with r (the representative, null where no branch takes part), group_weight,
+def _by_group(branches: DataFrame, clips: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
+    """keys, evidence_set, grp with r (the representative, null where no branch takes part), group_weight,
     members, bad (rejected branches)."""
-    rows = weighed(branches, clips).withColumn("evidence_set", F.explode("sets"))
+    rows = weighed(branches, clips, keys).withColumn("evidence_set", F.explode("sets"))
     able = F.col("rejected").isNull() & (F.col("reliability") > 0)
     pull = F.col("score") * F.col("reliability") * F.col("weight")
-    return rows.groupBy("clip_id", "evidence_set", "grp").agg(
+    return rows.groupBy(*keys, "evidence_set", "grp").agg(
         F.max_by(F.struct("branch", "score", "reliability", "weight"), F.when(able, F.struct(pull, -F.col("branch_order")))).alias("r"),
         F.max(F.when(able, F.col("weight"))).alias("group_weight"),
         F.count_if(able).alias("members"),
@@ -93,19 +96,19 @@ def group_votes(branches: DataFrame, clips: DataFrame) -> DataFrame:
     })
 
 
-def fuse(branches: DataFrame, clips: DataFrame) -> DataFrame:
-    """One row for each clip and evidence set, also for those without evidence."""
+def fuse(branches: DataFrame, clips: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
+    """One row for each of `keys` in clips and evidence set, also for those without evidence."""
     spark = branches.sparkSession
     sets = spark.createDataFrame([("all",), *((s,) for s in SETS)], "evidence_set string")
-    base = clips.select("clip_id", F.coalesce("quality_confounder", F.lit(False)).alias("confounded"), "detection_frames").crossJoin(F.broadcast(sets))
+    base = clips.select(*keys, F.coalesce("quality_confounder", F.lit(False)).alias("confounded"), "detection_frames").crossJoin(F.broadcast(sets))
     one = F.struct("grp", "r.branch", "r.score", "r.reliability", "r.weight", _direction(F.col("r.score")).alias("direction"))
-    grouped = _by_group(branches, clips).groupBy("clip_id", "evidence_set").agg(
+    grouped = _by_group(branches, clips, keys).groupBy(*keys, "evidence_set").agg(
         F.array_sort(F.collect_list(F.when(F.col("members") > 0, one))).alias("groups"),
         F.sum("group_weight").alias("total_weight"),
         F.max("members").alias("most_members"),
         F.flatten(F.collect_list("bad")).alias("bad"),
     )
-    df = base.join(grouped, ["clip_id", "evidence_set"], "left")
+    df = base.join(grouped, [*keys, "evidence_set"], "left")
     df = df.withColumns({
         "groups": F.when(F.size("groups") > 0, F.col("groups")),
         "rejected_branches": F.when(F.size("bad") > 0, F.map_from_entries(F.array_sort("bad"))),
@@ -203,7 +206,7 @@ def fuse(branches: DataFrame, clips: DataFrame) -> DataFrame:
     )
     six = lambda c: F.round(F.col(c), 6)
     return df.select(
-        "clip_id", "evidence_set", label.alias("label"), six("final").alias("score"), F.col("independent").alias("group_count"),
+        *keys, "evidence_set", label.alias("label"), six("final").alias("score"), F.col("independent").alias("group_count"),
         F.coalesce(F.round(unit(F.col("coverage")), 6), F.lit(0.0)).alias("evidence_coverage"),
         six("mid").alias("stable_anomaly_score"), six("group_mad").alias("robust_group_mad"), six("disagreement").alias("group_score_range"),
         "group_score_p10", "group_score_p90", F.coalesce(six("penalty"), F.lit(0.0)).alias("disagreement_penalty"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +49,11 @@ def face_gate(status: Column, detections: Column) -> Column:
     return F.when(F.coalesce(detections, F.lit(0.0)) < DETECTIONS, "abstain").otherwise(status)
 
 
-def reconcile(fused: DataFrame, routers: DataFrame) -> DataFrame:
+def reconcile(fused: DataFrame, routers: DataFrame, made: Sequence[str] = ("synthetic",), binary: Sequence[str] = ("synthetic", "original")) -> DataFrame:
     """clip_id, status, consensus, decision, conflicting_sources. fused: clip_id, label, score; routers: clip_id,
-    source (specialist or binary), status, label. The fused score stays authoritative; nothing is overridden."""
+    source (specialist or binary), status, label. made: labels of the specialist that say synthetic; binary: the
+    labels of the other router that say synthetic and original. The fused score stays authoritative; nothing is
+    overridden."""
     score = F.col("score")
     own = (
         F.when(F.col("label").startswith("abstain-"), "uncertain")
@@ -58,8 +62,8 @@ def reconcile(fused: DataFrame, routers: DataFrame) -> DataFrame:
         .otherwise("uncertain")
     )
     label = F.col("label")
-    theirs = F.when(F.col("source") == "specialist", F.when(label.isin("ai_generated", "face_deepfake"), "synthetic").otherwise("uncertain")).otherwise(
-        F.when(label.isin("synthetic", "original"), label).otherwise("uncertain")
+    theirs = F.when(F.col("source") == "specialist", F.when(label.isin(*made), "synthetic").otherwise("uncertain")).otherwise(
+        F.when(label == binary[0], "synthetic").when(label == binary[1], "original").otherwise("uncertain")
     )
     signals = fused.select("clip_id", F.lit("deterministic").alias("source"), own.alias("signal")).unionByName(
         routers.where("status = 'classified'").select("clip_id", "source", theirs.alias("signal"))

@@ -38,6 +38,14 @@ def sampled(cells: DataFrame, frames: DataFrame) -> DataFrame:
     return wanted.join(frames.withColumn("pos", F.col("pos").cast("long")), ["clip_id", "pos"])
 
 
+def cuts_within(cells: DataFrame, cuts: DataFrame) -> DataFrame:
+    """cells with `cut`, one row for each cut (clip_id, cut) from the window's first frame to its last; null where there
+    is none. An equi-join on the clip: a clip's windows are a handful."""
+    named = cuts.withColumnRenamed("clip_id", "_clip")
+    inside = (F.col("clip_id") == F.col("_clip")) & F.col("cut").between(F.col("start_frame"), F.col("end_frame"))
+    return cells.join(named, inside, "left").drop("_clip")
+
+
 def quorum(scored: Column, windows: Column, budgets: Column) -> dict[str, Column]:
     """How many evaluations have to agree."""
     need = F.when(scored <= 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(scored * 0.6)))

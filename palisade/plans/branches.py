@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palisade.catalogue import query
+from palisade.catalogue import query, written
 from palisade.functions import kernels, tiles as T
-from palisade.operators import branches as B
-from palisade.plans.standins import FRAME_SQL, SIGNAL_SQL, frames, signals
+from palisade.operators import analyze, branches as B
+from palisade.plans.fusion import FUSED_SQL
+from palisade.plans.standins import BRANCH_SQL, FRAME_SQL, SIGNAL_SQL, frames, signals
+from palisade.session import table
 
 _CHANGE = "WITH " + FRAME_SQL + """, sg AS (SELECT clip_id, pos, list_transform(tiles, lambda x: x / 32) AS s FROM frames),
 ch AS (SELECT b.clip_id, b.pos, list_avg(list_transform(list_zip(a.s, b.s), lambda z: abs(z[1] - z[2]))) AS d FROM sg a JOIN sg b ON a.clip_id = b.clip_id AND b.pos = a.pos + 1),
@@ -179,3 +181,79 @@ def decoder_branches(spark, sf_dir):
     clips = f.groupBy("clip_id").agg(F.count("*").alias("frames"), F.lit(1.0).alias("candidates"), F.lit(9).alias("flow_pairs"))
     face = B.face(f.select("clip_id", "pos", F.col("x").alias("move"), F.col("y").alias("resize"), F.col("z").alias("area")), clips)
     return B.union(temporal, recompression, integrity, face)
+
+
+_ENERGY = "WITH " + FRAME_SQL + """, q AS (
+  SELECT clip_id, frame_index, (tile // 8) // 2 * 4 + (tile % 8) // 2 AS k,
+         sum(v) FILTER (WHERE (tile // 8) % 2 = 0 AND tile % 2 = 0) AS a, sum(v) FILTER (WHERE (tile // 8) % 2 = 0 AND tile % 2 = 1) AS b,
+         sum(v) FILTER (WHERE (tile // 8) % 2 = 1 AND tile % 2 = 0) AS c, sum(v) FILTER (WHERE (tile // 8) % 2 = 1 AND tile % 2 = 1) AS d
+  FROM tiles GROUP BY ALL
+), w AS (SELECT clip_id, frame_index, k, (a + b + c + d) / 2 AS v FROM q),
+q2 AS (
+  SELECT clip_id, frame_index, (k // 4) // 2 * 2 + (k % 4) // 2 AS k2, sum(v) FILTER (WHERE (k // 4) % 2 = 0 AND k % 2 = 0) AS a, sum(v) FILTER (WHERE (k // 4) % 2 = 0 AND k % 2 = 1) AS b,
+         sum(v) FILTER (WHERE (k // 4) % 2 = 1 AND k % 2 = 0) AS c, sum(v) FILTER (WHERE (k // 4) % 2 = 1 AND k % 2 = 1) AS d
+  FROM w GROUP BY ALL
+), s AS (SELECT frame_index, avg(abs(v)) + 1e-6 AS s FROM w GROUP BY frame_index),
+e AS (
+  SELECT clip_id, frame_index, avg(abs(a + b + c + d)) / 2 AS ll, avg(abs(a + b - c - d)) / 2 AS lh, avg(abs(a - b + c - d)) / 2 AS hl, avg(abs(a - b - c + d)) / 2 AS hh FROM q2 GROUP BY clip_id, frame_index
+)
+"""
+
+
+@query(_ENERGY + """
+SELECT clip_id, count(*) AS frames, round(quantile_cont(ll / s, 0.5), 6) AS level2_ll, round(quantile_cont(lh / s, 0.5), 6) AS level2_lh, round(quantile_cont(hl / s, 0.5), 6) AS level2_hl, round(quantile_cont(hh / s, 0.5), 6) AS level2_hh
+FROM e JOIN s USING (frame_index) GROUP BY clip_id
+""")
+def wavelet_levels(spark, sf_dir):
+    """Median energies of the second level's bands."""
+    return B.wavelet_levels(frames(spark, sf_dir), 8)
+
+
+#: SQL of the shared sample of frames, at most 32 of each clip, in place of all frames.
+_SAMPLED = """
+every AS (
+  SELECT label AS clip_id, vec_id AS frame_index, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS n,
+         list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)) * 255) AS tiles
+  FROM embeddings
+), frames AS (
+  SELECT clip_id, frame_index, row_number() OVER (PARTITION BY clip_id ORDER BY place) - 1 AS pos, tiles FROM every
+  WHERE list_contains(list_transform(range(least(32, n)), lambda i: CASE WHEN i = least(32, n) - 1 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / (least(32, n) - 1)::DOUBLE)) AS BIGINT) END), place)
+), tiles AS (
+  SELECT clip_id, frame_index, pos, unnest(range(64)) AS tile, unnest(tiles) AS v FROM frames
+)"""
+
+
+def _sampled_sql(name, order):
+    own = written(f"{name}_branch").replace(FRAME_SQL, _SAMPLED)
+    return f"SELECT clip_id, '{name}' AS branch, {order} AS branch_order, 'ok' AS status, score, true AS has_confidence, CAST(confidence AS VARCHAR) AS confidence_raw, CAST(NULL AS VARCHAR) AS coverage_raw, CAST(NULL AS VARCHAR) AS observed_raw, {name != 'resampling'} AS fusion_eligible FROM ({own})"
+
+
+_ROWS = " UNION ALL ".join(_sampled_sql(n, B.REGISTRY[n].order) for n in ("periodicity", "wavelet", "spatial", "resampling"))
+
+
+def _inputs(spark, sf_dir):
+    """The branches' inputs from one shared sample of frames."""
+    from palisade.functions import robust as R
+
+    shared = analyze.shared_sample(frames(spark, sf_dir), 32)
+    t = F.col("tiles")
+    signed = shared.select("clip_id", "pos", "frame_index", F.transform("tiles", lambda x: x / 32).alias("signature"))
+    spots = shared.select("clip_id", "pos", T.hotspot(t).alias("hotspot"), (T.hottest(t) % 4).alias("hot_tile"), (R.array_median(t) / 1000).alias("noise"))
+    return {"periodicity": (signed,), "wavelet": (shared, 8), "spatial": (spots,), "resampling": (signed,)}
+
+
+@query(_ROWS)
+def analyzed_branches(spark, sf_dir):
+    """Branch rows as reports have them, made through the registry from one sample."""
+    return analyze.branch_rows(_inputs(spark, sf_dir)).drop("metrics")
+
+
+@query("WITH br AS (SELECT * FROM (" + _ROWS + ") WHERE score IS NOT NULL), clips AS (SELECT label AS clip_id, label % 5 = 0 AS quality_confounder, 9.0::DOUBLE AS detection_frames FROM embeddings GROUP BY label)" + FUSED_SQL.removeprefix("WITH " + BRANCH_SQL) + """
+SELECT clip_id, evidence_set, CASE WHEN abstain THEN 'abstain-insufficient-evidence' WHEN final < 0.3 THEN 'low-anomaly-signal' WHEN final < 0.62 THEN 'mixed-anomaly-signal' ELSE 'high-anomaly-signal' END AS label,
+  round(final, 6) AS score, CAST(coalesce(g, 0) AS INTEGER) AS group_count, CASE WHEN nothing THEN 0 ELSE round(least(1.0, cov), 6) END AS evidence_coverage FROM f
+""")
+def analyze_all(spark, sf_dir):
+    """Frames to fused scores in one plan."""
+    found = table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id")).distinct()
+    of = found.select("clip_id", (F.col("clip_id") % 5 == 0).alias("quality_confounder"), F.lit(9.0).alias("detection_frames"))
+    return analyze.analyze(_inputs(spark, sf_dir), of).select("clip_id", "evidence_set", "label", "score", "group_count", "evidence_coverage")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.catalogue import query
 from palisade.operators import evaluate as E
+from palisade.plans.fusion import FUSED_SQL, fused
+from palisade.plans.standins import clips
 from palisade.session import table
 
 REPORT_SQL = """
@@ -232,15 +237,10 @@ def branch_diagnostics(spark, sf_dir):
   SELECT name, round(score, 6) AS score, evidence_coverage * coalesce(1 - group_score_range, 0) * (1 - instability_score) AS c, coalesce(group_score_range > 0.2, false) AS apart FROM rp WHERE score BETWEEN 0 AND 1
 )
 SELECT name, score, CAST(row_number() OVER (ORDER BY score DESC, name) AS INTEGER) AS rank, round(c, 6) AS confidence, CASE WHEN c < 0.5 OR apart THEN 'low' ELSE 'moderate' END AS confidence_label FROM s
-QUALIFY rank <= 200
 """)
 def anomaly_ranking(spark, sf_dir):
-    """The 200 most anomalous reports; ranks of a sorted, limited list. All ranks are in anomaly_ranking_all."""
-    rows = E.ranking_confidence(reports(spark, sf_dir).where(F.col("score").between(0.0, 1.0)))
-    top = rows.select("name", F.round("score", 6).alias("score"), "confidence", "confidence_label").orderBy(F.desc("score"), "name").limit(200)
-    from pyspark.sql import Window
-
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "name")))
+    """Every report with a valid score, ranked."""
+    return E.ranking(reports(spark, sf_dir)).withColumn("rank", F.col("rank").cast("int"))
 
 
 @query("WITH " + REPORT_SQL + """, s AS (
@@ -249,7 +249,7 @@ def anomaly_ranking(spark, sf_dir):
 SELECT name, score, row_number() OVER (ORDER BY score DESC, name) AS rank, round(c, 6) AS confidence, CASE WHEN c < 0.5 OR apart THEN 'low' ELSE 'moderate' END AS confidence_label FROM s
 """)
 def anomaly_ranking_all(spark, sf_dir):
-    """Every report with a valid score, ranked."""
+    """As anomaly_ranking, with ranks as longs."""
     return E.ranking(reports(spark, sf_dir))
 
 
@@ -275,6 +275,40 @@ def forced_bucket(spark, sf_dir):
     )
 
 
+_TRUTH = ", tv AS (SELECT clip_id, evidence_set, round(final, 6) AS score, CASE clip_id % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' END AS expected FROM f)"
+
+
+def judged_sets(spark, sf_dir):
+    """Fused rows of all evidence sets with stand-in labels."""
+    k = F.col("clip_id") % 3
+    return fused(spark, sf_dir).withColumn("expected", F.when(k == 0, "positive").when(k == 1, "negative"))
+
+
+@query(FUSED_SQL + _TRUTH + """, fb AS (SELECT *, CASE WHEN score BETWEEN 0 AND 1 THEN score >= 0.5 END AS hi FROM tv),
+fc AS (
+  SELECT evidence_set, count(*) FILTER (WHERE expected = 'positive' AND hi) AS tp, count(*) FILTER (WHERE expected = 'negative' AND hi) AS fp, count(*) FILTER (WHERE expected = 'negative' AND NOT hi) AS tn,
+    count(*) FILTER (WHERE expected = 'positive' AND NOT hi) AS fn, count(*) FILTER (WHERE expected IS NULL OR hi IS NULL) AS unscored, count(expected) AS labeled FROM fb GROUP BY evidence_set
+)
+SELECT evidence_set, tp AS true_positive, fp AS false_positive, tn AS true_negative, fn AS false_negative, unscored, round((tp + fp + tn + fn) / nullif(labeled, 0)::DOUBLE, 6) AS coverage,
+  round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS sensitivity, round(tn / nullif(tn + fp, 0)::DOUBLE, 6) AS specificity FROM fc
+""")
+def forced_bucket_sets(spark, sf_dir):
+    """Forced buckets of each evidence set, with their rates."""
+    return E.forced_metrics(judged_sets(spark, sf_dir), 0.5, ["evidence_set"])
+
+
+@query(FUSED_SQL + _TRUTH + """, ds AS (SELECT clip_id, CASE WHEN clip_id % 4 > 0 THEN (clip_id % 10) / 10.0::DOUBLE END AS score FROM clips)
+SELECT clip_id, evidence_set, round(final, 6) AS score, CASE WHEN abstain THEN 'abstain-insufficient-evidence' WHEN final < 0.3 THEN 'low-anomaly-signal' WHEN final < 0.62 THEN 'mixed-anomaly-signal' ELSE 'high-anomaly-signal' END AS label FROM f
+UNION ALL SELECT clip_id, 'directional', score, CASE WHEN score IS NOT NULL THEN 'directional-anomaly-score' END FROM ds
+""")
+def evidence_views(spark, sf_dir):
+    """What each report is judged by, under each choice of evidence."""
+    rows = fused(spark, sf_dir)
+    k = F.col("clip_id")
+    directional = clips(spark, sf_dir).select("clip_id", F.when(k % 4 > 0, (k % 10) / 10.0).alias("score"))
+    return reduce(DataFrame.unionByName, (E.evidence_view(rows, directional, s) for s in E.EVIDENCE_SETS))
+
+
 @query()
 def evaluation_report(spark, sf_dir):
     """The evaluation as JSON."""

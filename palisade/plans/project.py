@@ -9,6 +9,9 @@ from palisade.operators import project as P
 from palisade.plans.fusion import FUSED_SQL, fused
 from palisade.plans.standins import branch_results, clips
 
+#: Labels of the stand-in specialist that say synthetic.
+MADE = ("ai_generated",)
+
 _ROUTERS = """, pr AS (
   SELECT clip_id, 'specialist' AS source, (clip_id % 50) / 50.0::DOUBLE AS a, (1 - (clip_id % 50) / 50.0::DOUBLE) * 0.75 AS b, 'ai_generated' AS la, 'real' AS lb FROM clips
   UNION ALL SELECT clip_id, 'binary', (clip_id * 7 % 40) / 40.0::DOUBLE, 1 - (clip_id * 7 % 40) / 40.0::DOUBLE, 'synthetic', 'original' FROM clips
@@ -70,12 +73,12 @@ sg AS (
 
 @query(_RECONCILE + "SELECT clip_id, status, CASE WHEN status = 'agreed' THEN s ELSE 'review' END AS decision, CASE WHEN status = 'conflict' THEN src ELSE '' END AS conflicting_sources FROM rs")
 def reconcile(spark, sf_dir):
-    out = P.reconcile(whole(spark, sf_dir), routers(spark, sf_dir))
+    out = P.reconcile(whole(spark, sf_dir), routers(spark, sf_dir), MADE)
     return out.select("clip_id", "status", "decision", F.array_join("conflicting_sources", ",").alias("conflicting_sources"))
 
 
 @query(_RECONCILE + "SELECT clip_id, CASE WHEN status = 'agreed' THEN s ELSE 'review' END AS decision, status AS decision_status, status = 'conflict' AS flagged FROM rs")
 def fused_decision(spark, sf_dir):
     rows = whole(spark, sf_dir)
-    out = P.attach(rows, P.reconcile(rows, routers(spark, sf_dir)))
+    out = P.attach(rows, P.reconcile(rows, routers(spark, sf_dir), MADE))
     return out.select("clip_id", "decision", "decision_status", F.array_contains("reason_codes", "cross-system-conflict").alias("flagged"))

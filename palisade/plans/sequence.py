@@ -28,7 +28,7 @@ def uniform_sample(spark, sf_dir):
   SELECT clip_id, pos, row_number() OVER (PARTITION BY clip_id ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY clip_id) AS n FROM u
 )
 SELECT clip_id, pos FROM s
-WHERE place IN (SELECT unnest(list_transform(range(7), lambda i: CASE WHEN i = 6 THEN 19 ELSE CAST(floor(i * (19 / 6.0::DOUBLE)) AS BIGINT) END))) AND n = 20
+WHERE list_contains(list_transform(range(least(7, n)), lambda i: CASE WHEN i = least(7, n) - 1 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / (least(7, n) - 1)::DOUBLE)) AS BIGINT) END), place)
 """)
 def bounded_subset(spark, sf_dir):
     """A branch's smaller sample of the shared one."""

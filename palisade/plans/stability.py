@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.catalogue import query
+from palisade.operators import fusion
 from palisade.operators import stability as T
 from palisade.plans.fusion import FUSED_SQL, fused
-from palisade.plans.standins import SIGNAL_SQL, clips, signals
+from palisade.plans.standins import BRANCH_SQL, SIGNAL_SQL, clips, signals, window_branches
 
 WINDOWS, BUDGETS = [1, 2, 3], [8, 16]
 
@@ -56,6 +57,17 @@ def stability_grid(spark, sf_dir):
     return T.grid(timed(spark, sf_dir), WINDOWS, BUDGETS)
 
 
+@query(FUSED_SQL + "," + SIGNAL_SQL + _GRID + """
+SELECT g.clip_id, CAST(window_seconds AS INTEGER) AS window_seconds, CAST(budget AS INTEGER) AS budget, count(s.pos) AS cuts, min(s.pos) AS first_cut, max(s.pos) AS last_cut
+FROM g LEFT JOIN (SELECT clip_id, pos FROM sig WHERE event_type = 'error') s ON s.clip_id = g.clip_id AND s.pos BETWEEN start_frame AND end_frame GROUP BY g.clip_id, window_seconds, budget
+""")
+def window_cuts(spark, sf_dir):
+    """The cuts (here: errors) within each window."""
+    cuts = signals(spark, sf_dir).where("event_type = 'error'").select("clip_id", F.col("pos").cast("long").alias("cut"))
+    found = T.cuts_within(T.grid(timed(spark, sf_dir), WINDOWS, BUDGETS), cuts)
+    return found.groupBy("clip_id", "window_seconds", "budget").agg(F.count("cut").alias("cuts"), F.min("cut").alias("first_cut"), F.max("cut").alias("last_cut"))
+
+
 @query(FUSED_SQL + _CELLS + "SELECT clip_id, cell, grp, score FROM gs")
 def stability_cells(spark, sf_dir):
     return cells(spark, sf_dir)[1]
@@ -101,6 +113,53 @@ def stability_decision(spark, sf_dir):
     return T.decision(*cells(spark, sf_dir), len(WINDOWS), len(BUDGETS))
 
 
+#: SQL of windows, each fused as a clip is: a window's clip_id is clip_id * 10000 + cell.
+_WINDOWS = ("WITH " + BRANCH_SQL + "," + SIGNAL_SQL).replace("), br AS (", "), br0 AS (").replace("), clips AS (", "), whole AS (") + _GRID.replace("FROM clips)", "FROM whole)") + """, wanted AS (
+  SELECT DISTINCT clip_id, window_seconds * 1000 + budget AS cell, CASE WHEN i = sample_count - 1 THEN end_frame ELSE CAST(floor(start_frame + i * ((end_frame - start_frame) / (sample_count - 1)::DOUBLE)) AS BIGINT) END AS pos
+  FROM (SELECT *, unnest(range(sample_count)) AS i FROM g)
+), br AS (
+  SELECT wanted.clip_id * 10000 + cell AS clip_id, branch, branch_order, CASE WHEN count(*) >= 2 THEN 'ok' ELSE 'unavailable' END AS status,
+         round(quantile_cont(value, 0.5) / (quantile_cont(value, 0.9) + 0.000001), 3) AS score, any_value(wanted.clip_id % 11 <> branch_order) AS has_confidence,
+         any_value(CASE WHEN wanted.clip_id % 13 = branch_order THEN 'bad' WHEN wanted.clip_id % 17 = branch_order THEN NULL ELSE '' END) AS odd, CAST(round(least(1.0, count(*) / 8.0::DOUBLE), 6) AS VARCHAR) AS plain,
+         CASE odd WHEN 'bad' THEN 'bad' WHEN '' THEN plain END AS confidence_raw, any_value(CASE WHEN wanted.clip_id % 19 = branch_order THEN 'x' ELSE '1.0' END) AS coverage_raw,
+         CASE WHEN any_value(wanted.clip_id) % 3 = 0 THEN CAST(count(*) AS VARCHAR) END AS observed_raw, any_value(NOT (wanted.clip_id % 23 = branch_order)) AS fusion_eligible
+  FROM wanted JOIN sig USING (clip_id, pos) JOIN dim ON dim.event_type = sig.event_type AND dim.half = hour(ts) % 2 GROUP BY wanted.clip_id, cell, branch, branch_order
+), clips AS (SELECT DISTINCT whole.clip_id * 10000 + window_seconds * 1000 + budget AS clip_id, quality_confounder, detection_frames FROM g JOIN whole USING (clip_id))
+""" + FUSED_SQL.removeprefix("WITH " + BRANCH_SQL)
+
+
+def windows(spark, sf_dir):
+    """Each window of each budget, fused from its own sample."""
+    cell = (F.col("window_seconds") * 1000 + F.col("budget")).cast("long").alias("cell")
+    grid = T.grid(timed(spark, sf_dir), WINDOWS, BUDGETS)
+    sampled = T.sampled(grid, signals(spark, sf_dir)).withColumn("cell", F.col("window_seconds") * 1000 + F.col("budget"))
+    of = clips(spark, sf_dir).select("clip_id", "quality_confounder", "detection_frames")
+    return fusion.fuse(window_branches(spark, sampled), grid.select("clip_id", cell).join(of, "clip_id"), ("clip_id", "cell"))
+
+
+@query(_WINDOWS + """
+SELECT CAST(floor(clip_id / 10000) AS BIGINT) AS clip_id, CAST(clip_id % 10000 AS BIGINT) AS cell, evidence_set,
+  CASE WHEN abstain THEN 'abstain-insufficient-evidence' WHEN final < 0.3 THEN 'low-anomaly-signal' WHEN final < 0.62 THEN 'mixed-anomaly-signal' ELSE 'high-anomaly-signal' END AS label,
+  round(round(final, 6), 4) AS score, CASE WHEN nothing THEN 0 ELSE round(least(1.0, cov), 6) END AS evidence_coverage, round(mid, 6) AS stable_anomaly_score, coalesce(prov, false) AS provisional_positive FROM f
+""")
+def window_fusion(spark, sf_dir):
+    return windows(spark, sf_dir).select("clip_id", "cell", "evidence_set", "label", F.round("score", 4).alias("score"), "evidence_coverage", "stable_anomaly_score", "provisional_positive")
+
+
+@query(_WINDOWS + """, gs AS (SELECT CAST(floor(clip_id / 10000) AS BIGINT) AS clip_id, clip_id % 10000 AS cell, grp, round(score, 6) AS score FROM rep WHERE evidence_set = 'all'),
+ce AS (SELECT CAST(floor(clip_id / 10000) AS BIGINT) AS clip_id, clip_id % 10000 AS cell, round(final, 6) AS score, round(mid, 6) AS stable_score, prov AS provisional FROM f WHERE evidence_set = 'all' AND NOT nothing)
+""" + _DECISION.removeprefix(FUSED_SQL + _CELLS) + """
+SELECT clip_id, n, round(round(med, 6), 4) AS score_median, round(round(rng, 6), 4) AS score_range, k AS consensus_count, ng AS negative_groups, pg AS positive_groups, neg AS stable_negative_support, pos AS provisional_positive_support FROM d
+""")
+def window_decision(spark, sf_dir):
+    """The decision over windows from their own fused scores and groups."""
+    rows = windows(spark, sf_dir).where("evidence_set = 'all' AND score IS NOT NULL")
+    scored = rows.select("clip_id", "cell", "score", F.col("stable_anomaly_score").alias("stable_score"), F.col("provisional_positive").alias("provisional"))
+    groups = rows.select("clip_id", "cell", F.explode("group_scores").alias("grp", "score"))
+    out = T.decision(scored, groups, len(WINDOWS), len(BUDGETS))
+    return out.select("clip_id", "n", F.round("score_median", 4).alias("score_median"), F.round("score_range", 4).alias("score_range"), "consensus_count", "negative_groups", "positive_groups", "stable_negative_support", "provisional_positive_support")
+
+
 _LABEL = "CASE WHEN abstain THEN 'abstain-insufficient-evidence' WHEN final < 0.3 THEN 'low-anomaly-signal' WHEN final < 0.62 THEN 'mixed-anomaly-signal' ELSE 'high-anomaly-signal' END"
 
 

@@ -90,21 +90,33 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _dim(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, h, b, ORDER.index(b)) for (t, h), b in BRANCH_OF.items()], "event_type string, half int, branch string, branch_order int")
+
+
 def _event_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = spark.createDataFrame([(t, h, b, ORDER.index(b)) for (t, h), b in BRANCH_OF.items()], "event_type string, half int, branch string, branch_order int")
     events = table(spark, sf_dir, "events").withColumn("half", F.hour("ts") % 2)
-    return events.join(F.broadcast(dim), ["event_type", "half"])
+    return events.join(F.broadcast(_dim(spark)), ["event_type", "half"])
 
 
 def branch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each clip and branch, with confidence, coverage and counts as a report would have them:
     missing, null or malformed for some."""
-    clip, order = F.col("user_id"), F.col("branch_order")
-    grouped = _event_branches(spark, sf_dir).groupBy("user_id", "branch", "branch_order").agg(
+    return graded(_event_branches(spark, sf_dir).withColumnRenamed("user_id", "clip_id"), "clip_id")
+
+
+def window_branches(spark: SparkSession, sampled: DataFrame) -> DataFrame:
+    """branch_results of each window's sample (clip_id, cell, ts, value, event_type)."""
+    return graded(sampled.withColumn("half", F.hour("ts") % 2).join(F.broadcast(_dim(spark)), ["event_type", "half"]), "clip_id", "cell")
+
+
+def graded(rows: DataFrame, *keys: str) -> DataFrame:
+    clip, order = F.col("clip_id"), F.col("branch_order")
+    grouped = rows.groupBy(*keys, "branch", "branch_order").agg(
         F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("mid"), F.percentile("value", F.lit(0.9)).alias("high")
     )
     return grouped.select(
-        clip.alias("clip_id"),
+        *keys,
         "branch",
         "branch_order",
         F.when(F.col("n") >= 2, "ok").otherwise("unavailable").alias("status"),

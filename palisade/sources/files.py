@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import wave
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +71,39 @@ def frame_probe(json: Column) -> Column:
     return F.when(F.size(found) >= 8, rows)
 
 
+def stream_probe(json: Column) -> Column:
+    """Struct codec_name, pix_fmt, bit_rate, color_range of the first stream of a probe's list; null where there is
+    none or the text is no JSON."""
+    return F.get(F.from_json(json, STREAM_PROBE)["streams"], F.lit(0))
+
+
+def wav(spark: SparkSession, path: str, max_seconds: float = 60.0) -> DataFrame:
+    """path, status (ok or unavailable), reason, rate and samples (mono, -1 to 1) of the WAV files under a path, of 8 or
+    16 bits, max_seconds at the most. A file is decoded in the task that reads it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(p, *decode_wav(bytes(c), max_seconds)) for p, c in zip(frame["path"], frame["content"])], columns=["path", "status", "reason", "rate", "samples"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, status string, reason string, rate int, samples array<float>")
+
+
+def decode_wav(content: bytes, max_seconds: float) -> tuple[str, str | None, int | None, np.ndarray | None]:
+    """status, reason, rate, samples of one WAV file."""
+    try:
+        with wave.open(io.BytesIO(content)) as f:
+            rate, width, channels = f.getframerate(), f.getsampwidth(), f.getnchannels()
+            raw = f.readframes(int(max_seconds * rate))
+    except (wave.Error, EOFError) as e:
+        return "unavailable", f"no WAV file: {e}", None, None
+    if width not in (1, 2):
+        return "unavailable", f"samples of {8 * width} bits", None, None
+    x = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], "<i2" if width == 2 else np.uint8).astype(np.float32)
+    x = x / 32768 if width == 2 else (x - 128) / 128
+    return "ok", None, rate, x.reshape(-1, channels).mean(axis=1)
+
+
 def write_reports(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object a line, nulls left out, NaN refused."""
     floats = [c for c, t in df.dtypes if t in ("double", "float")]
