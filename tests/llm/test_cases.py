@@ -7,7 +7,7 @@ import corpus_pipeline
 from palisade.llm import bpe, chat, decontaminate, langid, quality, simhash, suffix, tokenstore, topk, toxicity
 from palisade.llm.queries import vocabulary
 
-LONG = " ".join(f"word{k} and then some idiot text" for k in range(9000))
+LONG = " ".join(f"word{k} and then some idiot text" for k in range(36000))
 ROWS = [
     (1, "the quick brown fox jumps over the lazy dog near the old river bank today", "en", "a"),
     (1, "the quick brown fox jumps over the lazy dog near the old river bank today", "en", "a"),
