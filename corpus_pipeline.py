@@ -1,7 +1,9 @@
 """A training corpus from raw documents in five stages, each one operator of palisade.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next one's docs. All but the last keep the columns of documents, whatever else these hold."""
+the next one's docs. All but the last keep the columns of documents, whatever else these hold and whatever their
+names. doc_id is a number or null, and may repeat; texts may be of any length; without documents each stage returns no
+rows."""
 
 from __future__ import annotations
 
@@ -14,27 +16,30 @@ from palisade.llm.queries import vocabulary
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones among them, doesn't reject."""
+    """Documents that the quality classifier, fitted on the labelled ones among them, doesn't reject. Each row is judged
+    by its own text, a null or empty one too; without labels none is rejected."""
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
+    """One document of each group of near copies, that of the smallest doc_id (null ids first; of rows of one id that of
+    the smallest text). Null, empty and blank texts are near copies of each other."""
     return simhash.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeat earlier ones."""
+    """Documents without the bytes that repeat earlier ones, in the same order of rows. All rows stay; a null text stays
+    null, one that goes whole becomes empty."""
     return suffix.remove(docs)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items don't contaminate."""
+    """Documents that benchmark items don't contaminate. Null and empty texts have no words and stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document."""
+    """doc_id, n_tokens and ids of each document, one row a row; a null or empty text has none."""
     ids = bpe.encoded(docs, vocabulary("byte_bpe_50k.json"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -47,7 +52,8 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: The classifier's training can't be put in SQL; tests hold the pipeline against brute force.
+#: The classifier's training can't be put in SQL; tests/llm/test_pipeline_brute.py holds run() against its stages done
+#: plainly.
 ORACLE_SQL = None
 
 
