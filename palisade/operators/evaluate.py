@@ -289,6 +289,19 @@ def class_medians(df: DataFrame) -> DataFrame:
     return out.withColumn("gap", F.round(F.col("positive_median") - F.col("negative_median"), 6))
 
 
+def diagnostics(rows: DataFrame) -> DataFrame:
+    """How each branch's scores (name, expected, branch, score) tell the classes apart: rank metrics, class medians, and
+    how many labelled reports have no valid score of it."""
+    labelled = rows.where(F.col("expected").isin("positive", "negative"))
+    ok = F.col("score").between(0.0, 1.0)
+    of = lambda e: F.round(F.percentile(F.when(ok & (F.col("expected") == e), F.col("score")), F.lit(0.5)), 6)
+    medians = labelled.groupBy("branch").agg(
+        of("positive").alias("positive_median"), of("negative").alias("negative_median"), (F.count("*") - F.count_if(ok)).alias("missing_or_invalid")
+    )
+    ranks = rank_metrics(rows, ["branch"]).select("branch", "positives", "negatives", "concordant", "tied", "auroc", "average_precision")
+    return ranks.join(medians, "branch").withColumn("gap", F.round(F.col("positive_median") - F.col("negative_median"), 6))
+
+
 def audit(df: DataFrame, positive: float = POSITIVE, negative: float = NEGATIVE) -> DataFrame:
     """The whole evaluation as one row of nested structs: thresholds, metrics, ranking and class medians. What
     goes by report (decisions) or by threshold (operating points) stays a table of its own."""
@@ -305,3 +318,18 @@ def audit(df: DataFrame, positive: float = POSITIVE, negative: float = NEGATIVE)
     rows = rows.join(F.broadcast(one(medians, "medians")), F.lit(True), "left").join(F.broadcast(one(kinds, "counts")), F.lit(True), "left")
     bounds = F.struct(F.lit(positive).alias("positive"), F.lit(negative).alias("negative"))
     return rows.select(F.lit("evaluation-4").alias("schema_version"), bounds.alias("thresholds"), "metrics", "ranking", "medians", "counts")
+
+
+def sections(df: DataFrame, branches: DataFrame, positive: float = POSITIVE, negative: float = NEGATIVE) -> dict[str, DataFrame]:
+    """The whole evaluation as tables by name: its summary (one row of structs), each report's decision, the sweeps with
+    and without provisional decisions, the ranking of all reports and the branches' diagnostics. Each stays distributed.
+    branches: name, expected, branch, score."""
+    judged = classify(df, positive, negative)
+    return {
+        "summary": audit(df, positive, negative),
+        "decisions": judged.select("name", "expected", "score", "predicted", "decision_kind", "abstain_reasons"),
+        "operating_points": operating_points(df, negative),
+        "consensus_operating_points": operating_points(df, negative, provisional=True),
+        "ranking": ranking(df),
+        "branch_diagnostics": diagnostics(branches),
+    }

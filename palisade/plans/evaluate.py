@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.catalogue import query
+from palisade.catalogue import query, written
 from palisade.operators import evaluate as E
 from palisade.plans.fusion import FUSED_SQL, fused
 from palisade.plans.standins import clips
-from palisade.session import table
+from palisade.session import shared_path, table
+from palisade.sources import files
 
 REPORT_SQL = """
 rp AS (
@@ -223,14 +224,7 @@ SELECT branch, positives, negatives, positive_median, negative_median, round(pos
 FROM m JOIN pr USING (branch) JOIN ap USING (branch)
 """)
 def branch_diagnostics(spark, sf_dir):
-    rows = long_branches(spark, sf_dir)
-    labelled = rows.where(F.col("expected").isNotNull())
-    good = labelled.where(F.col("score").between(0.0, 1.0))
-    of = lambda e: F.round(F.percentile(F.when(F.col("expected") == e, F.col("score")), F.lit(0.5)), 6)
-    medians = good.groupBy("branch").agg(of("positive").alias("positive_median"), of("negative").alias("negative_median"))
-    missing = labelled.groupBy("branch").agg((F.count("*") - F.count_if(F.col("score").between(0.0, 1.0))).alias("missing_or_invalid"))
-    ranks = E.rank_metrics(rows, ["branch"]).select("branch", "positives", "negatives", "concordant", "tied", "auroc", "average_precision")
-    return ranks.join(medians, "branch").join(missing, "branch").withColumn("gap", F.round(F.col("positive_median") - F.col("negative_median"), 6))
+    return E.diagnostics(long_branches(spark, sf_dir))
 
 
 @query("WITH " + REPORT_SQL + """, s AS (
@@ -314,3 +308,30 @@ def evaluation_report(spark, sf_dir):
     """The evaluation as JSON."""
     out = E.audit(reports(spark, sf_dir))
     return out.select(F.to_json(F.struct(*out.columns)).alias("report"))
+
+
+def _one(name: str) -> str:
+    return f"({written(name)})"
+
+
+@query("SELECT 0.62::DOUBLE AS positive_threshold, 0.3::DOUBLE AS negative_threshold, m.*, k.positives, k.negatives, k.pairs, k.concordant, k.tied, k.discordant, k.auroc, k.average_precision, "
+  "g.*, n.provisional_positive_count, n.unlabeled_count FROM " + _one("confusion_metrics") + " m, " + _one("rank_metrics") + " k, " + _one("class_median_gap") + " g, (" + _STANDARD + """
+  SELECT count(*) FILTER (WHERE kind = 'provisional-positive') AS provisional_positive_count, count(*) FILTER (WHERE expected IS NULL) AS unlabeled_count FROM c) n
+""")
+def evaluation_summary(spark, sf_dir):
+    """The evaluation's one row, flat."""
+    out = E.audit(reports(spark, sf_dir))
+    bounds = [F.col(f"thresholds.{b}").alias(f"{b}_threshold") for b in ("positive", "negative")]
+    return out.select(*bounds, "metrics.*", "ranking.*", "medians.*", "counts.*")
+
+
+@query("WITH d AS " + _one("classify_standard") + ", o AS " + _one("operating_points") + ", p AS " + _one("consensus_operating_points") + ", a AS " + _one("anomaly_ranking_all") + ", b AS " + _one("branch_diagnostics") + """
+SELECT 'summary' AS section, 1 AS n UNION ALL SELECT 'decisions', count(*) FROM d UNION ALL SELECT 'operating_points', count(*) FROM o
+UNION ALL SELECT 'consensus_operating_points', count(*) FROM p UNION ALL SELECT 'ranking', count(*) FROM a UNION ALL SELECT 'branch_diagnostics', count(*) FROM b
+""")
+def evaluation_sections(spark, sf_dir):
+    """The whole evaluation, written as JSON and read again: the rows of each section."""
+    path = shared_path(spark, "evaluation")
+    tables = E.sections(reports(spark, sf_dir), long_branches(spark, sf_dir))
+    files.write_evaluation(tables, path)
+    return reduce(DataFrame.unionByName, (spark.read.text(f"{path}/{s}").agg(F.lit(s).alias("section"), F.count("*").alias("n")) for s in tables))

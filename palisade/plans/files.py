@@ -87,7 +87,12 @@ def adapter_availability(spark, sf_dir):
     return adapters.availability(spark)
 
 
-@query()
+@query("""
+WITH f AS (SELECT i, CASE WHEN i < 12 THEN 40 ELSE 120 END AS ground, i * 6 % 32 AS box FROM range(24) t(i)),
+p AS (SELECT i, k, CAST(CASE WHEN k % 48 >= box AND k % 48 < box + 16 AND k // 48 >= 10 AND k // 48 < 22 THEN 255 ELSE ground END AS DOUBLE) AS v FROM f, range(48 * 32) r(k)),
+d AS (SELECT i, abs(v - lag(v) OVER (PARTITION BY k ORDER BY i)) AS change FROM p)
+SELECT i AS frame_index, avg(change) AS change FROM d WHERE i > 0 GROUP BY i
+""")
 def synthetic_clip_motion(spark, sf_dir):
     """Mean change between frames of the generated clip."""
     from palisade.operators import sequence as S

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, else one set before, else, in local runs, an own one."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="palisade-")
+    if not held.isDefined():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df's rows as they are now, in the folder that all executors share (spark.checkpoint.dir; an own one where
-    that is unset), so that a task that runs again finds the same rows in the same partitions."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palisade-"))
+    """df's rows as they are now, in the shared folder, so that a task that runs again finds the same rows in the same
+    partitions."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

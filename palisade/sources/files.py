@@ -111,6 +111,12 @@ def write_reports(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     clean.write.mode(mode).json(path)
 
 
+def write_evaluation(sections: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
+    """A folder of JSON lines for each section of an evaluation."""
+    for name, rows in sections.items():
+        write_reports(rows, f"{path.rstrip('/')}/{name}", mode)
+
+
 def synthetic_clip(spark: SparkSession, frames: int = 24, width: int = 96, height: int = 64, cut: int = 12, kind: str = "plain") -> DataFrame:
     """frame_index and pixels (grey, row-major) of a box that moves over a ground which steps at a cut.
     "duplicate-burst" repeats frame 4 eight times, "interpolation" makes frames 4 to 6 blends of 3 and 7."""
