@@ -12,8 +12,8 @@ spans of the formatted text, one for each assistant turn's escaped text.
 Turns go by (turn, role, text), nulls first; repeated rows stay. A null role is an empty role; a null text
 is empty. A conversation is one row of output, so one conversation's turns meet in one row, whatever its
 length: that is the operator's result, and the only thing that is gathered: its turns are sorted as structs and
-merged by aggregations over the array. Rows with a null conv_id make up one conversation. Texts may be of any
-length that a row holds. Columns other than conv_id, turn, role and text are not read. No rows, no conversations.
+merged by aggregations over the array. Rows with a null conv_id make up one conversation. Roles and
+texts may be of any length that a row holds. Columns other than conv_id, turn, role and text are not read. No rows, no conversations.
 """
 
 from __future__ import annotations
@@ -103,7 +103,8 @@ def read_turns(formatted: Column) -> Column:
     blocks = F.filter(F.split(formatted, TURN), lambda b: F.length(b) > 0)
 
     def block(b: Column) -> Column:
-        head = F.regexp_extract(b, r"(?s)^### ((?:[^\\:]|\\.)*): ", 1)
+        # possessive groups, which Java's engine matches in a loop; else a long role would use up its stack
+        head = F.regexp_extract(b, r"(?s)^### ((?:[^\\:]++|\\.)*+): ", 1)
         body = F.substring(b, F.length(head) + F.lit(len("### : ") + 1), F.length(b))
         return F.transform(F.split(body, PART), lambda p: F.struct(unescape(head).alias("role"), unescape(p).alias("text")))
 

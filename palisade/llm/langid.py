@@ -9,7 +9,7 @@ to the larger sum of margins. Machines are fitted in numpy on at most TRAIN_ROWS
 doc_id, an equal share of each language: all of those that have fewer, and what they leave goes to the others.
 
 A null text, or one without a letter, is `und` with score 0. Rows with a null lang teach nothing; of rows that
-repeat a doc_id and a lang one teaches (the smallest hash of its text), so the bound is one of rows. Repeated rows
+repeat a doc_id and a lang one teaches (the smallest hash of its text), and they count as one for the bound. Repeated rows
 are judged each on its own, texts of any length whole, n-grams across the parts in which they are counted included.
 Equal votes and margins go to the language whose name comes first. doc_id is a number; columns other than it, text
 and (for fit) lang are not read, whatever their names. With no language to learn, all is `und`; with one, all that
@@ -139,13 +139,14 @@ def fit(docs: DataFrame, learn=None, most: int = TRAIN_ROWS) -> Model:
     # ids are chosen without their texts: each language in 64 parts by hash, of each of which Spark keeps the first
     # ranks before it shuffles; then places in the language, by k and by hash among the (at most 64) rows of a k
     by_part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    # a row for each id and language first, as the bound is one of ids: repeats use none of it up
+    ids = rows.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod("h", F.lit(64)))
     some = ids.withColumn("k", F.row_number().over(by_part)).where(F.col("k") <= most // 16)
     earlier = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     before = some.groupBy("lang", "k").count().select("lang", "k", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     by_k = Window.partitionBy("lang", "k").orderBy("h", "doc_id", "part")
     placed = some.withColumn("r", F.row_number().over(by_k)).join(before, ["lang", "k"]).withColumn("place", F.col("before") + F.col("r"))
-    chosen = placed.orderBy("place", "h", "doc_id", "lang").limit(most).select("doc_id", "lang").distinct()
+    chosen = placed.orderBy("place", "h", "doc_id", "lang").limit(most).select("doc_id", "lang")
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
