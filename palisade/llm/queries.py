@@ -7,7 +7,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import bpe, chat, decontaminate, langid, quality, simhash, suffix, tokenstore, topk, toxicity
+from palisade.llm import bpe, chat, decontaminate, langid, negatives, pieces, quality, simhash, suffix, tokenstore, topk, toxicity, whitening
 from palisade.llm.common import table
 
 
@@ -61,6 +61,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_suffix_dedup, op2_quality, op3_decontaminate, op4_topk, op5_langid, op6_chat, op7_bpe, op8_token_store, op9_simhash, op10_toxicity)
-    out = {f.__name__: f for f in own}
+    out = {f.__name__: f for f in (*own, op11_hard_negatives, op12_sentencepiece, op13_whitening)}
     if find_spec("corpus_pipeline"):
         out["pipeline"] = pipeline
     return out
@@ -92,6 +104,30 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.n, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM v a JOIN v c ON len(a.v) = len(c.v)
+  WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT n, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS r
+  FROM s WHERE same AND vec_id <> anchor_id QUALIFY r <= 5
+), m AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.n, p.r ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.n = s.n AND NOT s.same
+  WHERE CAST(30 AS HUGEINT) * positive_score <= CAST(100 AS HUGEINT) * s.score AND CAST(100 AS HUGEINT) * s.score <= CAST(90 AS HUGEINT) * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 10
+"""
+
 CHAT_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -142,4 +178,4 @@ FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": DECONTAMINATE_SQL, "op4_topk": TOPK_SQL, "op6_chat": CHAT_SQL}
+    return {"op3_decontaminate": DECONTAMINATE_SQL, "op4_topk": TOPK_SQL, "op6_chat": CHAT_SQL, "op11_hard_negatives": NEGATIVES_SQL}
