@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "fusion_all"
-PLANS = ("robust", "sequence", "tiles", "files", "branches", "fusion", "localize", "stability", "evaluate", "project")
+PLANS = ("robust", "sequence", "tiles", "files", "branches", "pixels", "fusion", "localize", "stability", "evaluate", "project")
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

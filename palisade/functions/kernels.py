@@ -1,7 +1,6 @@
 """Pixel and sound kernels that need array arithmetic: Arrow-batched UDFs over numpy, each a small function.
 
-A frame is a row-major array of grey values of a given width. Resizing is by box averages, which is close to
-but not the same as a video library's area filter."""
+A frame is a row-major array of grey values of a given width."""
 
 from __future__ import annotations
 
@@ -11,21 +10,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from palisade.functions import vision
+
 
 def gaussian(sigma: float) -> np.ndarray:
-    k = np.arange(-int(4 * sigma + 0.5), int(4 * sigma + 0.5) + 1)
+    k = np.arange(-(round(8 * sigma + 1) | 1) // 2 + 1, (round(8 * sigma + 1) | 1) // 2 + 1)
     w = np.exp(-(k**2) / (2 * sigma**2))
     return w / w.sum()
 
 
 def high_pass(frame: np.ndarray, sigma: float) -> np.ndarray:
-    """The frame less its Gaussian blur, edges mirrored."""
+    """The frame less its Gaussian blur, borders reflected without their pixel."""
     w = gaussian(sigma)
     r = len(w) // 2
     out = frame.astype(np.float64)
     for axis in (0, 1):
         pad = [(r, r) if a == axis else (0, 0) for a in (0, 1)]
-        wide = np.pad(out, pad, mode="symmetric")
+        wide = np.pad(out, pad, mode="reflect")
         out = sum(v * np.take(wide, range(i, i + frame.shape[axis]), axis=axis) for i, v in enumerate(w))
     return frame - out
 
@@ -50,36 +51,38 @@ def dct_energy(frame: np.ndarray, block: int = 8) -> float:
 
 
 def blockiness(frame: np.ndarray) -> float:
-    """Gradients across 8-pixel boundaries over those within blocks."""
+    """Gradients across 8-pixel boundaries over those within blocks: of both the sum of the means by direction. 1 where a
+    direction has no boundary."""
     rows, columns = np.abs(np.diff(frame, axis=0)), np.abs(np.diff(frame, axis=1))
-    edge = np.concatenate([rows[7::8].ravel(), columns[:, 7::8].ravel()])
-    inner = np.concatenate([rows[3::8].ravel(), columns[:, 3::8].ravel()])
-    return float(edge.mean() / (inner.mean() + 1e-6)) if len(edge) and len(inner) else 1.0
-
-
-def box_resize(frame: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Averages of the source pixels under each target pixel; nearest ones where it grows."""
-    y, x = (np.linspace(0, s, n + 1) for s, n in zip(frame.shape, (height, width)))
-    total = np.pad(frame.astype(np.float64).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-    lo_y, lo_x = np.floor(y[:-1]).astype(int), np.floor(x[:-1]).astype(int)
-    hi_y, hi_x = np.maximum(lo_y + 1, np.floor(y[1:]).astype(int)), np.maximum(lo_x + 1, np.floor(x[1:]).astype(int))
-    area = (hi_y - lo_y)[:, None] * (hi_x - lo_x)[None]
-    return (total[np.ix_(hi_y, hi_x)] - total[np.ix_(lo_y, hi_x)] - total[np.ix_(hi_y, lo_x)] + total[np.ix_(lo_y, lo_x)]) / area
-
-
-def content(frame: np.ndarray, dark: float = 8.0, aspect: float = 16 / 9) -> np.ndarray:
-    """The frame without dark bars, cut about its center to an aspect, at 256 x 144."""
-    rows, columns = np.nonzero(frame.max(axis=1) > dark)[0], np.nonzero(frame.max(axis=0) > dark)[0]
-    if len(rows) and len(columns):
-        frame = frame[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1]
-    h, w = frame.shape
-    if w > h * aspect:
-        keep = max(1, int(h * aspect))
+    edge, inner = (rows[7::8], columns[:, 7::8]), (rows[3::8], columns[:, 3::8])
+    if not all(x.size for x in (*edge, *inner)):
+        return 1.0
+    return float(sum(x.mean() for x in edge) / (sum(x.mean() for x in inner) + 1e-6))
+
+
+#: A border is dark below this, its frame lighter by so much; how far a row or column is over the border,
+#: how much of it, and how many are needed.
+DARK, LIGHTER, OVER, LIT, NEEDED = 12.0, 5.0, 3.0, 0.08, 8
+
+
+def content(frame: np.ndarray, size: tuple[int, int] = (144, 256)) -> np.ndarray:
+    """The frame (grey or colour) without dark bars, if its border is dark and its middle lighter, cut about its centre to
+    the aspect of `size` (height, width) and resized."""
+    grey = np.rint(gray(frame)) if frame.ndim == 3 else frame
+    border = np.concatenate([grey[0], grey[-1], grey[:, 0], grey[:, -1]])
+    if np.median(border) < DARK and np.median(grey) > np.median(border) + LIGHTER:
+        lit = grey > max(8.0, np.percentile(border, 90) + OVER)
+        rows, columns = np.nonzero(lit.mean(axis=1) > LIT)[0], np.nonzero(lit.mean(axis=0) > LIT)[0]
+        if min(len(rows), len(columns)) >= NEEDED:
+            frame = frame[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1]
+    (h, w), aspect = frame.shape[:2], size[1] / size[0]
+    if w / h > aspect:
+        keep = max(1, round(h * aspect))
         frame = frame[:, (w - keep) // 2 : (w - keep) // 2 + keep]
-    else:
-        keep = max(1, int(w / aspect))
+    elif w / h < aspect:
+        keep = max(1, round(w / aspect))
         frame = frame[(h - keep) // 2 : (h - keep) // 2 + keep]
-    return box_resize(frame, 144, 256)
+    return vision.area_resize(frame, *size)
 
 
 def gray(pixels: np.ndarray) -> np.ndarray:
@@ -98,20 +101,15 @@ def divergence(flow: np.ndarray) -> float:
 
 
 def occlusion(forward: np.ndarray, backward: np.ndarray, bound: float = 1.5) -> float:
-    """Share of pixels whose flow there and back doesn't cancel out."""
-    return float((np.hypot(*(forward + backward).reshape(-1, 2).T) > bound).mean())
+    """Share of pixels whose flow there, and back from where that leads, don't cancel out."""
+    both = forward + vision.warp(backward, forward)
+    return float((np.hypot(both[..., 0], both[..., 1]) > bound).mean())
 
 
 def hue_saturation(pixels: np.ndarray) -> np.ndarray:
-    """A 16 x 8 histogram of hue and saturation of (n, 3) blue-green-red values, which sums to one."""
-    b, g, r = (pixels[:, k].astype(np.float64) for k in range(3))
-    high, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
-    span = high - low
-    safe = np.where(span == 0, 1, span)
-    hue = np.where(high == r, (g - b) / safe % 6, np.where(high == g, (b - r) / safe + 2, (r - g) / safe + 4)) / 6
-    hue = np.where(span == 0, 0.0, hue)
-    saturation = np.where(high == 0, 0.0, span / np.where(high == 0, 1, high))
-    out = np.histogram2d(hue, saturation, bins=(16, 8), range=((0, 1), (0, 1)))[0].ravel()
+    """A 16 x 8 histogram of hue and saturation, in whole numbers of bytes, of (n, 3) blue-green-red values; it sums to one."""
+    colour = vision.hsv(pixels)
+    out = np.histogram2d(colour[:, 0], colour[:, 1], bins=(16, 8), range=((0, 180), (0, 256)))[0].ravel()
     return out / max(out.sum(), 1)
 
 

@@ -31,12 +31,15 @@ class Stat:
 
 def with_stats(df: DataFrame, *names: str) -> DataFrame:
     """Adds <name>_n, _med, _mad and _out for array columns; median and deviation of nothing are null."""
-    for a in names:
-        x = F.filter(a, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-        df = df.withColumn(a, x)
-        df = df.withColumns({f"{a}_n": F.size(a), f"{a}_med": R.array_median(F.col(a))})
-        df = df.withColumns({f"{a}_mad": R.array_mad(F.col(a), F.col(f"{a}_med")), f"{a}_out": R.array_outlier_fraction(F.col(a))})
-    return df
+    # as SQL text, which the session parses at once, and in steps for all arrays together: expressions built piece by
+    # piece take longer than running them
+    one = lambda x: f"get(transform(array(array_sort({x})), s -> (get(s, (size(s) - 1) div 2) + get(s, size(s) div 2)) / 2), 0)"
+    middle = lambda x: f"CASE WHEN size({x}) > 0 THEN {one(x)} END"
+    df = df.withColumns({a: F.expr(f"filter({a}, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('inf'))") for a in names})
+    df = df.withColumns({f"{a}_{s}": F.expr(c) for a in names for s, c in (("n", f"size({a})"), ("med", middle(a)))})
+    df = df.withColumns({f"{a}_mad": F.expr(middle(f"transform({a}, v -> abs(v - {a}_med))")) for a in names})
+    far = lambda a: f"filter({a}, v -> CASE WHEN {a}_mad < {R.FLOOR}D THEN abs(v - {a}_med) > {R.FLOOR}D ELSE abs(v - {a}_med) > {R.OUTLIER}D * {R.MAD_SCALE}D * {a}_mad END)"
+    return df.withColumns({f"{a}_out": F.expr(f"CASE WHEN {a}_n < 3 THEN 0D ELSE size({far(a)}) / {a}_n END") for a in names})
 
 
 def stat(a: str) -> Stat:
@@ -74,7 +77,8 @@ def temporal(pairs: DataFrame) -> DataFrame:
     e, f, loc = stat("error"), stat("flow"), stat("local")
     spread = c(e.mad / (e.med + 0.01) * 3)
     parts = 0.25 * c(pos(spread - 0.75) * 2) + 0.20 * c(pos(e.out - 0.20) * 4) + 0.35 * c(pos(f.out - 0.25) * 4) * c((f.n - 8) / 20) + 0.20 * c(pos(loc.out - 0.15) * 4)
-    tracked = F.when(f.n > 0, full(R.or_zero(R.array_median(F.col("tracked"))) / 20)).otherwise(1.0)
+    # features tracked in all pairs together
+    tracked = F.when(f.n > 0, full(F.aggregate("tracked", F.lit(0.0), lambda a, v: a + v) / 20)).otherwise(1.0)
     return row(df, "temporal", c(parts), full(e.n / 10) * tracked, (e.n >= 3) & (F.col("gap_med") <= 60))
 
 
@@ -96,15 +100,15 @@ def frequency(frames: DataFrame) -> DataFrame:
 
 
 def face(jumps: DataFrame, clips: DataFrame) -> DataFrame:
-    """jumps: clip_id, pos, move, resize, area (of a detection; move and resize null for the first); clips:
+    """jumps: clip_id, pos, move, resize, geometry (of a detection; move and resize null for the first); clips:
     clip_id, frames, candidates (median a frame), flow_pairs."""
-    df = gathered(jumps, "move", "resize", "area").join(clips, "clip_id")
+    df = clips.join(gathered(jumps, "move", "resize", "geometry"), "clip_id", "left")
     m, s = stat("move"), stat("resize")
-    mean = R.array_mean(F.col("area"))
-    spread = R.let(mean, lambda v: F.sqrt(R.array_mean(F.transform("area", lambda x: (x - v) * (x - v)))) / (v + 1e-6))
+    mean = R.array_mean(F.col("geometry"))
+    spread = R.let(mean, lambda v: F.sqrt(R.array_mean(F.transform("geometry", lambda x: (x - v) * (x - v)))) / (v + 1e-6))
     df = df.withColumn("geometry_cv", R.or_zero(spread))
-    score = c(0.35 * c(m.mad / R.falsy(F.col("move_med"), 0.02)) + 0.35 * c(s.mad / R.falsy(F.col("resize_med"), 0.01)) + 0.90 * F.col("geometry_cv"))
-    seen = F.col("area_n")
+    score = c(0.35 * m.mad / R.falsy(F.col("move_med"), 0.02) + 0.35 * s.mad / R.falsy(F.col("resize_med"), 0.01) + 0.90 * F.col("geometry_cv"))
+    seen = F.coalesce("geometry_n", F.lit(0))
     confidence = full(seen / 12) * full(seen / F.col("frames"))
     supported = (seen >= 4) & (confidence >= 0.3) & (F.col("geometry_cv") >= 0.10) & (score >= 0.25) & (F.col("candidates") <= 3) & (F.col("flow_pairs") >= 3)
     return row(df, "face", score, confidence, supported, "geometry_cv")

@@ -8,7 +8,8 @@ from palisade.catalogue import query, written
 from palisade.functions import kernels, tiles as T
 from palisade.operators import analyze, branches as B
 from palisade.plans.fusion import FUSED_SQL
-from palisade.plans.standins import BRANCH_SQL, FRAME_SQL, SIGNAL_SQL, frames, signals
+from palisade.plans.standins import BRANCH_SQL, FRAME_SQL, SIGNAL_SQL, SPECTRA_SQL, frames, mosaics, signals
+from palisade.plans.tiles import SOUND_SQL
 from palisade.session import table
 
 _CHANGE = "WITH " + FRAME_SQL + """, sg AS (SELECT clip_id, pos, list_transform(tiles, lambda x: x / 32) AS s FROM frames),
@@ -147,23 +148,48 @@ def avsync_branch(spark, sf_dir):
     return _six(B.avsync(rows))
 
 
-@query()
+def _stats_sql(source, out, *columns):
+    """SQL of count, median, MAD and outlier share of columns of `source` by clip, as `out`."""
+    by = "PARTITION BY clip_id"
+    rows = [f"SELECT clip_id, '{c}' AS c, {c} AS x FROM {source} WHERE {c} IS NOT NULL" for c in columns]
+    one = f"""{out}_x AS ({" UNION ALL ".join(rows)}), {out}_m AS (SELECT clip_id, c, x, quantile_cont(x, 0.5) OVER ({by}, c) AS m FROM {out}_x),
+{out}_d AS (SELECT *, quantile_cont(abs(x - m), 0.5) OVER ({by}, c) AS d FROM {out}_m), {out}_g AS (
+  SELECT clip_id, c, count(*) AS n, any_value(m) AS med, any_value(d) AS mad,
+         CASE WHEN count(*) < 3 THEN 0 ELSE avg(CASE WHEN d < 1e-9 THEN CASE WHEN abs(x - m) > 1e-9 THEN 1.0::DOUBLE ELSE 0 END WHEN abs(x - m) > 3.5 * 1.4826 * d THEN 1.0::DOUBLE ELSE 0 END) END AS o
+  FROM {out}_d GROUP BY clip_id, c
+)"""
+    wide = ", ".join(f"coalesce(any_value({s}) FILTER (WHERE c = '{c}'), 0) AS {c}_{t}" for c in columns for s, t in (("n", "n"), ("med", "med"), ("mad", "mad"), ("o", "out")))
+    return f"{one}, {out} AS (SELECT clip_id, {wide} FROM {out}_g GROUP BY clip_id)"
+
+
+@query("WITH " + SPECTRA_SQL + ", fq AS (SELECT clip_id, pos, noise, high, ratio FROM ns JOIN sp USING (clip_id, pos) JOIN rt USING (clip_id, pos)), " + _stats_sql("fq", "st", "noise", "high", "ratio") + """
+SELECT clip_id, CASE WHEN high_n >= 4 THEN round(least(1.0, 0.15 * least(1.0, 5 * noise_mad / (noise_med + 0.005)) + 0.20 * least(1.0, 3 * high_mad / (high_med + 0.01)) + 0.25 * least(1.0, 4 * ratio_mad / (coalesce(nullif(ratio_med, 0), 1) + 0.1))
+  + 0.20 * ratio_out + 0.20 * greatest(0.0, least(1.0, (coalesce(nullif(ratio_med, 0), 1) - 1) / 3))), 6) END AS score, CASE WHEN high_n >= 4 THEN round(least(1.0, high_n / 8.0::DOUBLE), 6) ELSE 0 END AS confidence FROM st
+""")
 def frequency_branch(spark, sf_dir):
+    """Noise, high frequencies and the tiles of the residual of mosaic frames."""
     import numpy as np
 
-    t = F.col("tiles")
-    rows = frames(spark, sf_dir).select(
-        "clip_id", "pos", kernels.frame_udf(lambda f: float(np.std(kernels.high_pass(f, 1.2)) / 255), 8)(t).alias("noise"),
-        kernels.frame_udf(kernels.radial_ratio, 8)(t).alias("high"), T.ratio(t, 1e-3).alias("ratio"),
-    )
-    return B.frequency(rows)
+    from palisade.operators import pixels as P
 
+    high = lambda f: kernels.high_pass(f, 1.2)
+    kinds = {"noise": lambda f: float(high(f).std() / 255), "high": kernels.radial_ratio, "ratio": lambda f: P.ratio(P.tile_means(np.abs(high(f))), 1e-3)}
+    made = mosaics(spark, sf_dir)
+    return _six(B.frequency(made.select("clip_id", "pos", *(kernels.frame_udf(f, 24)(F.col("pixels")).alias(n) for n, f in kinds.items()))))
 
-@query()
+
+@query("WITH " + SOUND_SQL + """, sr AS (SELECT clip_id, slot, round(rms, 6) AS rms, round(centroid, 6) AS centroid, round(clipping, 6) AS clipping FROM sw), jp AS (
+  SELECT clip_id, slot, abs(ln(rms + 1e-4) - lag(ln(rms + 1e-4)) OVER w) AS jump, abs(centroid - lag(centroid) OVER w) AS turn, clipping FROM sr WINDOW w AS (PARTITION BY clip_id ORDER BY slot)
+), """ + _stats_sql("jp", "st", "jump", "turn") + """, d AS (
+  SELECT *, n AS windows, least(1.0, 2 * greatest(0.0, jump_out - 0.15) + 2 * greatest(0.0, turn_out - 0.15) + 20 * greatest(0.0, cl - 0.01)) AS disc
+  FROM (SELECT clip_id, count(*) AS n, avg(clipping) AS cl FROM jp GROUP BY clip_id) LEFT JOIN st USING (clip_id)
+), sc AS (SELECT *, windows >= 4 AND disc >= 0.25 AS ok, least(1.0, 0.35 * least(1.0, 3 * greatest(0.0, jump_med - 0.15) + 8 * jump_mad) + 0.25 * least(1.0, 20 * greatest(0.0, turn_med - 0.01) + 30 * turn_mad) + 0.40 * disc) AS s FROM d)
+SELECT clip_id, CASE WHEN ok THEN round(s, 6) END AS score, CASE WHEN ok THEN round(least(1.0, windows / 8.0::DOUBLE), 6) ELSE 0 END AS confidence, round(disc, 6) AS discontinuity FROM sc
+""")
 def audio_branch(spark, sf_dir):
     from palisade.plans.tiles import sound_windows
 
-    return B.audio(sound_windows(spark, sf_dir).withColumnRenamed("slot", "pos"))
+    return _six(B.audio(sound_windows(spark, sf_dir).withColumnRenamed("slot", "pos")), F.round("discontinuity", 6).alias("discontinuity"))
 
 
 def _features(spark, sf_dir):
@@ -171,16 +197,36 @@ def _features(spark, sf_dir):
     return signals(spark, sf_dir).select("clip_id", "pos", v.alias("x"), F.sqrt(v).alias("y"), (1 + v / 2).alias("z"), (v % 1).alias("w"))
 
 
-@query()
+def _c(x):
+    return f"greatest(0.0, least(1.0, {x}))"
+
+
+@query("WITH " + SIGNAL_SQL + ", ft AS (SELECT clip_id, pos, value / 40 AS x, sqrt(value / 40) AS y, 1 + value / 80 AS z, (value / 40) % 1 AS w FROM sig), " + _stats_sql("ft", "st", "x", "y", "z", "w") + f""",
+cv AS (SELECT clip_id, stddev_pop(z) / (avg(z) + 1e-6) AS cv FROM ft GROUP BY clip_id),
+r AS (
+  SELECT clip_id, 'temporal' AS branch, 1 AS branch_order, x_n >= 3 AS ok, least(1.0, x_n / 10.0::DOUBLE) * least(1.0, 30 * x_n / 20.0::DOUBLE) AS conf,
+         0.25 * {_c(f"greatest(0.0, {_c('3 * x_mad / (x_med + 0.01)')} - 0.75) * 2")} + 0.20 * {_c("greatest(0.0, x_out - 0.20) * 4")} + 0.35 * {_c("greatest(0.0, y_out - 0.25) * 4")} * {_c("(y_n - 8) / 20.0::DOUBLE")} + 0.20 * {_c("greatest(0.0, z_out - 0.15) * 4")} AS s FROM st
+  UNION ALL
+  SELECT clip_id, 'recompression', 2, x_n >= 4, least(1.0, x_n / 8.0::DOUBLE),
+         0.20 * {_c("4 * x_mad / (x_med + 0.01)")} + 0.20 * {_c("3 * y_mad / (y_med + 0.01)")} + 0.25 * {_c("4 * z_mad / (coalesce(nullif(z_med, 0), 1) + 0.1)")} + 0.20 * z_out + 0.15 * {_c("(coalesce(nullif(z_med, 0), 1) - 1) / 3")} FROM st
+  UNION ALL
+  SELECT clip_id, 'integrity', 6, x_n >= 4, least(1.0, x_n / 8.0::DOUBLE),
+         {_c(f"0.25 * {_c('greatest(0.0, x_out - 0.15) * 3.5')} + 0.20 * {_c('y_med / 2.5')} + 0.20 * {_c('greatest(0.0, w_med - 0.04) * 3')} + 0.20 * {_c('greatest(0.0, z_out - 0.15) * 3.5')} + 0.15 * {_c('4 * x_mad / (x_med + 0.001)')}")} * least(1.0, 0.5 + {_c("y_med / coalesce(nullif(z_med, 0), 1)")}) FROM st
+  UNION ALL
+  SELECT clip_id, 'face', 4, conf >= 0.3 AND x_n >= 4 AND cv >= 0.10 AND s >= 0.25, conf, s FROM (
+    SELECT *, least(1.0, x_n / 12.0::DOUBLE) AS conf, {_c("0.35 * x_mad / coalesce(nullif(x_med, 0), 0.02) + 0.35 * y_mad / coalesce(nullif(y_med, 0), 0.01) + 0.90 * cv")} AS s FROM st JOIN cv USING (clip_id))
+)
+SELECT clip_id, branch, CAST(branch_order AS INTEGER) AS branch_order, 'ok' AS status, CASE WHEN ok THEN round({_c("s")}, 6) END AS score, CASE WHEN ok THEN round(conf, 6) ELSE 0 END AS confidence FROM r
+""")
 def decoder_branches(spark, sf_dir):
-    """The branches whose features need a decoder, on stand-in features."""
+    """The formulas of the branches that look at pixels, on stand-in features; pixel_branches has them from pixels."""
     f = _features(spark, sf_dir)
     temporal = B.temporal(f.select("clip_id", "pos", F.lit(3).alias("gap"), F.col("x").alias("error"), F.col("y").alias("flow"), F.col("z").alias("local"), F.lit(30).alias("tracked")))
     recompression = B.recompression(f.select("clip_id", "pos", F.col("x").alias("residual"), F.col("y").alias("block"), F.col("z").alias("ratio")))
     integrity = B.integrity(f.select("clip_id", "pos", F.col("x").alias("residual"), F.col("y").alias("divergence"), F.col("w").alias("occlusion"), F.col("z").alias("contrast"), F.col("y").alias("without"), F.col("x").alias("dct")))
     clips = f.groupBy("clip_id").agg(F.count("*").alias("frames"), F.lit(1.0).alias("candidates"), F.lit(9).alias("flow_pairs"))
-    face = B.face(f.select("clip_id", "pos", F.col("x").alias("move"), F.col("y").alias("resize"), F.col("z").alias("area")), clips)
-    return B.union(temporal, recompression, integrity, face)
+    face = B.face(f.select("clip_id", "pos", F.col("x").alias("move"), F.col("y").alias("resize"), F.col("z").alias("geometry")), clips)
+    return B.union(temporal, recompression, integrity, face).withColumns({"score": F.round("score", 6), "confidence": F.round("confidence", 6)})
 
 
 _ENERGY = "WITH " + FRAME_SQL + """, q AS (

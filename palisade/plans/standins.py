@@ -139,3 +139,92 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(clip % 7 == 0, None).otherwise(24.0).cast("double").alias("fps"),
         "frame_count",
     )
+
+
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, pos, pixels: grey frames of 16 x 24, row by row, of six rows of `embeddings` in turn (of a label, by vec_id),
+    two by three; where a clip's last frame has fewer, it is dark."""
+    slot = F.floor(F.col("pos") / 6).cast("long")
+    part = F.struct((F.col("pos") % 6).cast("int").alias("k"), "tiles")
+    one = frames(spark, sf_dir).groupBy("clip_id", slot.alias("slot")).agg(F.map_from_entries(F.collect_list(part)).alias("parts"))
+
+    def line(y: int, x: int):
+        own = F.col("parts")[F.lit(y // 8 * 3 + x)]
+        dark = F.array_repeat(F.lit(0.0), 8)
+        return F.coalesce(F.slice(own, y % 8 * 8 + 1, 8), dark)
+
+    return one.select("clip_id", F.col("slot").alias("pos"), F.concat(*(line(y, x) for y in range(16) for x in range(3))).alias("pixels"))
+
+
+#: SQL for mosaics: px (clip_id, pos, y, x, v).
+MOSAIC_SQL = FRAME_SQL + """, gr AS (
+  SELECT clip_id, pos, y, x FROM (SELECT DISTINCT clip_id, pos // 6 AS pos FROM frames), (SELECT unnest(range(16)) AS y), (SELECT unnest(range(24)) AS x)
+), px AS (
+  SELECT gr.clip_id, gr.pos, y, x, coalesce(v, 0) AS v
+  FROM gr LEFT JOIN (SELECT clip_id, pos // 6 AS pos, (pos % 6) // 3 * 8 + tile // 8 AS y, (pos % 6) % 3 * 8 + tile % 8 AS x, v FROM tiles) USING (clip_id, pos, y, x)
+)"""
+
+#: SQL on mosaics: sp (radial ratio high), dc (dct), bl (block), ns (noise sigma) and rt (ratio), by clip_id and pos.
+SPECTRA_SQL = MOSAIC_SQL + """, mn AS (SELECT clip_id, pos, avg(v) AS m FROM px GROUP BY ALL),
+fr AS (SELECT unnest(range(384)) // 24 AS u, unnest(range(384)) % 24 AS w),
+ft AS (
+  SELECT clip_id, pos, u, w, sqrt(power(sum((v - m) * cos(2 * pi() * (u * y / 16.0::DOUBLE + w * x / 24.0::DOUBLE))), 2) + power(sum((v - m) * sin(2 * pi() * (u * y / 16.0::DOUBLE + w * x / 24.0::DOUBLE))), 2)) AS f
+  FROM px JOIN mn USING (clip_id, pos), fr GROUP BY ALL
+), sp AS (
+  SELECT clip_id, pos, avg(f) FILTER (WHERE sqrt(power((CASE WHEN u < 8 THEN u ELSE u - 16 END) / 8.0::DOUBLE, 2) + power((CASE WHEN w < 12 THEN w ELSE w - 24 END) / 12.0::DOUBLE, 2)) > 0.55) / (avg(f) + 1e-9) AS high
+  FROM ft GROUP BY clip_id, pos
+), cb AS (
+  SELECT clip_id, pos, y // 8 AS jy, x // 8 AS jx, c.u, c.w, abs(sum(v * cos(pi() * (2 * (y % 8) + 1) * c.u / 16) * cos(pi() * (2 * (x % 8) + 1) * c.w / 16)) / 4) AS a
+  FROM px, (SELECT u, w FROM (SELECT unnest(range(2, 8)) AS u), (SELECT unnest(range(2, 8)) AS w)) c GROUP BY ALL
+), dc AS (SELECT clip_id, pos, quantile_cont(a, 0.5) AS dct FROM (SELECT clip_id, pos, jy, jx, avg(a) AS a FROM cb GROUP BY ALL) GROUP BY clip_id, pos),
+gx AS (SELECT a.clip_id, a.pos, a.x AS k, abs(b.v - a.v) AS d FROM px a JOIN px b ON a.clip_id = b.clip_id AND a.pos = b.pos AND a.y = b.y AND b.x = a.x + 1),
+gy AS (SELECT a.clip_id, a.pos, a.y AS k, abs(b.v - a.v) AS d FROM px a JOIN px b ON a.clip_id = b.clip_id AND a.pos = b.pos AND a.x = b.x AND b.y = a.y + 1),
+ex AS (SELECT clip_id, pos, avg(d) FILTER (WHERE k % 8 = 7) AS e, avg(d) FILTER (WHERE k % 8 = 3) AS i FROM gx GROUP BY clip_id, pos),
+ey AS (SELECT clip_id, pos, avg(d) FILTER (WHERE k % 8 = 7) AS e, avg(d) FILTER (WHERE k % 8 = 3) AS i FROM gy GROUP BY clip_id, pos),
+bl AS (SELECT clip_id, pos, (ex.e + ey.e) / (ex.i + ey.i + 1e-6) AS block FROM ex JOIN ey USING (clip_id, pos)),
+ta AS (SELECT t, exp(-t * t / (2 * 1.2::DOUBLE * 1.2::DOUBLE)) / sum(exp(-t * t / (2 * 1.2::DOUBLE * 1.2::DOUBLE))) OVER () AS g FROM (SELECT unnest(range(-5, 6)) AS t)),
+b1 AS (
+  SELECT p.clip_id, p.pos, p.y, p.x, sum(s.v * g) AS v FROM px p, ta, px s WHERE s.clip_id = p.clip_id AND s.pos = p.pos AND s.x = p.x
+   AND s.y = CASE WHEN p.y + t < 0 THEN -(p.y + t) WHEN p.y + t > 15 THEN 30 - (p.y + t) ELSE p.y + t END GROUP BY ALL
+), b2 AS (
+  SELECT p.clip_id, p.pos, p.y, p.x, sum(s.v * g) AS v FROM b1 p, ta, b1 s WHERE s.clip_id = p.clip_id AND s.pos = p.pos AND s.y = p.y
+   AND s.x = CASE WHEN p.x + t < 0 THEN -(p.x + t) WHEN p.x + t > 23 THEN 46 - (p.x + t) ELSE p.x + t END GROUP BY ALL
+), hp AS (SELECT clip_id, pos, y, x, px.v - b2.v AS r FROM px JOIN b2 USING (clip_id, pos, y, x)),
+ns AS (SELECT clip_id, pos, stddev_pop(r) / 255 AS noise FROM hp GROUP BY clip_id, pos),
+tl AS (SELECT clip_id, pos, y // 2 AS ty, x // 3 AS tx, avg(abs(r)) AS r FROM hp GROUP BY ALL),
+rt AS (SELECT clip_id, pos, quantile_cont(r, 0.9) / (quantile_cont(r, 0.5) + 1e-3) AS ratio FROM tl GROUP BY clip_id, pos)
+"""
+
+#: Frames of a pixel clip; their size.
+CLIP, HEIGHT, WIDTH = 24, 96, 160
+
+
+def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, pos, frame_index, height, width, pixels: colour frames drawn from rows of `embeddings`. A clip is CLIP ids in
+    turn, so it is bounded at any size of the table. A frame has the row's 64 values as soft light over a texture
+    that drifts with pos, and a skin-coloured box whose place and sides follow the row's first values."""
+    import numpy as np
+    import pyarrow as pa
+
+    from palisade.functions import vision
+
+    def draw(vector: list[float], pos: int) -> bytes:
+        v = np.abs(np.nan_to_num(np.array(vector[:64] + [0.0] * (64 - len(vector)), dtype=np.float64)))
+        light = vision.linear_resize(v.reshape(8, 8) * 60, HEIGHT, WIDTH)
+        y, x = np.mgrid[:HEIGHT, :WIDTH]
+        texture = 90 + 40 * np.sin((x - 2 * pos) / 5.0) * np.cos((y + pos) / 7.0)
+        out = np.clip((texture + light)[..., None] * np.array([1.0, 0.9, 0.8]), 0, 255)
+        h, w = 26 + int(40 * v[0]) % 20, 26 + int(40 * v[1]) % 20
+        top, left = 10 + (pos + int(20 * v[2])) % 30, 12 + (3 * pos + int(20 * v[3])) % 90
+        out[top : top + h, left : left + w] = (90, 130, 200)
+        return out.astype(np.uint8).tobytes()
+
+    def run(batches):
+        for batch in batches:
+            pos = batch.column("pos").to_pylist()
+            pixels = [None if e is None else draw([0.0 if x is None else x for x in e], p) for e, p in zip(batch.column("embedding").to_pylist(), pos)]
+            yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("pos"), pa.array(pixels, pa.binary())], names=["clip_id", "pos", "pixels"])
+
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / CLIP).alias("clip_id"), (F.col("vec_id") % CLIP).alias("pos"), "embedding")
+    drawn = rows.mapInArrow(run, "clip_id long, pos long, pixels binary")
+    return drawn.select("clip_id", "pos", (F.col("pos") * 2).alias("frame_index"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "pixels")

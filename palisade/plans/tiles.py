@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palisade.catalogue import query
 from palisade.functions import kernels, robust as R, tiles as T
 from palisade.operators import sequence as S
-from palisade.plans.standins import FRAME_SQL, SIGNAL_SQL, frames, signals
+from palisade.plans.standins import FRAME_SQL, SIGNAL_SQL, SPECTRA_SQL, frames, mosaics, signals
 
 _STATS = "WITH " + FRAME_SQL + """, m AS (SELECT frame_index, any_value(clip_id) AS clip_id, quantile_cont(v, 0.5) AS c, quantile_cont(v, 0.9) AS p FROM tiles GROUP BY frame_index),
 d AS (SELECT frame_index, quantile_cont(abs(v - c), 0.5) AS s FROM tiles JOIN m USING (frame_index) GROUP BY frame_index)
@@ -95,26 +95,34 @@ def histogram_distance(spark, sf_dir):
     return both.select("frame_index", F.round(T.histogram_distance(F.col("previous"), F.col("h")), 6).alias("distance"))
 
 
-@query()
+@query("WITH " + SPECTRA_SQL + "SELECT clip_id, pos, round(high, 6) AS high_ratio, round(dct, 6) AS dct_energy, round(block, 6) AS blockiness, round(noise, 6) AS noise_sigma FROM sp JOIN dc USING (clip_id, pos) JOIN bl USING (clip_id, pos) JOIN ns USING (clip_id, pos)")
 def spectral_kernels(spark, sf_dir):
-    """High-frequency ratio, DCT energy, blockiness and noise of frames, in Arrow batches."""
+    """High-frequency ratio, DCT energy, blockiness and noise of mosaic frames, in Arrow batches."""
     import numpy as np
 
-    t = F.col("tiles")
-    return frames(spark, sf_dir).select(
-        "clip_id", "frame_index",
-        kernels.frame_udf(kernels.radial_ratio, 8)(t).alias("high_ratio"),
-        kernels.frame_udf(kernels.dct_energy, 8)(t).alias("dct_energy"),
-        kernels.frame_udf(kernels.blockiness, 8)(t).alias("blockiness"),
-        kernels.frame_udf(lambda f: float(np.std(kernels.high_pass(f, 1.2)) / 255), 8)(t).alias("noise_sigma"),
-    )
+    kinds = {"high_ratio": kernels.radial_ratio, "dct_energy": kernels.dct_energy, "blockiness": kernels.blockiness, "noise_sigma": lambda f: float(np.std(kernels.high_pass(f, 1.2)) / 255)}
+    made = mosaics(spark, sf_dir)
+    return made.select("clip_id", "pos", *(F.round(kernels.frame_udf(f, 24)(F.col("pixels")), 6).alias(n) for n, f in kinds.items()))
+
+
+#: SQL for windows of eight samples (value / 500, at a rate of 8) under a Hann window: sw (clip_id, slot, rms, centroid, clipping).
+SOUND_SQL = SIGNAL_SQL + """, sm AS (SELECT clip_id, pos // 8 AS slot, pos % 8 AS i, value / 500 AS s FROM sig),
+wh AS (SELECT clip_id, slot FROM sm GROUP BY clip_id, slot HAVING count(*) = 8),
+am AS (
+  SELECT clip_id, slot, k, sqrt(power(sum(s * h * cos(2 * pi() * k * i / 8)), 2) + power(sum(s * h * sin(2 * pi() * k * i / 8)), 2)) AS a
+  FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * i / 7) AS h FROM sm JOIN wh USING (clip_id, slot)), (SELECT unnest(range(5)) AS k) GROUP BY ALL
+), sw AS (
+  SELECT clip_id, slot, any_value(rms) AS rms, sum(k * a) / (sum(a) + 1e-9) / 8 AS centroid, any_value(clipping) AS clipping
+  FROM am JOIN (SELECT clip_id, slot, sqrt(avg(s * s) + 1e-12) AS rms, avg(CASE WHEN abs(s) >= 0.995 THEN 1.0::DOUBLE ELSE 0 END) AS clipping FROM sm JOIN wh USING (clip_id, slot) GROUP BY ALL) USING (clip_id, slot)
+  GROUP BY clip_id, slot
+)"""
 
 
-@query()
+@query("WITH " + SOUND_SQL + " SELECT clip_id, slot, round(rms, 6) AS rms, round(centroid, 6) AS centroid, round(clipping, 6) AS clipping FROM sw")
 def sound_windows(spark, sf_dir):
     """Loudness, spectral centroid and clipping of windows of eight samples."""
     slot = F.floor(F.col("pos") / 8).cast("long")
     rows = signals(spark, sf_dir).groupBy("clip_id", slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("s"))
     whole = rows.where(F.size("s") == 8).select("clip_id", "slot", F.transform("s", lambda x: x["value"] / 500).alias("samples"))
     out = whole.withColumn("x", kernels.sound_udf(8.0)(F.col("samples")))
-    return out.select("clip_id", "slot", *(F.get("x", F.lit(k)).alias(n) for k, n in enumerate(("rms", "centroid", "clipping"))))
+    return out.select("clip_id", "slot", *(F.round(F.get("x", F.lit(k)), 6).alias(n) for k, n in enumerate(("rms", "centroid", "clipping"))))

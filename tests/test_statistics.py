@@ -112,17 +112,16 @@ def test_kernels():
     frame = rng.uniform(0, 255, (32, 48))
     assert np.allclose(kernels.high_pass(np.full((9, 9), 7.0), 1.2), 0)
     assert kernels.radial_ratio(frame) > kernels.radial_ratio(np.add.outer(np.arange(32.0), np.arange(48.0)))
-    assert np.allclose(kernels.box_resize(frame, 8, 12), frame.reshape(8, 4, 12, 4).mean(axis=(1, 3)))
     barred = np.zeros((80, 160))
-    barred[20:60] = 120 + rng.uniform(0, 5, (40, 160))
+    barred[8:72, 10:150] = 120 + rng.uniform(0, 5, (64, 140))
     assert kernels.content(barred).shape == (144, 256) and kernels.content(barred).min() > 100
     blocks = np.kron(rng.uniform(0, 255, (4, 6)), np.ones((8, 8)))
     assert kernels.blockiness(blocks) > 100 and kernels.dct_energy(blocks) < 1e-9
     assert np.isclose(kernels.hue_saturation(rng.integers(0, 255, (50, 3))).sum(), 1)
     y, x = np.mgrid[0:9, 0:9].astype(float)
     assert kernels.divergence(np.dstack([x, y])) == 16 and kernels.divergence(np.dstack([y, x])) == 0
-    there = np.dstack([x, y])
-    assert kernels.occlusion(there, -there) == 0 and kernels.occlusion(there, there) > 0.9
+    there = np.dstack([x * 0 + 2, x * 0 - 1])
+    assert kernels.occlusion(there, -there) == 0 and kernels.occlusion(there, there) == 1
     assert kernels.gray(np.full((2, 2, 3), 50)).round(6).tolist() == [[50, 50], [50, 50]]
     rms, centroid, clipped = kernels.sound(0.1 * np.sin(2 * np.pi * 440 * np.arange(2000) / 8000), 8000)
     assert abs(rms - 0.0707) < 0.001 and abs(centroid - 440 / 8000) < 0.005 and clipped == 0
