@@ -186,14 +186,16 @@ def rank_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("auroc", auroc)
 
 
-def operating_points(df: DataFrame, negative: float = NEGATIVE, provisional: bool = False) -> DataFrame:
-    """Confusion counts and rates at every positive threshold: a grid of twentieths and the scores themselves.
+def operating_points(df: DataFrame, negative: float = NEGATIVE, provisional: bool = False, explore: bool = False) -> DataFrame:
+    """Confusion counts and rates at every positive threshold: a grid of twentieths and the scores themselves; `provisional` and
+    `explore` as in classify().
     Each report has one outcome at or above the threshold and one below it, so all thresholds come from sums
     over scores in order, without judging reports once for each threshold."""
-    judged = classify(df, 1.0, negative, provisional)
-    low = F.when(F.size(_reasons(False)) > 0, "abstain")
+    judged = classify(df, 1.0, negative, provisional, explore)
+    low = F.when(F.size(_reasons(explore)) > 0, "abstain")
     below = (
         low.when(F.lit(provisional) & yes("provisional_positive"), "positive")
+        .when(F.lit(explore) & F.col("exploratory_eligible"), "positive")
         .when(yes("stable_negative_support") & (F.col("stable_negative_score") <= negative), "negative")
         .when(F.col("score") <= negative, "negative")
         .otherwise("abstain")
@@ -236,9 +238,22 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def ranking(df: DataFrame) -> DataFrame:
-    """name, score, rank, confidence and confidence_label of every report with a valid score, most anomalous first."""
+    """name, score, rank, confidence, confidence_label, evidence_coverage, group_score_range and reasons (sorted) of every report
+    with a valid score, most anomalous first; abstain_reasons and vote_status too where df has them (classified reports).
+    Reasons are those of fusion (reason_codes, where df has them) and what lowers confidence."""
     rows = ranking_confidence(df.where(F.col("score").between(0.0, 1.0)))
-    rows = rows.select("name", F.round("score", 6).alias("score"), "confidence", "confidence_label")
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))
+    apart, covered = F.when(F.col("group_score_range").isNotNull(), unit("group_score_range")), F.coalesce(F.when(F.col("evidence_coverage").isNotNull(), unit("evidence_coverage")), F.lit(0.0))
+    mixed = F.col("vote_status") == "mixed-directional-votes" if "vote_status" in df.columns else F.lit(False)
+    own = F.array_compact(F.array(
+        F.when(apart.isNull(), "missing-group-range"), F.when(apart > GROUP_RANGE, "independent-evidence-disagrees"),
+        F.when(covered < 0.20, "insufficient-evidence-coverage"), F.when(mixed, "mixed-directional-votes"),
+    ))
+    codes = F.coalesce("reason_codes", F.array().cast("array<string>")) if "reason_codes" in df.columns else F.array().cast("array<string>")
+    rows = rows.select(
+        "name", F.round("score", 6).alias("score"), "confidence", "confidence_label", F.round(covered, 6).alias("evidence_coverage"), F.round(apart, 6).alias("group_score_range"),
+        F.array_sort(F.array_distinct(F.concat(codes, own))).alias("reasons"), *(c for c in ("abstain_reasons", "vote_status") if c in df.columns),
+    )
     return ranked(rows, F.desc("score"), "name")
 
 
@@ -289,17 +304,20 @@ def class_medians(df: DataFrame) -> DataFrame:
     return out.withColumn("gap", F.round(F.col("positive_median") - F.col("negative_median"), 6))
 
 
-def diagnostics(rows: DataFrame) -> DataFrame:
+def diagnostics(rows: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     """How each branch's scores (name, expected, branch, score) tell the classes apart: rank metrics, class medians, and
-    how many labelled reports have no valid score of it."""
-    labelled = rows.where(F.col("expected").isin("positive", "negative"))
-    ok = F.col("score").between(0.0, 1.0)
+    how many labelled reports have no valid score of it, whether the report lacks the branch, its score or a number there.
+    Every branch that any report names has a row. reports (name, expected): all that are judged; those in `rows` without."""
+    known = F.col("expected").isin("positive", "negative")
+    labelled = (rows.select("name", "expected").distinct() if reports is None else reports).agg(F.count_if(known).alias("labeled"))
+    ok = known & F.col("score").between(0.0, 1.0)
     of = lambda e: F.round(F.percentile(F.when(ok & (F.col("expected") == e), F.col("score")), F.lit(0.5)), 6)
-    medians = labelled.groupBy("branch").agg(
-        of("positive").alias("positive_median"), of("negative").alias("negative_median"), (F.count("*") - F.count_if(ok)).alias("missing_or_invalid")
-    )
+    found = rows.groupBy("branch").agg(of("positive").alias("positive_median"), of("negative").alias("negative_median"), F.count_if(ok).alias("valid"))
     ranks = rank_metrics(rows, ["branch"]).select("branch", "positives", "negatives", "concordant", "tied", "auroc", "average_precision")
-    return ranks.join(medians, "branch").withColumn("gap", F.round(F.col("positive_median") - F.col("negative_median"), 6))
+    out = found.join(ranks, "branch", "left").join(F.broadcast(labelled), F.lit(True))
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("positives", "negatives", "concordant", "tied")})
+    out = out.withColumns({"missing_or_invalid": F.col("labeled") - F.col("valid"), "gap": F.round(F.col("positive_median") - F.col("negative_median"), 6)})
+    return out.drop("valid", "labeled")
 
 
 def audit(df: DataFrame, positive: float = POSITIVE, negative: float = NEGATIVE) -> DataFrame:
@@ -317,12 +335,12 @@ def audit(df: DataFrame, positive: float = POSITIVE, negative: float = NEGATIVE)
     rows = one(counts, "metrics").join(F.broadcast(one(ranks, "ranking")), F.lit(True), "left")
     rows = rows.join(F.broadcast(one(medians, "medians")), F.lit(True), "left").join(F.broadcast(one(kinds, "counts")), F.lit(True), "left")
     bounds = F.struct(F.lit(positive).alias("positive"), F.lit(negative).alias("negative"))
-    return rows.select(F.lit("evaluation-4").alias("schema_version"), bounds.alias("thresholds"), "metrics", "ranking", "medians", "counts")
+    return rows.select(F.lit("palisade-evaluation-1").alias("schema_version"), bounds.alias("thresholds"), "metrics", "ranking", "medians", "counts")
 
 
 def sections(df: DataFrame, branches: DataFrame, positive: float = POSITIVE, negative: float = NEGATIVE) -> dict[str, DataFrame]:
     """The whole evaluation as tables by name: its summary (one row of structs), each report's decision, the sweeps with
-    and without provisional decisions, the ranking of all reports and the branches' diagnostics. Each stays distributed.
+    and without provisional and exploratory decisions, the ranking of all reports and the branches' diagnostics. Each stays distributed.
     branches: name, expected, branch, score."""
     judged = classify(df, positive, negative)
     return {
@@ -330,6 +348,7 @@ def sections(df: DataFrame, branches: DataFrame, positive: float = POSITIVE, neg
         "decisions": judged.select("name", "expected", "score", "predicted", "decision_kind", "abstain_reasons"),
         "operating_points": operating_points(df, negative),
         "consensus_operating_points": operating_points(df, negative, provisional=True),
-        "ranking": ranking(df),
-        "branch_diagnostics": diagnostics(branches),
+        "exploratory_operating_points": operating_points(df, negative, provisional=True, explore=True),
+        "ranking": ranking(judged),
+        "branch_diagnostics": diagnostics(branches, df.select("name", "expected")),
     }

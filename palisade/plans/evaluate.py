@@ -13,6 +13,7 @@ from palisade.plans.fusion import FUSED_SQL, fused
 from palisade.plans.standins import clips
 from palisade.session import shared_path, table
 from palisade.sources import files
+from palisade.sources import reports as R
 
 REPORT_SQL = """
 rp AS (
@@ -176,6 +177,12 @@ def consensus_operating_points(spark, sf_dir):
     return E.operating_points(reports(spark, sf_dir), provisional=True)
 
 
+@query(_CLASSIFY.format(explore="true", positive="0.62", provisional="true") + _SWEEP.format(provisional="true", counts=_COUNTS, rates=_RATES).replace("THEN 'positive'\n    WHEN stable", "THEN 'positive' WHEN eligible THEN 'positive'\n    WHEN stable"))
+def exploratory_operating_points(spark, sf_dir):
+    """The sweep with the decisions of audits with few windows or budgets."""
+    return E.operating_points(reports(spark, sf_dir), provisional=True, explore=True)
+
+
 _AP = """SELECT {key} round(avg(hits / k::DOUBLE), 6) AS average_precision FROM (
   SELECT {key} expected, row_number() OVER ({part} ORDER BY score DESC, name) AS k, sum(CASE WHEN expected = 'positive' THEN 1 ELSE 0 END) OVER ({part} ORDER BY score DESC, name) AS hits FROM {of}
 ) WHERE expected = 'positive' {group}"""
@@ -234,7 +241,7 @@ SELECT name, score, CAST(row_number() OVER (ORDER BY score DESC, name) AS INTEGE
 """)
 def anomaly_ranking(spark, sf_dir):
     """Every report with a valid score, ranked."""
-    return E.ranking(reports(spark, sf_dir)).withColumn("rank", F.col("rank").cast("int"))
+    return E.ranking(reports(spark, sf_dir)).select("name", "score", F.col("rank").cast("int").alias("rank"), "confidence", "confidence_label")
 
 
 @query("WITH " + REPORT_SQL + """, s AS (
@@ -244,7 +251,7 @@ SELECT name, score, row_number() OVER (ORDER BY score DESC, name) AS rank, round
 """)
 def anomaly_ranking_all(spark, sf_dir):
     """As anomaly_ranking, with ranks as longs."""
-    return E.ranking(reports(spark, sf_dir))
+    return E.ranking(reports(spark, sf_dir)).select("name", "score", "rank", "confidence", "confidence_label")
 
 
 @query("WITH " + REPORT_SQL + """, c AS (SELECT count(*) FILTER (WHERE score BETWEEN 0 AND 1) AS ranked_report_count, count(*) AS report_count FROM rp)
@@ -333,5 +340,81 @@ def evaluation_sections(spark, sf_dir):
     """The whole evaluation, written as JSON and read again: the rows of each section."""
     path = shared_path(spark, "evaluation")
     tables = E.sections(reports(spark, sf_dir), long_branches(spark, sf_dir))
+    tables.pop("exploratory_operating_points")  # has a query of its own
     files.write_evaluation(tables, path)
     return reduce(DataFrame.unionByName, (spark.read.text(f"{path}/{s}").agg(F.lit(s).alias("section"), F.count("*").alias("n")) for s in tables))
+
+
+#: Reports as JSON text, with fields and branches that some of them lack: what is null is left out. A few are no JSON, and some say
+#: numbers in words or as text.
+def json_reports(spark, sf_dir):
+    r = reports(spark, sf_dir)
+    k = F.col("name")
+    fields = lambda prefix: {place.removeprefix(prefix): c for c, place, _ in R.FIELDS if place.startswith(prefix)}
+    struct = lambda columns: F.struct(*(F.col(c).alias(n) for n, c in columns.items()))
+    fusion = F.struct(*(c for c, _ in R.EVIDENCE), F.array(F.concat(F.lit("code-"), (k % 3).cast("string"))).alias("reason_codes"), F.struct(F.when(k % 4 == 1, "mixed-directional-votes").alias("status")).alias("directional_vote_summary"))
+    policy = F.struct(F.col("feasible_windows").alias("feasible_window_count"), F.col("requested_budgets").alias("requested_budget_count"))
+    stability = {n: c for n, c in fields("stability.").items() if "." not in n}
+    face = F.struct(F.col("face_score").cast("string").alias("score"), F.struct("geometry_cv", F.col("ambiguity").alias("median_candidates_per_frame"), "detection_rate").alias("metrics"))
+    branches = F.struct(
+        F.struct(F.struct("cut_rate").alias("metrics")).alias("scene"), F.when(k % 5 != 0, F.struct(F.col("temporal_score").alias("score"))).alias("temporal"), face.alias("face"),
+        F.struct(F.col("integrity_score").alias("score")).alias("integrity"), F.struct(F.col("frequency_score").alias("score")).alias("frequency"),
+        F.when(k % 7 == 0, F.struct(F.lit("none").alias("score"))).alias("ghost"),
+    )
+    whole = F.struct(fusion.alias("fusion"), F.struct(*(F.col(c).alias(n) for n, c in stability.items()), policy.alias("consensus_policy")).alias("stability"), struct(fields("transcode_stability.")).alias("transcode_stability"), branches.alias("branches"))
+    text = F.when(k % 31 == 0, "{no report").otherwise(F.to_json(whole))
+    return r.select("name", "expected", R.parsed(text).alias("report"))
+
+
+_READ = REPORT_SQL.replace("FROM documents LEFT JOIN labels USING (doc_id)", "FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 31 <> 0")
+
+
+@query((_STANDARD + "SELECT name, predicted, kind AS decision_kind, abstain_reasons FROM c").replace(REPORT_SQL, _READ) + " UNION ALL SELECT doc_id, 'abstain', 'abstain', 'missing-score' FROM documents WHERE doc_id % 31 = 0")
+def json_classified(spark, sf_dir):
+    """Decisions on reports of JSON; what is no report has no score and abstains."""
+    out = E.classify(R.flat(json_reports(spark, sf_dir)))
+    return out.select("name", "predicted", "decision_kind", F.array_join("abstain_reasons", ",").alias("abstain_reasons"))
+
+
+@query((_LONG + """, u AS (
+  SELECT name, expected, branch, CASE WHEN branch = 'temporal' AND name % 5 = 0 THEN NULL ELSE score END AS score FROM l
+), v AS (SELECT * FROM u WHERE expected IS NOT NULL AND score BETWEEN 0 AND 1),
+pr AS (
+  SELECT a.branch, count(*) FILTER (WHERE a.score > b.score) AS concordant, count(*) FILTER (WHERE a.score = b.score) AS tied, count(*) AS pairs
+  FROM v a JOIN v b ON a.branch = b.branch AND a.expected = 'positive' AND b.expected = 'negative' GROUP BY a.branch
+), ap AS (""" + _AP.format(key="branch,", part="PARTITION BY branch", of="v", group="GROUP BY branch") + """), m AS (
+  SELECT branch, count(*) FILTER (WHERE expected = 'positive') AS positives, count(*) FILTER (WHERE expected = 'negative') AS negatives, count(*) AS valid,
+    round(quantile_cont(score, 0.5) FILTER (WHERE expected = 'positive'), 6) AS positive_median, round(quantile_cont(score, 0.5) FILTER (WHERE expected = 'negative'), 6) AS negative_median FROM v GROUP BY branch
+)
+SELECT n.branch, coalesce(positives, 0) AS positives, coalesce(negatives, 0) AS negatives, positive_median, negative_median, round(positive_median - negative_median, 6) AS gap,
+       (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)) - coalesce(valid, 0) AS missing_or_invalid, coalesce(concordant, 0) AS concordant, coalesce(tied, 0) AS tied,
+       round((concordant + 0.5::DOUBLE * tied) / pairs, 6) AS auroc, average_precision
+FROM (VALUES ('scene'), ('temporal'), ('face'), ('integrity'), ('frequency'), ('ghost')) n(branch) LEFT JOIN m USING (branch) LEFT JOIN pr USING (branch) LEFT JOIN ap USING (branch)
+""").replace(REPORT_SQL, _READ))
+def json_branch_diagnostics(spark, sf_dir):
+    """Diagnostics of the branches that reports of JSON happen to name."""
+    found = json_reports(spark, sf_dir)
+    return E.diagnostics(R.branch_rows(found), found)
+
+
+@query((_STANDARD + """, s AS (
+  SELECT rp.name, round(rp.score, 6) AS score, evidence_coverage * coalesce(1 - group_score_range, 0) * (1 - instability_score) AS f, group_score_range AS g, evidence_coverage AS e, c.abstain_reasons
+  FROM rp JOIN c USING (name) WHERE rp.score BETWEEN 0 AND 1
+)
+SELECT name, score, row_number() OVER (ORDER BY score DESC, name) AS rank, round(f, 6) AS confidence, CASE WHEN f < 0.5 OR g > 0.2 THEN 'low' ELSE 'moderate' END AS confidence_label,
+  round(e, 6) AS evidence_coverage, round(g, 6) AS group_score_range, abstain_reasons,
+  array_to_string(list_sort(list_filter(['code-' || CAST(name % 3 AS VARCHAR), CASE WHEN g IS NULL THEN 'missing-group-range' WHEN g > 0.2 THEN 'independent-evidence-disagrees' END,
+    CASE WHEN e < 0.2 THEN 'insufficient-evidence-coverage' END, CASE WHEN name % 4 = 1 THEN 'mixed-directional-votes' END], lambda v: v IS NOT NULL)), ',') AS reasons FROM s
+""").replace(REPORT_SQL, _READ))
+def json_ranking(spark, sf_dir):
+    """The ranking's rows in full, of reports of JSON."""
+    out = E.ranking(E.classify(R.flat(json_reports(spark, sf_dir)))).drop("vote_status")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("reasons", "abstain_reasons")})
+
+
+@query((written("directional_score")).replace(REPORT_SQL, _READ.replace("CASE WHEN doc_id % 2 = 0 THEN (doc_id * 3 % 40) / 100.0::DOUBLE END AS temporal_score", "CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN (doc_id * 3 % 40) / 100.0::DOUBLE END AS temporal_score"))
+  + " UNION ALL SELECT doc_id, 0, 0, 'original' FROM documents WHERE doc_id % 31 = 0")
+def json_directional(spark, sf_dir):
+    """The directional score of reports of JSON."""
+    out = R.flat(json_reports(spark, sf_dir), "directional")
+    return out.select("name", F.col("score").alias("directional_score"), "n_qualifying", F.when(F.col("score") >= E.POSITIVE, "synthetic").otherwise("original").alias("directional_label"))
