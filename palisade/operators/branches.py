@@ -140,7 +140,7 @@ def periodicity(frames: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("clip_id"))
     rows = S.pairs(frames.withColumn("n", n), ["clip_id"], "pos", "signature")
     pairs = rows.where(F.col("previous").isNotNull()).select("clip_id", "pos", S.l1(F.col("previous"), F.col("signature")).alias("change"))
-    rate = S.lag_matches(frames.withColumn("n", n), ["clip_id"], "pos", S.l1(F.col("a.signature"), F.col("b.signature")) <= 1.0, "n").groupBy("clip_id").agg(F.max("match_rate").alias("rate"))
+    rate = S.lag_matches(frames.withColumn("n", n), ["clip_id"], "pos", "signature", lambda a, b: S.l1(a, b) <= 1.0, "n").groupBy("clip_id").agg(F.max("match_rate").alias("rate"))
     run = R.longest_run(pairs.withColumn("flag", F.col("change") <= 0.65), ["clip_id"], "pos", "flag")
     df = gathered(pairs, "change").join(run, "clip_id").join(rate, "clip_id", "left")
     m = stat("change")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,12 +67,18 @@ def outside_cuts(pairs_: DataFrame, cuts: DataFrame, keys: Sequence[str], begin:
     return pairs_
 
 
-def lag_matches(df: DataFrame, keys: Sequence[str], order: str, close: Column, n: str) -> DataFrame:
-    """keys, lag, match_rate for lags 2 to max(2, min(11, n div 2)): share of rows `close` to the row so many
-    places before. `order` must count places from 0; close refers to columns of `a` (later) and `b`."""
-    most = F.greatest(F.lit(2), F.least(F.lit(11), F.floor(F.col(n) / 2).cast("int")))
-    later = df.withColumn("lag", F.explode(F.sequence(F.lit(2), most))).withColumn("_before", F.col(order) - F.col("lag"))
-    a, b = later.alias("a"), df.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._before") == F.col(f"b.{order}")]
-    joined = a.join(b, on)
-    return joined.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.lag").alias("lag")).agg(F.avg(F.when(close, 1.0).otherwise(0.0)).alias("match_rate"))
+#: Lags that are looked at, as far as half a key's rows (the first always).
+LAGS = range(2, 12)
+
+
+def lag_matches(df: DataFrame, keys: Sequence[str], order: str, value: str, close: Callable[[Column, Column], Column], n: str) -> DataFrame:
+    """keys, lag, match_rate for lags 2 to max(2, min(11, n div 2)): share of rows whose value is `close` (later, earlier) to
+    that so many places before, among rows that have one. `order` counts places, n the key's rows. All lags come from one
+    window: a value meets those before it where it is, and only one flag a lag goes on."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    most = F.greatest(F.lit(2), F.least(F.lit(LAGS[-1]), F.floor(F.col(n) / 2).cast("int")))
+    held = df.select(*keys, value, most.alias("_most"), *(F.lag(F.struct(F.col(value).alias("v")), k).over(by).alias(f"_{k}") for k in LAGS))
+    flags = [F.when(F.col(f"_{k}").isNotNull() & (F.lit(k) <= F.col("_most")), F.when(close(F.col(value), F.col(f"_{k}.v")), 1.0).otherwise(0.0)).alias(f"_{k}") for k in LAGS]
+    rates = held.select(*keys, *flags).groupBy(*keys).agg(*(F.avg(f"_{k}").alias(f"_{k}") for k in LAGS))
+    rows = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_{k}").alias("match_rate")) for k in LAGS))
+    return rates.select(*keys, F.inline(rows)).where("match_rate IS NOT NULL")

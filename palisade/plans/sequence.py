@@ -172,8 +172,7 @@ GROUP BY a.clip_id, l.lag
 """)
 def lag_match_rate(spark, sf_dir):
     rows = frames(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("clip_id")))
-    close = S.l1(F.col("a.tiles"), F.col("b.tiles")) <= 28.0
-    return S.lag_matches(rows, KEY, "pos", close, "n").withColumn("match_rate", F.round("match_rate", 6))
+    return S.lag_matches(rows, KEY, "pos", "tiles", lambda a, b: S.l1(a, b) <= 28.0, "n").withColumn("match_rate", F.round("match_rate", 6))
 
 
 @query("WITH " + FRAME_SQL + """, p AS (SELECT clip_id, frame_index, tiles, lag(tiles) OVER (PARTITION BY clip_id ORDER BY pos) AS before FROM frames)
