@@ -279,9 +279,12 @@ _ROWS = " UNION ALL ".join(_sampled_sql(n, B.REGISTRY[n].order) for n in ("perio
 
 def _inputs(spark, sf_dir):
     """The branches' inputs from one shared sample of frames."""
+    return _made(analyze.shared_sample(frames(spark, sf_dir), 32))
+
+
+def _made(shared):
     from palisade.functions import robust as R
 
-    shared = analyze.shared_sample(frames(spark, sf_dir), 32)
     t = F.col("tiles")
     signed = shared.select("clip_id", "pos", "frame_index", F.transform("tiles", lambda x: x / 32).alias("signature"))
     spots = shared.select("clip_id", "pos", T.hotspot(t).alias("hotspot"), (T.hottest(t) % 4).alias("hot_tile"), (R.array_median(t) / 1000).alias("noise"))
@@ -303,3 +306,35 @@ def analyze_all(spark, sf_dir):
     found = table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id")).distinct()
     of = found.select("clip_id", (F.col("clip_id") % 5 == 0).alias("quality_confounder"), F.lit(9.0).alias("detection_frames"))
     return analyze.analyze(_inputs(spark, sf_dir), of).select("clip_id", "evidence_set", "label", "score", "group_count", "evidence_coverage")
+
+
+#: SQL of each cell's own sample, as frames of a clip of its own: label * 10000 + window * 1000 + budget.
+_CELLED = """
+every AS (
+  SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS n,
+         list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)) * 255) AS tiles
+  FROM embeddings
+), g0 AS (SELECT label, n, w, b, greatest(0.0, (n / 8.0::DOUBLE - w) / 2) AS s FROM (SELECT DISTINCT label, n FROM every), (VALUES (2), (4)) ws(w), (VALUES (8), (16)) bs(b) WHERE n >= 2 AND n / 8.0::DOUBLE + 1e-6 >= w),
+g1 AS (SELECT *, least(n - 1, CAST(round_even(s * 8, 0) AS BIGINT)) AS lo, least(n - 1, CAST(round_even((s + w) * 8, 0) AS BIGINT) - 1) AS hi FROM g0),
+g2 AS (SELECT *, least(b, hi - lo + 1) AS k FROM g1 WHERE hi > lo),
+g3 AS (SELECT DISTINCT label, w, b, CASE WHEN i = k - 1 THEN hi ELSE CAST(floor(lo + i * ((hi - lo) / (k - 1)::DOUBLE)) AS BIGINT) END AS place FROM (SELECT *, unnest(range(k)) AS i FROM g2)),
+frames AS (
+  SELECT label * 10000 + w * 1000 + b AS clip_id, vec_id * 10000 + w * 1000 + b AS frame_index, row_number() OVER (PARTITION BY label, w, b ORDER BY place) - 1 AS pos, tiles
+  FROM g3 JOIN every USING (label, place)
+), tiles AS (SELECT clip_id, frame_index, pos, unnest(range(64)) AS tile, unnest(tiles) AS v FROM frames)"""
+_CELL_ROWS = _ROWS.replace(_SAMPLED, _CELLED)
+
+
+@query("WITH br AS (SELECT * FROM (" + _CELL_ROWS + ") WHERE score IS NOT NULL), clips AS (SELECT DISTINCT clip_id, (clip_id // 10000) % 5 = 0 AS quality_confounder, 9.0::DOUBLE AS detection_frames FROM (WITH " + _CELLED + " SELECT clip_id FROM frames))" + FUSED_SQL.removeprefix("WITH " + BRANCH_SQL) + """
+SELECT CAST(clip_id // 10000 AS BIGINT) AS clip_id, CAST(clip_id % 10000 AS BIGINT) AS cell, evidence_set,
+  CASE WHEN abstain THEN 'abstain-insufficient-evidence' WHEN final < 0.3 THEN 'low-anomaly-signal' WHEN final < 0.62 THEN 'mixed-anomaly-signal' ELSE 'high-anomaly-signal' END AS label,
+  round(final, 6) AS score, CAST(coalesce(g, 0) AS INTEGER) AS group_count, CASE WHEN nothing THEN 0 ELSE round(least(1.0, cov), 6) END AS evidence_coverage FROM f
+""")
+def window_analysis(spark, sf_dir):
+    """Each window of each budget, from its own frames through its own branches to its fused scores."""
+    rows = frames(spark, sf_dir)
+    counted = rows.groupBy("clip_id").agg(F.count("*").alias("frame_count")).withColumn("fps", F.lit(8.0)).withColumn("duration_seconds", F.col("frame_count") / F.col("fps"))
+    cells, own, _ = analyze.window_samples(rows, counted, [2, 4], [8, 16])
+    of = counted.select("clip_id", (F.col("clip_id") % 5 == 0).alias("quality_confounder"), F.lit(9.0).alias("detection_frames"))
+    out = analyze.analyze_windows(_made(own), cells, of)
+    return out.select(F.col("clip_id").cast("long").alias("clip_id"), "cell", "evidence_set", "label", "score", "group_count", "evidence_coverage")
