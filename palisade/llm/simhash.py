@@ -20,6 +20,11 @@ A null or empty text, or one of spaces only, has fingerprint zero and links like
 rows are members like any other; a row with a null doc_id is a member, but never names a component
 unless all ids in it are null. Texts of any length count whole. doc_id is a number; other columns, whatever their
 names, are not read and stay as they are in representatives(). No documents: no rows.
+
+representatives(), which keeps one document of each group of near copies, needs more than the radius of one fingerprint gives:
+it takes several fingerprints of 2-word shingles, each of which finds its links by trees in shards like those above, at a
+larger radius; documents are near copies if one of their fingerprints says so. That is an estimate by bits, which also links
+copies that were edited more than five-word shingles at 0.8 bear (README has figures), not documents that differ.
 """
 
 from __future__ import annotations
@@ -216,7 +221,7 @@ def _split(rows: DataFrame, free: list[int], radius: int) -> tuple[DataFrame, li
     return out.select("fp", shard.alias("shard"), F.col("e.mask").alias("mask")), left
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = SHARD_MOST, levels: int = LEVELS) -> DataFrame:
     """a and b: fingerprints that belong together, enough of the links to connect all that link. Shards are dealt
     over n partitions."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -249,7 +254,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = SHARD_M
             yield record(schema, fp[a].view(np.int64), fp[b].view(np.int64))
 
     # two shards under one 64-bit key merely make one larger tree
-    keyed = shards(distinct, radius, most).select("fp", F.xxhash64("shard").alias("key"))
+    keyed = shards(distinct, radius, most, levels).select("fp", F.xxhash64("shard").alias("key"))
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -311,9 +316,63 @@ def report(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+#: What representatives() goes by: words of a shingle, fingerprints of a text, differing bits of one of them at most, splits of
+#: a shard. One fingerprint at a radius that pigeonholes bear finds few of the pairs at a similarity of 0.8 (the bits that
+#: differ scatter), several find nearly all.
+NEAR_SHINGLE, KINDS, NEAR_RADIUS, NEAR_LEVELS = 2, 3, 5, 2
+#: The steps that make one hash into several (those of a common 64-bit mixer).
+STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def sketch_of(text: bytes, shingle: int = NEAR_SHINGLE, kinds: int = KINDS) -> list[int]:
+    """Several fingerprints of a text, each from its different shingles' hashes mixed anew; zeros for one without words."""
+    w = text.lower().split()
+    if not w:
+        return [0] * kinds
+    h = xxhash.xxh64_intdigest
+    parts = map(b" ".join, zip(*(w[k:] for k in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
+    # each shingle once, so that very frequent ones don't decide alone
+    hashes = np.unique(np.fromiter((h(x, SEED) for x in parts), dtype=np.uint64, count=max(1, len(w) - shingle + 1)))
+    ones = np.zeros((kinds, 64), dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        for k in range(kinds):
+            x = part + np.uint64((k + 1) * STEP % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_ONE)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_TWO)
+            x ^= x >> np.uint64(31)
+            ones[k] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * ones > len(hashes)).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS, most: int = SHARD_MOST) -> DataFrame:
+    """doc_id and root of the rows (of unique doc_ids) that are near copies of one with a smaller doc_id: root is the smallest
+    that links lead to. Texts link if one of their fingerprints differs in no more than radius bits."""
+    prepare(docs.sparkSession)
+    names = [f"f{k}" for k in range(KINDS)]
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fp = np.array([sketch_of(x) for x in texts(batch)], dtype=np.uint64).reshape(-1, KINDS).view(np.int64)
+            yield record(schema, batch.column("doc_id").cast(pa.int64()), *fp.T.copy())
+
+    own = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)).checkpoint()
+    # texts of equal fingerprints are one node, named by its smallest id
+    nodes = own.groupBy(*names).agg(F.min("doc_id").alias("node")).checkpoint()
+    n, edges = partitions(docs, 1 << 30), own.join(nodes, names).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    for name in names:
+        first = nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node"))
+        same = nodes.select(F.col(name).alias("fp"), F.col("node").alias("a")).join(first.withColumnRenamed("node", "b"), "fp").select("a", "b")
+        near = links(first.select("fp"), n, radius, most, NEAR_LEVELS)
+        near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("_a")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("_b")), "b")
+        edges = edges.unionByName(same).unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return components(edges).where("fp <> root").select(F.col("fp").alias("doc_id"), "root")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs, with all columns, with one row of each group: the first by doc_id, nulls first, then by text."""
+    """docs, with all columns, with one row of each group of near copies: the first by doc_id, nulls first, then by text."""
     held = numbered(renamed(docs), "text", *(f"_{k}" for k in range(len(docs.columns) - 2)))
-    groups = classes(held.select(F.col("rid").alias("doc_id"), "text"))
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("rid"))
-    return named(held.join(keep, "rid", "left_semi"), docs)
+    gone = near_copies(held.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"))
+    return named(held.join(gone, "rid", "left_anti"), docs)

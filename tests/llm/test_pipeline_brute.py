@@ -3,16 +3,32 @@
 import re
 
 import pyarrow.parquet as pq
+import xxhash
 
 import corpus_pipeline
-from palisade.llm import quality, simhash
+from palisade.llm import quality
 from palisade.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
 
 
+def sketch(text):
+    """Three fingerprints by plain numbers: bits set in over half of the mixed hashes of different two-word shingles."""
+    w, out = text.lower().split(), []
+    hashes = {xxhash.xxh64_intdigest(b" ".join(w[i : i + 2]), 42) for i in range(max(1, len(w) - 1))} if w else set()
+    for k in range(3):
+        mixed = []
+        for h in hashes:
+            x = (h + (k + 1) * 0x9E3779B97F4A7C15) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            mixed.append(x ^ x >> 31)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
+    return out
+
+
 def near(rows):
-    fp = {d: simhash.fingerprint_of((t or "").encode()) for d, t in rows.items()}
+    fp = {d: sketch((t or "").encode()) for d, t in rows.items()}
     root = {d: d for d in rows}
 
     def find(x):
@@ -23,7 +39,7 @@ def near(rows):
     ids = sorted(rows)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (fp[a] ^ fp[b]).bit_count() <= 3:
+            if any((x ^ y).bit_count() <= 5 for x, y in zip(fp[a], fp[b])):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: t for d, t in rows.items() if find(d) == d}
