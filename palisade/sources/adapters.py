@@ -1,4 +1,4 @@
-"""What needs tools outside Spark: decoders, flow, probes, trained routers. Each says whether it is there; where
+"""What needs tools outside Spark: decoders, probes, trained routers. Each says whether it is there; where
 its tool is missing its branch is a row of status `unavailable`, never a stand-in value."""
 
 from __future__ import annotations
@@ -24,10 +24,6 @@ class Adapter:
 
 ADAPTERS = (
     Adapter("video-decode", None, ("cv2",)),
-    Adapter("optical-flow", "temporal", ("cv2",)),
-    Adapter("jpeg-round-trip", "recompression", ("cv2",)),
-    Adapter("face-geometry", "face", ("cv2",)),
-    Adapter("flow-integrity", "integrity", ("cv2",)),
     Adapter("frame-probe", "codec", (), ("ffprobe",)),
     Adapter("stream-probe", "avsync", (), ("ffprobe",)),
     Adapter("audio-decode", "audio", ("soundfile",), ()),
