@@ -319,4 +319,4 @@ def test_isotonic_and_trees():
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names[:10]] == [f"op{k}" for k in range(1, 11)] and names[10] == "pipeline"
+    assert [n.split("_")[0] for n in names[:13]] == [f"op{k}" for k in range(1, 14)] and names[13] == "pipeline"
