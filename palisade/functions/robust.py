@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from palisade.functions import longkeys
 
 #: Scale of the median absolute deviation, floor of a scale, outlier bound.
 MAD_SCALE, FLOOR, OUTLIER = 1.4826, 1e-9, 3.5
@@ -59,61 +61,48 @@ def outlier_share(x: Column, center: Column, mad: Column, count: Column) -> Colu
     return F.when(count < 3, F.lit(0.0)).otherwise(F.count_if(far) / F.nullif(F.count(x), F.lit(0)))
 
 
-def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def summary(df: DataFrame, keys: Sequence[str], value: str, most: int = longkeys.LONG) -> DataFrame:
     """keys, n, median, mad, outlier_fraction of a value. Two grouped passes that combine before the shuffle,
-    and a join of one row a key, rather than a window that holds a key's rows in one task."""
+    and a join of one row a key, rather than a window that holds a key's rows in one task. Keys of more than `most`
+    values get their medians from a sort over ranges instead of one buffer."""
     x = finite(value)
-    one = df.groupBy(*keys).agg(F.count(x).alias("n"), median(value).alias("median"))
-    with_center = df.select(*keys, x.alias("_x")).join(one, list(keys))
-    two = with_center.groupBy(*keys, "n", "median").agg(F.percentile(F.abs(F.col("_x") - F.col("median")), F.lit(0.5)).alias("mad"))
+    long = longkeys.find(df, keys, x, most)
+    one = longkeys.quantiles(df, keys, x, {"median": 0.5}, long)
+    with_center = df.select(*keys, x.alias("_v")).join(one, list(keys))
+    two = longkeys.quantiles(with_center, keys, F.abs(F.col("_v") - F.col("median")), {"mad": 0.5}, long)
     three = with_center.join(two.select(*keys, "mad"), list(keys))
     return three.groupBy(*keys, "n", "median", "mad").agg(
-        outlier_share(F.col("_x"), F.col("median"), F.col("mad"), F.col("n")).alias("outlier_fraction")
+        outlier_share(F.col("_v"), F.col("median"), F.col("mad"), F.col("n")).alias("outlier_fraction")
     )
 
 
-def near_center(s: list[float], center: float, k: int) -> float:
-    """The k-th smallest (from 0) distance to center in a sorted list, by halving what can come from its left side."""
-    at = bisect_left(s, center)
-    low, high = max(0, k + 1 - (len(s) - at)), min(at, k + 1)
-    while low < high:  # the least number from the left whose next distance there is not among the k + 1 smallest
-        left = (low + high) // 2
-        if center - s[at - left - 1] < s[at + k - left] - center:
-            low = left + 1
-        else:
-            high = left
-    right = k + 1 - low
-    return max(center - s[at - low] if low else 0.0, s[at + right - 1] - center if right else 0.0)
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], most: int = longkeys.LONG) -> DataFrame:
+    """keys, n and a column for each named share of a value, for keys of any length."""
+    x = finite(value)
+    return longkeys.quantiles(df, keys, x, {name: min(1.0, max(0.0, s)) for name, s in shares.items()}, longkeys.find(df, keys, x, most))
 
 
-def expanding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def expanding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, most: int = longkeys.LONG, bits: int | None = None) -> DataFrame:
     """df with `past_n`, `past_median` and `past_mad` of the finite values of a key's earlier rows. A key's rows
-    pass through one task in order, which keeps that key's values once, sorted, not a list for each row."""
+    pass through one task in order, which keeps that key's values once, sorted, not a list for each row; keys of more than
+    `most` values go in blocks of 2**bits rows through many tasks (longkeys)."""
     held = df.withColumn("_x", finite(value))
-    schema = held.drop("_x").schema
-    schema = schema.add("past_n", "long").add("past_median", "double").add("past_mad", "double")
+    given = list(df.columns)
+    schema = StructType(list(df.schema.fields)).add("past_n", "long").add("past_median", "double").add("past_mad", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, past = None, []
-        for batch in batches:
-            out = []
-            for *key, x in zip(*(batch.column(c).to_pylist() for c in (*keys, "_x"))):
-                if key != last:
-                    last, past = key, []
-                if n := len(past):
-                    center = (past[(n - 1) // 2] + past[n // 2]) / 2.0
-                    below = near_center(past, center, (n - 1) // 2)
-                    out.append((n, center, (below + (below if n % 2 else near_center(past, center, n // 2))) / 2.0))
-                else:
-                    out.append((0, None, None))
-                if x is not None:
-                    insort(past, x)
-            own = [batch.column(c) for c in batch.schema.names if c != "_x"]
-            names = [c for c in batch.schema.names if c != "_x"]
-            more = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*own, *more], names=[*names, "past_n", "past_median", "past_mad"])
-
-    return held.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+        return longkeys.answered(batches, keys, given)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+    long = longkeys.find(df, keys, finite(value), most)
+    if long is None:
+        return whole(held)
+    both = longkeys.marked(held, keys, long)
+    longest = long.agg(F.max("values")).first()[0]
+    blocks = longkeys.expanding(both.where("_k IS NOT NULL"), order, longest, given, schema, bits)
+    return whole(both.where("_k IS NULL").drop("_k")).unionByName(blocks)
 
 
 def robust_z(x: Column, center: Column, mad: Column) -> Column:

@@ -22,7 +22,7 @@ JOIN (SELECT user_id, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9
 """)
 def robust_summary_by_user(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    tails = events.groupBy("user_id").agg(R.percentile("value", 0.1).alias("p10"), R.percentile("value", 0.9).alias("p90"))
+    tails = R.quantiles(events, ["user_id"], "value", {"p10": 0.1, "p90": 0.9}).drop("n")
     return R.summary(events, ["user_id"], "value").drop("outlier_fraction").join(tails, "user_id")
 
 
