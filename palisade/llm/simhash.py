@@ -23,8 +23,9 @@ names, are not read and stay as they are in representatives(). No documents: no
 
 representatives(), which keeps one document of each group of near copies, needs more than the radius of one fingerprint gives:
 it takes several fingerprints of 2-word shingles, each of which finds its links by trees in shards like those above, at a
-larger radius; documents are near copies if one of their fingerprints says so. That is an estimate by bits, which also links
-copies that were edited more than five-word shingles at 0.8 bear (README has figures), not documents that differ.
+larger radius. Such links only propose groups: within one, in the order of doc_id, a document goes if its Jaccard index with
+one that stays is 0.8 or more, in sets of five-word shingles (a text of fewer words is one shingle). So every document that
+goes is a near copy of one that stays, and none goes on an estimate alone.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import named, numbered, partitions, prepare, record, renamed, slices, texts
@@ -320,6 +321,9 @@ def report(docs: DataFrame) -> DataFrame:
 #: a shard. One fingerprint at a radius that pigeonholes bear finds few of the pairs at a similarity of 0.8 (the bits that
 #: differ scatter), several find nearly all.
 NEAR_SHINGLE, KINDS, NEAR_RADIUS, NEAR_LEVELS = 2, 3, 5, 2
+#: Words of a shingle by which proposed copies are verified; members of a group that are judged in one task, and those that are
+#: compared with the leaders among them in one.
+VERIFIED, HEADS, SALTED = 5, 64, 2000
 #: The steps that make one hash into several (those of a common 64-bit mixer).
 STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -346,33 +350,123 @@ def sketch_of(text: bytes, shingle: int = NEAR_SHINGLE, kinds: int = KINDS) -> l
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS, most: int = SHARD_MOST) -> DataFrame:
-    """doc_id and root of the rows (of unique doc_ids) that are near copies of one with a smaller doc_id: root is the smallest
-    that links lead to. Texts link if one of their fingerprints differs in no more than radius bits."""
+def shingles_of(text: bytes, size: int = VERIFIED) -> np.ndarray:
+    """The different hashes, ascending, of a text's runs of five words; none for a text without words."""
+    w = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    parts = map(b" ".join, zip(*(w[k:] for k in range(size)))) if len(w) > size else [b" ".join(w)] * bool(w)
+    return np.unique(np.fromiter((h(x, SEED) for x in parts), dtype=np.uint64)).view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard index of 0.8 or more; two empty ones have."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    column = batch.column("shingles")
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
+
+
+_OPEN = "root long, node long, leader long, shingles array<long>"
+_OPEN_ARROW = pa.schema([("root", pa.int64()), ("node", pa.int64()), ("leader", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row (root, _s, leads, node, shingles), in order, with the first leader of its group (root, _s) that it is like.
+    A row whose `leads` is 0 is a leader that stays one and isn't given back, 1 becomes one if it is like none, 2 doesn't."""
+    group, leaders = None, []
+    for batch in slices(batches):
+        out = []
+        for root, s, leads, node, own in zip(*(batch.column(c).to_pylist() for c in ("root", "_s", "leads", "node")), _sets(batch)):
+            if (root, s) != group:
+                group, leaders = (root, s), []
+            if leads == 0:
+                leaders.append((node, own.copy()))
+                continue
+            found = next((x for x, held in leaders if alike(own, held)), None)
+            if found is None and leads == 1:
+                leaders.append((found := node, own.copy()))
+            # a row that isn't gone needs its shingles again
+            out.append((root, node, found, own if found in (None, node) else None))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 4, _OPEN_ARROW)], schema=_OPEN_ARROW)
+
+
+def verified(members: DataFrame, n: int, heads: int = HEADS, salted: int = SALTED) -> DataFrame:
+    """node and leader of all members (root, node, shingles of proposed groups) that are like one with a smaller node that stays.
+
+    In rounds: the first `heads` undecided members of each group are judged in one task, then all others are compared with those
+    of them that stay, `salted` members of a group or so to a task. Most groups need no second round; a task holds no more than
+    `heads` leaders, whatever the group's size."""
+    rows, gone = members, []
+    while not rows.isEmpty():
+        first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("_k") <= heads)
+        first = first.select("root", F.lit(0).alias("_s"), F.lit(1).alias("leads"), "node", "shingles")
+        led = first.repartition(n, "root").sortWithinPartitions("root", "node").mapInArrow(_led, _OPEN).checkpoint()
+        gone.append(led.where("leader <> node"))
+        rest = rows.join(led.select("node"), "node", "left_anti")
+        # copies of leaders and parts of a group by its size, so that a large group is many tasks' work
+        parts = rest.groupBy("root").agg(F.ceil(F.count("*") / salted).cast("int").alias("_n"))
+        asked = rest.join(parts, "root").select("root", F.pmod(F.hash("node"), "_n").alias("_s"), F.lit(2).alias("leads"), "node", "shingles")
+        leaders = led.where("leader = node").join(parts, "root")
+        leaders = leaders.select("root", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.lit(0).alias("leads"), "node", "shingles")
+        both = asked.unionByName(leaders).repartition(n, "root", "_s").sortWithinPartitions("root", "_s", "leads", "node")
+        compared = both.mapInArrow(_led, _OPEN).checkpoint()
+        gone.append(compared.where("leader IS NOT NULL"))
+        rows = compared.where("leader IS NULL").select("root", "node", "shingles")
+    out = members.select("node", F.col("node").alias("leader")).limit(0)
+    for x in gone:
+        out = out.unionByName(x.select("node", "leader"))
+    return out
+
+
+def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS, most: int = SHARD_MOST, heads: int = HEADS, salted: int = SALTED) -> DataFrame:
+    """doc_id and root of the rows (of unique doc_ids) that are near copies of one with a smaller doc_id, root, that stays.
+    Texts are compared if a chain of links leads from one to the other; they link if one of their fingerprints differs in no more
+    than radius bits. Texts of the same words, but for the case of A-Z, are one and not compared."""
     prepare(docs.sparkSession)
-    names = [f"f{k}" for k in range(KINDS)]
-    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names)])
+    names, same = [f"f{k}" for k in range(KINDS)], ["h0", "h1"]
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names + same)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp = np.array([sketch_of(x) for x in texts(batch)], dtype=np.uint64).reshape(-1, KINDS).view(np.int64)
-            yield record(schema, batch.column("doc_id").cast(pa.int64()), *fp.T.copy())
+            held = texts(batch)
+            fp = np.array([sketch_of(x) for x in held], dtype=np.uint64).reshape(-1, KINDS).view(np.int64)
+            words = b"".join(xxhash.xxh3_128_digest(b" ".join(x.lower().split())) for x in held)
+            yield record(schema, batch.column("doc_id").cast(pa.int64()), *fp.T.copy(), *np.frombuffer(words, "<i8").reshape(-1, 2).T.copy())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("root", pa.int64()), ("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        for batch in slices(batches):
+            yield record(kinds, batch.column("root"), batch.column("node"), pa.array([shingles_of(x) for x in texts(batch)], pa.list_(pa.int64())))
 
-    own = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)).checkpoint()
-    # texts of equal fingerprints are one node, named by its smallest id
-    nodes = own.groupBy(*names).agg(F.min("doc_id").alias("node")).checkpoint()
-    n, edges = partitions(docs, 1 << 30), own.join(nodes, names).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    own = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names + same)).checkpoint()
+    # texts of the same words are one node, named by its smallest id
+    nodes = own.groupBy(*same).agg(F.min("doc_id").alias("node"), *(F.first(n).alias(n) for n in names)).checkpoint()
+    n, edges = partitions(docs, 1 << 30), None
     for name in names:
         first = nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node"))
-        same = nodes.select(F.col(name).alias("fp"), F.col("node").alias("a")).join(first.withColumnRenamed("node", "b"), "fp").select("a", "b")
+        equal = nodes.select(F.col(name).alias("fp"), F.col("node").alias("a")).join(first.withColumnRenamed("node", "b"), "fp").select("a", "b")
         near = links(first.select("fp"), n, radius, most, NEAR_LEVELS)
         near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("_a")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("_b")), "b")
-        edges = edges.unionByName(same).unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    return components(edges).where("fp <> root").select(F.col("fp").alias("doc_id"), "root")
+        found = equal.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        edges = found if edges is None else edges.unionByName(found)
+    # a group's root is one of its members, whether or not it has a row of its own
+    proposed = components(edges).select(F.col("fp").alias("node"), "root")
+    proposed = proposed.unionByName(proposed.select(F.col("root").alias("node"), "root")).distinct()
+    members = docs.select(F.col("doc_id").alias("node"), "text").join(proposed, "node").mapInArrow(sets, "root long, node long, shingles array<long>")
+    gone = verified(members.checkpoint(), n, heads, salted)
+    copies = own.join(nodes.select(*same, "node"), same).join(gone, "node", "left")
+    return copies.select("doc_id", F.coalesce("leader", "node").alias("root")).where("doc_id <> root")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs, with all columns, with one row of each group of near copies: the first by doc_id, nulls first, then by text."""
+    """docs, with all columns, without the near copies of rows that stay: of near copies the first by doc_id stays, nulls first,
+    then by text."""
     held = numbered(renamed(docs), "text", *(f"_{k}" for k in range(len(docs.columns) - 2)))
     gone = near_copies(held.select(F.col("rid").alias("doc_id"), "text")).select(F.col("doc_id").alias("rid"))
     return named(held.join(gone, "rid", "left_anti"), docs)

@@ -42,7 +42,15 @@ def near(rows):
             if any((x ^ y).bit_count() <= 5 for x, y in zip(fp[a], fp[b])):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    return {d: t for d, t in rows.items() if find(d) == d}
+    # what fingerprints propose is verified by five-word shingles, against the documents that stay
+    kept = {}
+    for d in ids:
+        w = (rows[d] or "").encode().lower().split()
+        own = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        others = kept.setdefault(find(d), {})
+        if not any(5 * len(own & x) >= 4 * len(own | x) for x in others.values()):
+            others[d] = own
+    return {d: rows[d] for held in kept.values() for d in held}
 
 
 def cut(rows, length=100):
