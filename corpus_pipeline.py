@@ -22,8 +22,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id (null ids first; of rows of one id that of
-    the smallest text). Null, empty and blank texts are near copies of each other."""
+    """Documents but those with a similarity of 0.8 or more, in five-word shingles, to one that stays; of near copies that of
+    the smallest doc_id stays (null ids first; of rows of one id that of the smallest text). Null, empty and blank texts are
+    near copies of each other."""
     return simhash.representatives(docs)
 
 
