@@ -53,10 +53,10 @@ def reconcile(fused: DataFrame, routers: DataFrame, made: Sequence[str] = ("synt
     """clip_id, status, consensus, decision, conflicting_sources. fused: clip_id, label, score; routers: clip_id,
     source (specialist or binary), status, label. made: labels of the specialist that say synthetic; binary: the
     labels of the other router that say synthetic and original. The fused score stays authoritative; nothing is
-    overridden."""
+    overridden. The score of a mixed label doesn't count, as it is rounded: one just under a bound would be over it."""
     score = F.col("score")
     own = (
-        F.when(F.col("label").startswith("abstain-"), "uncertain")
+        F.when(F.col("label").startswith("abstain-") | (F.col("label") == "mixed-anomaly-signal"), "uncertain")
         .when((F.col("label") == "high-anomaly-signal") | (score >= 0.62), "synthetic")
         .when((F.col("label") == "low-anomaly-signal") | (score < 0.30), "original")
         .otherwise("uncertain")

@@ -222,6 +222,14 @@ def test_reconcile(spark):
     assert got == {1: ("agreed", "synthetic"), 2: ("conflict", "review"), 3: ("inconclusive", "review"), 4: ("inconclusive", "review")}
 
 
+def test_reconcile_goes_by_the_label_where_the_rounded_score_crosses_its_bound(spark):
+    """A fused score of 0.6199999 is mixed, and 0.62 once it is rounded; without a label of fusion the score decides."""
+    f = spark.createDataFrame([(1, "mixed-anomaly-signal", 0.62), (2, "mixed-anomaly-signal", 0.62), (3, None, 0.62), (4, "low-anomaly-signal", 0.3)], "clip_id long, label string, score double")
+    r = spark.createDataFrame([(1, "binary", "classified", "original"), (2, "binary", "classified", "synthetic"), (4, "binary", "classified", "original")], "clip_id long, source string, status string, label string")
+    out = project.reconcile(f, r)
+    assert {x.clip_id: (x.status, x.decision) for x in out.collect()} == {1: ("inconclusive", "review"), 2: ("inconclusive", "review"), 3: ("agreed", "synthetic"), 4: ("agreed", "original")}
+
+
 def test_branches_on_synthetic_clips(spark):
     from palisade.functions import tiles as T
 
