@@ -195,3 +195,36 @@ def test_branches_from_pixels(spark):
     assert P.temporal_pairs(still.where("clip_id = 4"), cuts, (96, 128)).count() == 5
     assert P.temporal_pairs(still.limit(0), size=(96, 128)).count() == 0
     assert np.isclose(P.detections(steady).where("pos = 3").select(F.get("region", F.lit(2))).first()[0], 36 / 128)
+
+
+def test_pairs_tracked_together_are_as_each_alone():
+    looks = [vision.Look(np.rint(shifted(texture(k // 3), k % 3, 0))) for k in range(6)] + [vision.Look(np.full((120, 180), 9.0))]
+    pairs = list(zip(looks, looks[1:]))
+    for many, (a, b) in zip(vision.trips(pairs), pairs):
+        alone = vision.round_trips(a.image, b.image)
+        assert many.shape == alone.shape and np.allclose(many, alone, atol=1e-9)
+
+
+def test_python_works_on_few_frames_at_a_time(spark, tmp_path):
+    """Rows of pixels by the thousand in a batch were gigabytes of a worker's memory."""
+    import pyarrow.parquet as pq
+
+    from palisade.plans.standins import pixel_frames
+
+    rows = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(1, 64), x -> float(x + id % 7)) AS embedding", "int(id % 10) AS label")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert pq.read_metadata(next((tmp_path / "embeddings.parquet").glob("*.parquet"))).num_rows == 3000
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        most = max(r.n for r in pixel_frames(spark, str(tmp_path)).mapInArrow(sizes, "n long").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert most <= 9 << 20
