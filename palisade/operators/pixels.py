@@ -1,8 +1,8 @@
 """From decoded frames to the feature rows of the branches that look at pixels.
 
 Frames are rows clip_id, pos, frame_index, height, width, pixels (bytes of blue, green, red, row by row). Features of one
-frame are made where the frame is; those of a pair after one shuffle by clip, in which each frame meets the one before
-it. Nothing gathers a clip's pixels. A frame whose bytes don't fit its size, or that is null, has null features, and so
+frame are made where the frame is; those of a pair after one shuffle by clip of grey frames at their working size, in whose
+order each frame meets the one before it. Nothing gathers a clip's pixels. A frame whose bytes don't fit its size, or that is null, has null features, and so
 has a pair with such a frame; branches leave those out."""
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from palisade.functions import kernels, tiles as T, vision
 from palisade.operators import sequence as S
+from palisade.session import PIXEL_ROWS, bounded
 
 #: Sizes (height, width) at which branches look at frames, quality of the JPEG round trip.
 TEMPORAL_SIZE, CONTENT_SIZE, SPECTRUM_SIZE, QUALITY = (180, 320), (144, 256), (144, 256), 75
-_ARROW = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
+_ARROW = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "array<double>": pa.list_(pa.float64()), "binary": pa.binary()}
+#: Pairs whose corners are tracked together: as many as have so many pixels, up to BLOCK.
+BLOCK, BLOCK_PIXELS = 32, 1 << 19
 Picture = np.ndarray | None
 
 
@@ -30,33 +33,65 @@ def pictures(column: pa.Array, height: pa.Array, width: pa.Array) -> Iterator[Pi
         yield np.frombuffer(data, np.uint8).reshape(h, w, 3) if fits else None
 
 
-def features(frames: DataFrame, make: Callable[..., tuple], columns: dict[str, str], *images: str) -> DataFrame:
-    """frames' other columns and `columns` (names and types), what make(*pictures) gives; nulls where a picture is
-    missing. images: prefixes of columns <prefix>pixels, <prefix>height, <prefix>width."""
-    held = [c for c in frames.columns if c not in {p + n for p in images for n in ("pixels", "height", "width")}]
+def features(frames: DataFrame, make: Callable[[np.ndarray], tuple], columns: dict[str, str]) -> DataFrame:
+    """frames' columns but the picture's, and `columns` (names and types), what make(picture) gives; nulls where it is
+    missing."""
+    bounded(frames.sparkSession)
+    held = [c for c in frames.columns if c not in ("pixels", "height", "width")]
     kinds = [pa.field(n, _ARROW[t]) for n, t in columns.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                make(*some) if all(x is not None for x in some) else (None,) * len(kinds)
-                for some in zip(*(pictures(batch.column(p + "pixels"), batch.column(p + "height"), batch.column(p + "width")) for p in images))
-            ]
-            out = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *out], names=[*held, *columns])
+        for whole in batches:
+            for k in range(0, whole.num_rows, PIXEL_ROWS):
+                batch = whole.slice(k, PIXEL_ROWS)
+                rows = [(None,) * len(kinds) if x is None else make(x) for x in pictures(*(batch.column(c) for c in ("pixels", "height", "width")))]
+                out = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), *out], names=[*held, *columns])
 
     kept = ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in held)
     return frames.mapInArrow(run, kept + ", " + ", ".join(f"{n} {t}" for n, t in columns.items()))
 
 
-def paired(frames: DataFrame) -> DataFrame:
-    """Each frame with the one before it in its clip: before_pixels, before_height, before_width, before_index (null for
-    the first)."""
+Pair = tuple[vision.Look, vision.Look]
+
+
+def paired(
+    frames: DataFrame, look: Callable[[np.ndarray], np.ndarray], size: tuple[int, int], make: Callable[[list[Pair]], list[tuple]],
+    columns: dict[str, str], alone: Callable[[vision.Look], tuple] | None = None,
+) -> DataFrame:
+    """clip_id, pos, frame_index, before_index (null for a clip's first frame), first, and `columns`: what make(pairs) gives of
+    each frame and the one before it, as look(picture) shows them (whole grey values of 0 to 255, of `size`), and alone(frame) of
+    first ones. A frame's row comes from one look at it, which both of its pairs share."""
+    seen = features(frames.select("clip_id", "pos", "frame_index", "height", "width", "pixels"), lambda f: (look(f).astype(np.uint8).tobytes(),), {"look": "binary"})
     # a stated number of partitions: few bytes of pixels are much work, so they aren't to be coalesced by their size
-    dealt = frames.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip_id")
-    by = Window.partitionBy("clip_id").orderBy("pos")
-    before = {f"before_{n}": F.lag(c).over(by) for n, c in (("pixels", "pixels"), ("height", "height"), ("width", "width"), ("index", "frame_index"))}
-    return dealt.select("clip_id", "pos", "frame_index", "height", "width", "pixels").withColumns(before)
+    dealt = seen.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "clip_id").sortWithinPartitions("clip_id", "pos")
+    kinds = [pa.field("before_index", pa.int64()), pa.field("first", pa.bool_()), *(pa.field(n, _ARROW[t]) for n, t in columns.items())]
+    none, step = (None,) * len(columns), min(BLOCK, max(1, BLOCK_PIXELS // (size[0] * size[1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clip, index, before, begun = None, None, None, False
+        for whole in batches:
+            for k in range(0, whole.num_rows, step):
+                batch = whole.slice(k, step)
+                rows, pairs = [], []
+                for c, i, data in zip(*(batch.column(n).to_pylist() for n in ("clip_id", "frame_index", "look"))):
+                    own = None if data is None else vision.Look(np.frombuffer(data, np.uint8).reshape(size).astype(np.float64))
+                    first = not begun or c != clip
+                    if first:
+                        rows.append([None, True, alone(own) if alone is not None and own is not None else none])
+                    else:
+                        if before is not None and own is not None:
+                            pairs.append((len(rows), (before, own)))
+                        rows.append([index, False, none])
+                    clip, index, before, begun = c, i, own, True
+                for (at, _), made in zip(pairs, make([p for _, p in pairs]) if pairs else []):
+                    rows[at][2] = made
+                flat = [(a, b, *rest) for a, b, rest in rows]
+                held = [batch.column(n) for n in ("clip_id", "pos", "frame_index")]
+                yield pa.RecordBatch.from_arrays([*held, *(pa.array([r[j] for r in flat], f.type) for j, f in enumerate(kinds))], names=["clip_id", "pos", "frame_index", *(f.name for f in kinds)])
+
+    kept = ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in ("clip_id", "pos", "frame_index"))
+    return dealt.mapInArrow(run, kept + ", before_index long, first boolean, " + ", ".join(f"{n} {t}" for n, t in columns.items()))
 
 
 def grey(frame: np.ndarray) -> np.ndarray:
@@ -87,19 +122,21 @@ def temporal_pairs(frames: DataFrame, cuts: DataFrame | None = None, size: tuple
     """What branches.temporal takes: clip_id, pos, gap, error, flow (mean round-trip error of corners, null without),
     local, tracked, and motion (median flow); pairs at cuts (clip_id, cut) left out."""
 
-    def make(one: np.ndarray, two: np.ndarray) -> tuple:
-        a, b = small(one, size), small(two, size)
-        flow = vision.dense_flow(a, b)
-        residual = np.abs(np.rint(vision.warp(a, flow)) - b)
-        trips = vision.round_trips(a, b)
-        error, motion = float(residual.mean() / 255), float(np.median(np.hypot(flow[..., 0], flow[..., 1])))
-        return error, float(trips.mean()) if len(trips) else None, contrast(tile_means(residual), 1.0), len(trips), motion
-
-    pairs = paired(frames).where("before_index IS NOT NULL")
+    def make(pairs: list[Pair]) -> list[tuple]:
+        out = []
+        for (a, b), trips in zip(pairs, vision.trips(pairs)):
+            flow = vision.dense_flow(a, b)
+            residual = np.abs(np.rint(vision.warp(a.image, flow)) - b.image)
+            error, motion = float(residual.mean() / 255), float(np.median(np.hypot(flow[..., 0], flow[..., 1])))
+            out.append((error, float(trips.mean()) if len(trips) else None, contrast(tile_means(residual), 1.0), len(trips), motion))
+        return out
+
+    columns = {"error": "double", "flow": "double", "local": "double", "tracked": "int", "motion": "double"}
+    pairs = paired(frames, lambda frame: small(frame, size), size, make, columns).where("before_index IS NOT NULL")
     if cuts is not None:
         pairs = S.outside_cuts(pairs, cuts, ["clip_id"], "before_index", "frame_index", "cut")
-    rows = pairs.withColumn("gap", F.greatest(F.lit(1), F.col("frame_index") - F.col("before_index")).cast("int")).drop("before_index")
-    return features(rows, make, {"error": "double", "flow": "double", "local": "double", "tracked": "int", "motion": "double"}, "before_", "")
+    gap = F.greatest(F.lit(1), F.col("frame_index") - F.col("before_index")).cast("int")
+    return pairs.select("clip_id", "pos", "frame_index", gap.alias("gap"), *columns)
 
 
 def recompression_frames(frames: DataFrame, quality: int = QUALITY) -> DataFrame:
@@ -110,7 +147,7 @@ def recompression_frames(frames: DataFrame, quality: int = QUALITY) -> DataFrame
         return float(residual.mean() / 255), kernels.blockiness(grey(frame)), ratio(tile_means(grey(residual)), 1.0)
 
     rows = frames.select("clip_id", "pos", "frame_index", "height", "width", "pixels")
-    return features(rows, make, {"residual": "double", "block": "double", "ratio": "double"}, "")
+    return features(rows, make, {"residual": "double", "block": "double", "ratio": "double"})
 
 
 def frequency_frames(frames: DataFrame, size: tuple[int, int] = SPECTRUM_SIZE) -> DataFrame:
@@ -122,7 +159,7 @@ def frequency_frames(frames: DataFrame, size: tuple[int, int] = SPECTRUM_SIZE) -
         return float(noise.std() / 255), kernels.radial_ratio(image), ratio(tile_means(np.abs(noise)), 1e-3)
 
     rows = frames.select("clip_id", "pos", "frame_index", "height", "width", "pixels")
-    return features(rows, make, {"noise": "double", "high": "double", "ratio": "double"}, "")
+    return features(rows, make, {"noise": "double", "high": "double", "ratio": "double"})
 
 
 def integrity_pairs(frames: DataFrame, size: tuple[int, int] = CONTENT_SIZE) -> DataFrame:
@@ -132,19 +169,16 @@ def integrity_pairs(frames: DataFrame, size: tuple[int, int] = CONTENT_SIZE) ->
     def look(frame: np.ndarray) -> np.ndarray:
         return np.rint(kernels.gray(np.rint(kernels.content(frame, size))))
 
-    def pair(one: np.ndarray, two: np.ndarray) -> tuple:
-        a, b = look(one), look(two)
+    def pair(a: vision.Look, b: vision.Look) -> tuple:
         there, back = vision.dense_flow(a, b), vision.dense_flow(b, a)
-        residual = np.abs(vision.warp(a, there) - b)
+        residual = np.abs(vision.warp(a.image, there) - b.image)
         tiles = tile_means(residual)
         rest = np.delete(tiles, tiles.argmax())
-        return float(np.median(residual) / 255), kernels.divergence(there), kernels.occlusion(there, back), contrast(tiles, 1e-3), contrast(rest, 1e-3), kernels.dct_energy(b)
+        return float(np.median(residual) / 255), kernels.divergence(there), kernels.occlusion(there, back), contrast(tiles, 1e-3), contrast(rest, 1e-3), kernels.dct_energy(b.image)
 
     columns = dict.fromkeys(("residual", "divergence", "occlusion", "contrast", "without", "dct"), "double")
-    both = paired(frames)
-    one = frames.join(frames.groupBy("clip_id").agg(F.min("pos").alias("pos")), ["clip_id", "pos"]).select("clip_id", "pos", "frame_index", "height", "width", "pixels")
-    first = features(one, lambda frame: (None, None, None, None, None, kernels.dct_energy(look(frame))), columns, "")
-    return features(both.where("before_index IS NOT NULL").drop("before_index"), pair, columns, "before_", "").unionByName(first)
+    rows = paired(frames, look, size, lambda pairs: [pair(*p) for p in pairs], columns, lambda frame: (None, None, None, None, None, kernels.dct_energy(frame.image)))
+    return rows.where("first OR before_index IS NOT NULL").drop("before_index", "first")
 
 
 def scene_pairs(frames: DataFrame) -> DataFrame:
@@ -154,7 +188,7 @@ def scene_pairs(frames: DataFrame) -> DataFrame:
     def make(frame: np.ndarray) -> tuple:
         return (kernels.hue_saturation(np.rint(vision.area_resize(frame, 36, 64)).reshape(-1, 3)).tolist(),)
 
-    rows = features(frames.select("clip_id", "pos", "frame_index", "height", "width", "pixels"), make, {"histogram": "array<double>"}, "")
+    rows = features(frames.select("clip_id", "pos", "frame_index", "height", "width", "pixels"), make, {"histogram": "array<double>"})
     both = S.pairs(rows, ["clip_id"], "pos", "histogram").where(F.col("previous").isNotNull())
     return both.select("clip_id", "pos", "frame_index", T.histogram_distance(F.col("previous"), F.col("histogram")).alias("distance"))
 
@@ -163,7 +197,7 @@ def detections(frames: DataFrame) -> DataFrame:
     """clip_id, pos, frame_index, candidates (admissible skin-like regions) and region (centre x and y, width, height, as
     shares; null without) of each frame."""
     rows = frames.select("clip_id", "pos", "frame_index", "height", "width", "pixels")
-    return features(rows, vision.skin_regions, {"candidates": "int", "region": "array<double>"}, "")
+    return features(rows, vision.skin_regions, {"candidates": "int", "region": "array<double>"})
 
 
 def face_inputs(found: DataFrame) -> tuple[DataFrame, DataFrame]:

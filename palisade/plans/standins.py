@@ -207,6 +207,9 @@ def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     from palisade.functions import vision
+    from palisade.session import PIXEL_ROWS, bounded
+
+    bounded(spark)
 
     def draw(vector: list[float], pos: int) -> bytes:
         v = np.abs(np.nan_to_num(np.array(vector[:64] + [0.0] * (64 - len(vector)), dtype=np.float64)))
@@ -220,11 +223,16 @@ def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out.astype(np.uint8).tobytes()
 
     def run(batches):
-        for batch in batches:
-            pos = batch.column("pos").to_pylist()
-            pixels = [None if e is None else draw([0.0 if x is None else x for x in e], p) for e, p in zip(batch.column("embedding").to_pylist(), pos)]
-            yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("pos"), pa.array(pixels, pa.binary())], names=["clip_id", "pos", "pixels"])
+        # a row is drawn to two hundred times its bytes, so batches are cut before
+        for whole in batches:
+            for k in range(0, whole.num_rows, PIXEL_ROWS):
+                batch = whole.slice(k, PIXEL_ROWS)
+                pos = batch.column("pos").to_pylist()
+                pixels = [None if e is None else draw([0.0 if x is None else x for x in e], p) for e, p in zip(batch.column("embedding").to_pylist(), pos)]
+                yield pa.RecordBatch.from_arrays([batch.column("clip_id"), batch.column("pos"), pa.array(pixels, pa.binary())], names=["clip_id", "pos", "pixels"])
 
     rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / CLIP).alias("clip_id"), (F.col("vec_id") % CLIP).alias("pos"), "embedding")
-    drawn = rows.mapInArrow(run, "clip_id long, pos long, pixels binary")
+    # rows are few bytes and much work, so they are dealt over a stated number of partitions however few the table's files are
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip_id")
+    drawn = dealt.mapInArrow(run, "clip_id long, pos long, pixels binary")
     return drawn.select("clip_id", "pos", (F.col("pos") * 2).alias("frame_index"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "pixels")

@@ -46,3 +46,13 @@ def durable(df: DataFrame) -> DataFrame:
     partitions."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Bytes and rows of pixels that Python works on at a time, and what an Arrow batch holds.
+BATCH_BYTES, PIXEL_ROWS = 8 << 20, 64
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers receive by bytes too: as many rows of pixels as Spark puts in a batch by
+    number alone are gigabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

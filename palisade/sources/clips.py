@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
+from palisade.session import PIXEL_ROWS, bounded
+
 SCHEMA = "path string, frame_index int, seconds double, height int, width int, pixels binary"
 _ARROW = pa.schema([("path", pa.string()), ("frame_index", pa.int32()), ("seconds", pa.float64()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
 #: Clips of a partition; bytes of pixels in a batch.
@@ -199,7 +201,7 @@ def write(frames: DataFrame, folder: str, rate: str = "24:1") -> DataFrame:
                 store.move(draft, posixpath.join(base, f"{name}.y4m"))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{folder}/{name}.y4m"]), pa.array([count], pa.int32())], schema=out)
 
-        for batch in batches:
+        for batch in (whole.slice(k, PIXEL_ROWS) for whole in batches for k in range(0, whole.num_rows, PIXEL_ROWS)):
             for clip, h, w, pixels in zip(*(batch.column(c).to_pylist() for c in ("clip_id", "height", "width", "pixels"))):
                 if clip != name:
                     yield from finish()
@@ -212,6 +214,7 @@ def write(frames: DataFrame, folder: str, rate: str = "24:1") -> DataFrame:
                 count += 1
         yield from finish()
 
+    bounded(frames.sparkSession)
     rows = frames.where("pixels IS NOT NULL AND clip_id IS NOT NULL").select(F.col("clip_id").cast("string").alias("clip_id"), "frame_index", "height", "width", "pixels")
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(n, "clip_id").sortWithinPartitions("clip_id", "frame_index")
