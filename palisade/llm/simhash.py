@@ -321,9 +321,13 @@ def report(docs: DataFrame) -> DataFrame:
 #: a shard. One fingerprint at a radius that pigeonholes bear finds few of the pairs at a similarity of 0.8 (the bits that
 #: differ scatter), several find nearly all.
 NEAR_SHINGLE, KINDS, NEAR_RADIUS, NEAR_LEVELS = 2, 3, 5, 2
-#: Words of a shingle by which proposed copies are verified; members of a group that are judged in one task, and those that are
-#: compared with the leaders among them in one.
+#: Words of a shingle by which proposed copies are verified; members of a group that are judged in one task in the first round,
+#: and those that are compared with the leaders among them in one.
 VERIFIED, HEADS, SALTED = 5, 64, 2000
+#: Rounds judge so many times the members of the one before, up to so many: a group whose members are all unlike is over in few.
+MORE, MOST_HEADS = 4, 1024
+#: Bits by which sets are compared before their members are.
+BITS = 12
 #: The steps that make one hash into several (those of a common 64-bit mixer).
 STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -376,21 +380,53 @@ _OPEN = "root long, node long, leader long, shingles array<long>"
 _OPEN_ARROW = pa.schema([("root", pa.int64()), ("node", pa.int64()), ("leader", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
+def _bits(own: np.ndarray) -> np.ndarray:
+    """One bit for each place that a set's hashes have in 2**BITS, as 64-bit words."""
+    seen = np.zeros(1 << BITS, dtype=np.uint8)
+    seen[own.view(np.uint64) >> np.uint64(64 - BITS)] = 1
+    return np.packbits(seen).view(np.uint64)
+
+
+class _Leaders:
+    """Leaders of a group in the order in which they came."""
+
+    def __init__(self) -> None:
+        self.sets: list[np.ndarray] = []
+        self.nodes: list[int] = []
+        self.bits, self.sizes = np.zeros((16, (1 << BITS) // 64), dtype=np.uint64), np.zeros(16, dtype=np.int64)
+
+    def add(self, node: int, own: np.ndarray) -> None:
+        n = len(self.sets)
+        if n == len(self.sizes):
+            self.bits, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.bits, self.sizes))
+        self.bits[n], self.sizes[n] = _bits(own), len(own)
+        self.sets.append(own.copy())
+        self.nodes.append(node)
+
+    def like(self, own: np.ndarray) -> int | None:
+        """The first leader that a set is like. Hashes at places that a leader's have not are none of its, which bounds what
+        both have; only those that the bound lets through are compared."""
+        n = len(self.sets)
+        alone = np.bitwise_count(_bits(own) & ~self.bits[:n]).sum(axis=1, dtype=np.int64)
+        near = np.nonzero(9 * (len(own) - alone) >= 4 * (len(own) + self.sizes[:n]))[0]
+        return next((self.nodes[k] for k in near.tolist() if alike(own, self.sets[k])), None)
+
+
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row (root, _s, leads, node, shingles), in order, with the first leader of its group (root, _s) that it is like.
     A row whose `leads` is 0 is a leader that stays one and isn't given back, 1 becomes one if it is like none, 2 doesn't."""
-    group, leaders = None, []
+    group, leaders = None, _Leaders()
     for batch in slices(batches):
         out = []
         for root, s, leads, node, own in zip(*(batch.column(c).to_pylist() for c in ("root", "_s", "leads", "node")), _sets(batch)):
             if (root, s) != group:
-                group, leaders = (root, s), []
+                group, leaders = (root, s), _Leaders()
             if leads == 0:
-                leaders.append((node, own.copy()))
+                leaders.add(node, own)
                 continue
-            found = next((x for x, held in leaders if alike(own, held)), None)
+            found = leaders.like(own)
             if found is None and leads == 1:
-                leaders.append((found := node, own.copy()))
+                leaders.add(found := node, own)
             # a row that isn't gone needs its shingles again
             out.append((root, node, found, own if found in (None, node) else None))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 4, _OPEN_ARROW)], schema=_OPEN_ARROW)
@@ -400,8 +436,9 @@ def verified(members: DataFrame, n: int, heads: int = HEADS, salted: int = SALTE
     """node and leader of all members (root, node, shingles of proposed groups) that are like one with a smaller node that stays.
 
     In rounds: the first `heads` undecided members of each group are judged in one task, then all others are compared with those
-    of them that stay, `salted` members of a group or so to a task. Most groups need no second round; a task holds no more than
-    `heads` leaders, whatever the group's size."""
+    of them that stay, `salted` members of a group or so to a task. Most groups need no second round; the next rounds judge MORE
+    times as many, as each moves and writes all that is left. A task holds no more than MOST_HEADS leaders (or `heads`), whatever
+    the group's size."""
     rows, gone = members, []
     while not rows.isEmpty():
         first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("_k") <= heads)
@@ -417,7 +454,7 @@ def verified(members: DataFrame, n: int, heads: int = HEADS, salted: int = SALTE
         both = asked.unionByName(leaders).repartition(n, "root", "_s").sortWithinPartitions("root", "_s", "leads", "node")
         compared = both.mapInArrow(_led, _OPEN).checkpoint()
         gone.append(compared.where("leader IS NOT NULL"))
-        rows = compared.where("leader IS NULL").select("root", "node", "shingles")
+        rows, heads = compared.where("leader IS NULL").select("root", "node", "shingles"), max(heads, min(heads * MORE, MOST_HEADS))
     out = members.select("node", F.col("node").alias("leader")).limit(0)
     for x in gone:
         out = out.unionByName(x.select("node", "leader"))

@@ -69,3 +69,29 @@ def test_same_as_all_pairs(spark, monkeypatch, texts, most, heads, salted):
     full = lambda t: " ".join((t or "").lower().split())
     assert all(jaccard(full(rows[r.doc_id]), full(rows[r.root])) >= 0.8 for r in gone)
     assert {r.doc_id for r in gone} >= set(range(7100, 7112))
+
+
+def test_a_group_of_unlike_texts_is_over_in_few_rounds(spark, monkeypatch):
+    """Each round moves and writes all that is left of a group, so a number of rounds that grows with it filled the disk."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    simhash.prepare(spark)
+    rng = random.Random(2)
+    rows = []
+    for k in range(300):
+        # every seventh is like the one seven before but for one of forty
+        own = [rng.getrandbits(60), *rows[k - 7][2][1:]] if k % 7 == 6 and k > 6 else [rng.getrandbits(60) for _ in range(40)]
+        rows.append((1, k, sorted(own)))
+    made, real = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: made.append(1) or real(self, *a, **k))
+    members = spark.createDataFrame(rows, "root long, node long, shingles array<long>")
+    got = {r.node: r.leader for r in simhash.verified(members, 4, heads=4).collect()}
+    leaders, want = [], {}
+    for _, node, own in rows:
+        like = next((n for n, s in leaders if len(s & set(own)) * 5 >= 4 * len(s | set(own))), None)
+        if like is None:
+            leaders.append((node, set(own)))
+        else:
+            want[node] = like
+    assert got == want and len(want) > 10
+    assert len(made) <= 12
