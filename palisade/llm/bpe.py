@@ -41,15 +41,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import prepare, record, slices, texts
+from palisade.llm import words
+from palisade.llm.common import prepare, record, slices
 
 #: The pattern by which byte-level BPE pre-splits, and white space as it sees it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers, characters of text that are split at a time, bytes of a batch, bytes of a word
-#: beyond which it walks alone, words that walk together.
-REMEMBERED, PIECE, BATCH, LONG, TOGETHER = 250_000, 1 << 20, 2 << 20, 48, 8192
+#: beyond which it walks alone, words that walk together, pairs of a state and an arc that a worker remembers.
+REMEMBERED, PIECE, BATCH, LONG, TOGETHER, OPEN = 250_000, 1 << 20, 2 << 20, 48, 8192, 1 << 18
+#: Kinds of characters by the pattern: letters, numbers, others, white space; 0 is between texts.
+LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 NEVER = np.int64(1 << 40)
 
 
@@ -94,6 +96,7 @@ class Automaton:
             gadgets.append((u, v))
             if self.made[w] == NEVER:
                 self.made[w], self.left[w], self.tail[w] = rank, u, v
+        self.known = np.full(OPEN, -1, dtype=np.int64)
         self._number()
         self._compile(gadgets)
         self._spell()
@@ -201,7 +204,18 @@ class Automaton:
         return True
 
     def opens(self, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """open() of many states and arcs; state `size` is the start."""
+        """open() of many states and arcs; state `size` is the start. Pairs that come again are remembered, each at a place of
+        its own that another pair may take."""
+        pair = state * self.wide + arc
+        place = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % len(self.known)
+        held = self.known[place]
+        ok, new = (held & 1).astype(bool), np.flatnonzero(held >> 1 != pair)
+        if len(new):
+            ok[new] = found = self._opens(state[new], arc[new])
+            self.known[place[new]] = pair[new] << 1 | found
+        return ok
+
+    def _opens(self, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
         ok = np.ones(len(state), dtype=bool)
         x, before, at = state, np.full(len(state), NEVER), self.place[arc]
         skip = ~self.has[x]
@@ -327,14 +341,84 @@ class Words(dict):
     """Numbers of words, new ones as they come; `new` lists those."""
 
     def __init__(self) -> None:
-        self.new: list[str] = []
+        self.new: list = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word) -> int:
         number = self[word] = len(self)
         self.new.append(word)
         return number
 
 
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of each character."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), OTHER, dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+        for found in regex.finditer(pattern, every):
+            out[found.start() : found.end()] = kind
+    return out
+
+
+def split(char: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pattern's matches begin and end (before) in characters of given kinds; none goes across one of kind 0.
+
+    Matches are runs of one kind, but for two rules. White space that something follows gives its last character away: to what
+    follows, if it is a space, else it is a match of its own. An apostrophe alone, with no space before it, takes the letters of
+    a contraction from the run that follows."""
+    begin, end = words.runs(kind)
+    if not len(begin):
+        return begin, end
+    own = kind[begin]
+    next_ = np.append(begin[1:] == end[:-1], False)
+    white = np.flatnonzero((own == WHITE) & next_)
+    last = end[white] - 1
+    space = char[last] == 32
+    end[white] -= 1
+    begin[white[space] + 1] -= 1
+    # "'" that is a run of its own, and the first letters of what follows it
+    mark = np.flatnonzero((own == OTHER) & (end - begin == 1) & (char[begin] == 39) & next_)
+    mark = mark[own[mark + 1] == LETTER]
+    one = char[begin[mark + 1]]
+    two = char[np.minimum(begin[mark + 1] + 1, len(char) - 1)]
+    few = np.isin(one, [ord(c) for c in "stmd"])
+    more = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    takes = few + 2 * (more & (end[mark + 1] - begin[mark + 1] > 1))
+    end[mark] += takes
+    begin[mark + 1] += takes
+    alone = last[~space]
+    begin, end = np.concatenate([begin, alone]), np.concatenate([end, alone + 1])
+    real = end > begin
+    begin, end = begin[real], end[real]
+    order = np.argsort(begin, kind="stable") if len(alone) else slice(None)
+    return begin[order], end[order]
+
+
+def distinct(data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches of bytes, in order and none empty: one of each different one, and for each stretch which of those it equals.
+    Found by hash, then compared byte by byte; one that only has another's hash stands for itself."""
+    _, first, which = np.unique(words.xxh64s(data, start, size, 0), return_index=True, return_inverse=True)
+    to = first[which]
+    same = size == size[to]
+    eight = np.ascontiguousarray(np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,)))
+    short = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
+    same &= (eight[start] ^ eight[start[to]]) & short == 0
+    far = np.flatnonzero(same & (size > 8) & (to != np.arange(len(to))))
+    at = 8
+    while len(far):
+        # the last eight bytes of each go over what was compared
+        k = np.minimum(at, size[far] - 8)
+        differs = eight[start[far] + k] != eight[start[to[far]] + k]
+        same[far[differs]] = False
+        far = far[~differs & (size[far] > at + 8)]
+        at += 8
+    if same.all():
+        return first, which
+    odd = np.flatnonzero(~same)
+    which[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([first, odd]), which
+
+
 class Tokenizer:
     """A byte-level BPE vocabulary file with its special tokens, encoded by the automaton."""
 
@@ -352,8 +436,6 @@ class Tokenizer:
         self.labels = [label.get(i, b"") for i in range(top)]
         ordered = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, ordered)) + ")") if ordered else None
-        self.split = regex.compile(PATTERN)
-        self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII)  # the same on ASCII
         self.gap = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
         # words that are remembered: numbers, and by number how often they came, where their ids are, how many
         self.words = Words()
@@ -375,17 +457,13 @@ class Tokenizer:
         return self.encode_all([text])[0].tolist()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """ids of each text. Words are looked up when texts of PIECE characters are split."""
+        """ids of each text. Pieces of texts of PIECE characters in all are split, and their words looked up, at a time."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, str]] = []
         size = 0
         for k, text in enumerate(texts):
             for piece in self.pieces(text):
-                if piece in self.special:
-                    held.append((k, np.array([-self.special[piece] - 1])))
-                    continue
-                found = (self.split_ascii if piece.isascii() else self.split).findall(piece)
-                held.append((k, np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))))
+                held.append((k, piece))
                 size += len(piece)
                 if size >= PIECE:
                     self._look_up(held, out)
@@ -393,23 +471,53 @@ class Tokenizer:
         self._look_up(held, out)
         return [parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts]) for parts in out]
 
-    def _look_up(self, held: list[tuple[int, np.ndarray]], out: list[list[np.ndarray]]) -> None:
-        """Encodes the words that are new, then all that is held: numbers of words, or special tokens below 0."""
+    def numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of pieces, piece after piece, and where each piece's begin (and the last one's end)."""
+        text = "\0".join(pieces)
+        data = text.encode()
+        lengths = np.array([len(p) for p in pieces])
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        if len(data) == len(text):
+            char = np.frombuffer(data, np.uint8)
+        else:
+            char = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        kind = kinds()[char]
+        kind[starts[1:-1] - 1] = 0
+        begin, end = split(char, kind)
+        bounds = np.searchsorted(begin, starts)
+        if len(data) != len(text):
+            # where characters begin in bytes
+            place = np.zeros(len(char) + 1, dtype=np.int64)
+            np.cumsum(1 + (char >= 0x80).astype(np.int8) + (char >= 0x800) + (char >= 0x10000), out=place[1:])
+            begin, end = place[begin], place[end]
+        if not len(begin):
+            return np.zeros(0, np.int64), bounds
+        one, which = distinct(data, begin, end - begin)
+        found = map(self.words.__getitem__, (data[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())))
+        return np.fromiter(found, np.int64, len(one))[which], bounds
+
+    def _look_up(self, held: list[tuple[int, str]], out: list[list[np.ndarray]]) -> None:
+        """Encodes the words that are new, then all pieces that are held: words, or special tokens."""
+        numbers, bounds = self.numbers([piece for _, piece in held if piece not in self.special] or [""])
         new = self.words.new
         if new:
-            counts, ids = self.automaton.encode([w.encode() for w in new])
+            counts, ids = self.automaton.encode(new)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
             self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
             new.clear()
-        for k, numbers in held:
-            if len(numbers) and numbers[0] < 0:
-                out[k].append(-numbers.astype(np.int32) - 1)
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        counts = self.counts[numbers]
+        flat = self.ids[ragged(self.starts[numbers], counts)]
+        ends = iter(np.concatenate([[0], np.cumsum(counts)])[bounds[1:]].tolist())
+        at = 0
+        for k, piece in held:
+            if piece in self.special:
+                out[k].append(np.array([self.special[piece]], dtype=np.int32))
             else:
-                out[k].append(self.ids[ragged(self.starts[numbers], self.counts[numbers])])
-                self.uses += np.bincount(numbers, minlength=len(self.uses)) if len(numbers) > 4096 else 0
-                if len(numbers) <= 4096:
-                    np.add.at(self.uses, numbers, 1)
+                end = next(ends)
+                out[k].append(flat[at:end])
+                at = end
         held.clear()
         if len(self.words) > REMEMBERED:
             self._forget()

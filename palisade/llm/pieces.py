@@ -294,7 +294,7 @@ class Tokenizer(bpe.Tokenizer):
         self.labels = [{NORMAL: p.replace(MARK, " ").encode(), BYTE: bytes([int(p[3:-1], 16)]) if kind == BYTE else b"", UNKNOWN: " ⁇ ".encode()}.get(kind, b"") for p, _, kind in vocabulary]
         self.silent = {i for i, (*_, kind) in enumerate(vocabulary) if kind == CONTROL}
         self.spaced = {i for i, (p, _, kind) in enumerate(vocabulary) if kind == NORMAL and p.startswith(MARK)}
-        self.split = self.split_ascii = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.gap = re.compile(f"(?<=[^{MARK}]){MARK}")
         self.words = Words()
         self.uses, self.starts, self.counts, self.ids = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32))
@@ -304,6 +304,12 @@ class Tokenizer(bpe.Tokenizer):
         if text:
             yield from super().pieces(MARK + text.replace(" ", MARK))
 
+    def numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known, found = len(self.words.new), [self.split.findall(p) for p in pieces]
+        numbers = np.fromiter((self.words[w] for f in found for w in f), np.int64, sum(map(len, found)))
+        self.words.new[known:] = [w.encode() for w in self.words.new[known:]]
+        return numbers, np.cumsum([0, *map(len, found)])
+
     @property
     def cut(self) -> None:
         return None

@@ -22,8 +22,6 @@ labels the score is the share of label 1 (0.5 without labels). No documents: no
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm import words
 from palisade.llm.common import crc_mod, partitions, prepare, record, slices, texts, trimmed
 
 BUCKETS, DIMS, SEED, MARKS = 1 << 14, 64, 20241, 3
@@ -42,28 +41,27 @@ THRESHOLD = 0.3
 BLOCK = 512
 #: Partial sums of a block that one task of the tree adds up.
 TREE = 64
-TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
-REMEMBERED = 150_000
-_bucket: dict[bytes, int] = {}
-
-
-def bucket(token: bytes) -> int:
-    """The token's bucket, plus BUCKETS for words in capitals."""
-    low = token.lower()
-    return MARKS + zlib.crc32(low) % (BUCKETS - MARKS) + BUCKETS * (len(token) > 1 and token != low and token == token.upper())
-
-
-def tokens(text: bytes) -> np.ndarray:
-    if len(_bucket) > REMEMBERED:
-        _bucket.clear()
-    found = TOKEN.findall(text)
-    get = _bucket.get
-    ids = [get(t) for t in found]
-    if None in ids:
-        for k, i in enumerate(ids):
-            if i is None:
-                ids[k] = _bucket[found[k]] = bucket(found[k])
-    return np.array(ids, dtype=np.int64)
+#: Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 other signs; whether one is of A-Z, of a-z. Bytes of text that are looked at
+#: at a time, pairs of tokens that are counted at a time.
+KINDS = np.array([0 if c in b" \t\n\r\f\v" else 1 if c >= 128 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], dtype=np.uint8)
+UPPER, LOWER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+TEXTS, PAIRS = 1 << 20, 1 << 22
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's bucket, plus BUCKETS for words in capitals, text after text, and where each text's begin (and the last one's
+    end)."""
+    data = b"\n".join(texts)
+    raw = np.frombuffer(data, np.uint8)
+    begin, end = words.runs(KINDS[raw])
+    size = end - begin
+    ids = MARKS + words.crc32s(data.lower(), begin, size).astype(np.int64) % (BUCKETS - MARKS)
+    if len(begin):
+        # a stretch of sums from a token's begin to the next one's is the token's: what lies between are spaces
+        high, low = (np.add.reduceat(of[raw], begin, dtype=np.int64) for of in (UPPER, LOWER))
+        ids += BUCKETS * ((size > 1) & (high > 0) & (low == 0))
+    starts = np.cumsum([0] + [len(x) + 1 for x in texts])
+    return ids, np.searchsorted(begin, starts)
 
 
 def index_vectors() -> np.ndarray:
@@ -87,20 +85,28 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, total = index_vectors(), np.zeros(BUCKETS * DIMS, dtype=np.int64)
-        for batch in slices(batches):
-            gap = np.full(2, -1)
-            ids = [gap]
-            for x in texts(batch):
-                ids += [tokens(x) % BUCKETS, gap]
-            t = np.concatenate(ids)
-            for shift in (1, 2):
-                a, b = t[:-shift], t[shift:]
-                real = (a >= 0) & (b >= 0)
-                a, b = a[real], b[real]
+        places, total, keys = index_vectors(), np.zeros(BUCKETS * DIMS, dtype=np.int64), []
+
+        def add_up() -> None:
+            # each pair of buckets once, with how often it came
+            both = np.sort(np.concatenate(keys))
+            at = np.flatnonzero(np.diff(both, prepend=-1))
+            times, (one, two) = np.diff(np.append(at, len(both))), np.divmod(both[at].astype(np.int64), BUCKETS)
+            for a, b in ((one, two), (two, one)):
                 for k, sign in enumerate(SIGNS):
-                    for at, other in ((a, b), (b, a)):
-                        total += sign * np.bincount(at * DIMS + places[other, k], minlength=len(total))
+                    total[:] += np.bincount(a * DIMS + places[b, k], sign * times, len(total)).astype(np.int64)
+            keys.clear()
+
+        for batch in slices(batches, TEXTS):
+            t, bounds = tokens(texts(batch))
+            t, of = t % BUCKETS, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            for shift in (1, 2):
+                one, two = (x[of[:-shift] == of[shift:]] for x in (t[:-shift], t[shift:]))
+                keys.append((np.minimum(one, two) * BUCKETS + np.maximum(one, two)).astype(np.int32))
+            if sum(map(len, keys)) > PAIRS:
+                add_up()
+        if keys:
+            add_up()
         rows = total.reshape(-1, BLOCK * DIMS)
         some = np.nonzero(rows.any(axis=1))[0]
         if len(some):
@@ -138,17 +144,26 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
     return out
 
 
-def pooled(text: bytes, vectors: np.ndarray) -> np.ndarray:
-    t = tokens(text)
-    out = np.zeros(vectors.shape[1] + 1, dtype=np.float32)
-    if len(t):
-        capital, t = t >= BUCKETS, t % BUCKETS
-        kinds, counts = np.unique(t, return_counts=True)
-        out[:-1] = counts.astype(np.float32) @ vectors[kinds]
-        marks = np.array([capital.sum(), (t[1:] == t[:-1]).sum(), len(t) - len(kinds)], dtype=np.float32)
-        out[:-1] += marks @ vectors[:MARKS]
-        out /= len(t)
-        out[-1] = np.log1p(len(t))
+def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+    """A row of each text."""
+    ids, bounds = tokens(texts)
+    out = np.zeros((len(texts), vectors.shape[1] + 1), dtype=np.float32)
+    of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    capital, t = ids >= BUCKETS, ids % BUCKETS
+    # each text's buckets, ascending
+    keys = np.sort(of * BUCKETS + t)
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    counts, kinds = np.diff(np.append(at, len(keys))).astype(np.float32), keys[at] % BUCKETS
+    cut = np.searchsorted(at, bounds)
+    capitals = np.bincount(of, capital, len(texts))
+    again = np.bincount(of[1:], (t[1:] == t[:-1]) & (of[1:] == of[:-1]), len(texts))
+    for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        n = int(bounds[k + 1] - bounds[k])
+        if n:
+            out[k, :-1] = counts[a:b] @ vectors[kinds[a:b]]
+            out[k, :-1] += np.array([capitals[k], again[k], n - (b - a)], dtype=np.float32) @ vectors[:MARKS]
+            out[k] /= n
+            out[k, -1] = np.log1p(n)
     return out
 
 
@@ -223,8 +238,9 @@ def features(docs: DataFrame, vectors) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield record(schema, batch.column("doc_id").cast(pa.int64()), batch.column("label"), [pooled(x, vectors.value).tobytes() for x in texts(batch)])
+        for batch in slices(batches, TEXTS):
+            rows = [x.tobytes() for x in pooled(texts(batch), vectors.value)]
+            yield record(schema, batch.column("doc_id").cast(pa.int64()), batch.column("label"), rows)
 
     return docs.mapInArrow(run, "doc_id long, label double, x binary")
 
@@ -236,7 +252,7 @@ class Model:
     def score(self, raw: list[bytes]) -> np.ndarray:
         if not raw:
             return np.zeros(0)
-        return self.network.predict(np.array([pooled(x, self.vectors) for x in raw]))
+        return self.network.predict(pooled(raw, self.vectors))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn=None, most: int = TRAIN_ROWS) -> Model:
@@ -256,7 +272,7 @@ def report(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS):
             yield record(schema, batch.column("doc_id").cast(pa.int64()), shared.value.score(texts(batch)))
 
     scored = docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, score double")
@@ -269,7 +285,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS):
             yield batch.filter(pa.array(shared.value.score(texts(batch)) >= threshold))
 
     return docs.mapInArrow(trimmed(run), docs.schema)

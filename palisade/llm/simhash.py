@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.llm import words
 from palisade.llm.common import named, numbered, partitions, prepare, record, renamed, slices, texts
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -326,40 +327,35 @@ NEAR_SHINGLE, KINDS, NEAR_RADIUS, NEAR_LEVELS = 2, 3, 5, 2
 VERIFIED, HEADS, SALTED = 5, 64, 2000
 #: Rounds judge so many times the members of the one before, up to so many: a group whose members are all unlike is over in few.
 MORE, MOST_HEADS = 4, 1024
-#: Bits by which sets are compared before their members are.
-BITS = 12
+#: Bits by which sets are compared before their members are; bytes of texts whose words are hashed at a time.
+BITS, WORDS = 12, 1 << 20
 #: The steps that make one hash into several (those of a common 64-bit mixer).
 STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def sketch_of(text: bytes, shingle: int = NEAR_SHINGLE, kinds: int = KINDS) -> list[int]:
-    """Several fingerprints of a text, each from its different shingles' hashes mixed anew; zeros for one without words."""
-    w = text.lower().split()
-    if not w:
-        return [0] * kinds
-    h = xxhash.xxh64_intdigest
-    parts = map(b" ".join, zip(*(w[k:] for k in range(shingle)))) if len(w) > shingle else [b" ".join(w)]
-    # each shingle once, so that very frequent ones don't decide alone
-    hashes = np.unique(np.fromiter((h(x, SEED) for x in parts), dtype=np.uint64, count=max(1, len(w) - shingle + 1)))
-    ones = np.zeros((kinds, 64), dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        for k in range(kinds):
-            x = part + np.uint64((k + 1) * STEP % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_ONE)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_TWO)
-            x ^= x >> np.uint64(31)
-            ones[k] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().tolist()
+def sketches_of(texts: list[bytes], shingle: int = NEAR_SHINGLE, kinds: int = KINDS) -> np.ndarray:
+    """(texts, kinds) fingerprints of texts, each from a text's different shingles' hashes mixed anew; zeros for one without
+    words."""
+    hashes, bounds = sets_of(texts, shingle)
+    out = np.zeros((len(texts), kinds), dtype=np.uint64)
+    for k in range(kinds):
+        x = hashes + np.uint64((k + 1) * STEP % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_ONE)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_TWO)
+        out[:, k] = words.majorities(x ^ (x >> np.uint64(31)), bounds)
+    return out
 
 
-def shingles_of(text: bytes, size: int = VERIFIED) -> np.ndarray:
-    """The different hashes, ascending, of a text's runs of five words; none for a text without words."""
-    w = text.lower().split()
-    h = xxhash.xxh64_intdigest
-    parts = map(b" ".join, zip(*(w[k:] for k in range(size)))) if len(w) > size else [b" ".join(w)] * bool(w)
-    return np.unique(np.fromiter((h(x, SEED) for x in parts), dtype=np.uint64)).view(np.int64)
+def sets_of(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes, ascending, of the runs of `size` words of each text, text after text, and where each text's begin:
+    each run once, so that very frequent ones don't decide alone. None for a text without words."""
+    hashes, bounds = words.shingles(texts, size, SEED)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        hashes[a:b].sort()
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    return hashes[first], np.concatenate([[0], np.cumsum(first)])[bounds]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -470,16 +466,18 @@ def near_copies(docs: DataFrame, radius: int = NEAR_RADIUS, most: int = SHARD_MO
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names + same)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, WORDS):
             held = texts(batch)
-            fp = np.array([sketch_of(x) for x in held], dtype=np.uint64).reshape(-1, KINDS).view(np.int64)
-            words = b"".join(xxhash.xxh3_128_digest(b" ".join(x.lower().split())) for x in held)
-            yield record(schema, batch.column("doc_id").cast(pa.int64()), *fp.T.copy(), *np.frombuffer(words, "<i8").reshape(-1, 2).T.copy())
+            fp = sketches_of(held).view(np.int64)
+            plain = b"".join(xxhash.xxh3_128_digest(b" ".join(x.lower().split())) for x in held)
+            yield record(schema, batch.column("doc_id").cast(pa.int64()), *fp.T.copy(), *np.frombuffer(plain, "<i8").reshape(-1, 2).T.copy())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("root", pa.int64()), ("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-        for batch in slices(batches):
-            yield record(kinds, batch.column("root"), batch.column("node"), pa.array([shingles_of(x) for x in texts(batch)], pa.list_(pa.int64())))
+        for batch in slices(batches, WORDS):
+            own, bounds = sets_of(texts(batch), VERIFIED)
+            lists = pa.ListArray.from_arrays(bounds.astype(np.int32), own.view(np.int64))
+            yield record(kinds, batch.column("root"), batch.column("node"), lists)
 
     own = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names + same)).checkpoint()
     # texts of the same words are one node, named by its smallest id
