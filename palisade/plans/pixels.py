@@ -8,7 +8,7 @@ from palisade.catalogue import query
 from palisade.operators import branches as B
 from palisade.operators import pixels as P
 from palisade.plans.standins import HEIGHT, WIDTH, pixel_frames
-from palisade.session import durable, shared_path
+from palisade.session import shared_path
 from palisade.sources import clips
 
 #: The working size of flow here: the drawn frames' own.
@@ -35,16 +35,15 @@ def temporal_pairs(spark, sf_dir):
 
 @query()
 def pixel_branches(spark, sf_dir):
-    """Six branches from one set of frames, drawn once and kept in the shared folder."""
-    frames = durable(pixel_frames(spark, sf_dir))
-    scenes = P.scene_pairs(frames)
+    """Six branches from one set of frames, drawn and looked at once."""
+    seen = P.evidence(pixel_frames(spark, sf_dir), SIZE, SIZE)
     rows = B.union(
-        B.scene(scenes),
-        B.temporal(P.temporal_pairs(frames, size=SIZE)),
-        B.recompression(P.recompression_frames(frames)),
-        B.frequency(P.frequency_frames(frames)),
-        B.face(*P.face_inputs(P.detections(frames))),
-        B.integrity(P.integrity_pairs(frames, SIZE)),
+        B.scene(seen["scene"]),
+        B.temporal(seen["temporal"]),
+        B.recompression(seen["recompression"]),
+        B.frequency(seen["frequency"]),
+        B.face(*P.face_inputs(seen["face"])),
+        B.integrity(seen["integrity"]),
     )
     return _rounded(rows, "score", "confidence")
 

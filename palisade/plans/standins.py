@@ -6,6 +6,9 @@ frames go by vec_id, a frame is 8 x 8 tiles. documents: a report is a document,
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -199,24 +202,27 @@ rt AS (SELECT clip_id, pos, quantile_cont(r, 0.9) / (quantile_cont(r, 0.5) + 1e-
 CLIP, HEIGHT, WIDTH = 24, 96, 160
 
 
+@lru_cache(CLIP)
+def _texture(pos: int) -> np.ndarray:
+    y, x = np.mgrid[:HEIGHT, :WIDTH]
+    return 90 + 40 * np.sin((x - 2 * pos) / 5.0) * np.cos((y + pos) / 7.0)
+
+
 def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, pos, frame_index, height, width, pixels: colour frames drawn from rows of `embeddings`. A clip is CLIP ids in
     turn, so it is bounded at any size of the table. A frame has the row's 64 values as soft light over a texture
     that drifts with pos, and a skin-coloured box whose place and sides follow the row's first values."""
-    import numpy as np
     import pyarrow as pa
 
     from palisade.functions import vision
-    from palisade.session import PIXEL_ROWS, bounded
+    from palisade.session import PIXEL_ROWS, bounded, roomy
 
     bounded(spark)
 
     def draw(vector: list[float], pos: int) -> bytes:
         v = np.abs(np.nan_to_num(np.array(vector[:64] + [0.0] * (64 - len(vector)), dtype=np.float64)))
         light = vision.linear_resize(v.reshape(8, 8) * 60, HEIGHT, WIDTH)
-        y, x = np.mgrid[:HEIGHT, :WIDTH]
-        texture = 90 + 40 * np.sin((x - 2 * pos) / 5.0) * np.cos((y + pos) / 7.0)
-        out = np.clip((texture + light)[..., None] * np.array([1.0, 0.9, 0.8]), 0, 255)
+        out = np.clip((_texture(pos) + light)[..., None] * np.array([1.0, 0.9, 0.8]), 0, 255)
         h, w = 26 + int(40 * v[0]) % 20, 26 + int(40 * v[1]) % 20
         top, left = 10 + (pos + int(20 * v[2])) % 30, 12 + (3 * pos + int(20 * v[3])) % 90
         out[top : top + h, left : left + w] = (90, 130, 200)
@@ -234,5 +240,5 @@ def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / CLIP).alias("clip_id"), (F.col("vec_id") % CLIP).alias("pos"), "embedding")
     # rows are few bytes and much work, so they are dealt over a stated number of partitions however few the table's files are
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip_id")
-    drawn = dealt.mapInArrow(run, "clip_id long, pos long, pixels binary")
+    drawn = dealt.mapInArrow(roomy(run), "clip_id long, pos long, pixels binary")
     return drawn.select("clip_id", "pos", (F.col("pos") * 2).alias("frame_index"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), "pixels")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,26 @@ def bounded(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers receive by bytes too: as many rows of pixels as Spark puts in a batch by
     number alone are gigabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Bytes of freed memory that a task's process keeps, and of a block beyond which it is the system's own: places of mallopt's values.
+KEPT, OWN = (-1, 256 << 20), (-3, 32 << 20)
+
+
+def roomy(run: Callable) -> Callable:
+    """A function of Arrow batches whose process keeps what it frees until the task ends. Arrays of a frame's size otherwise go
+    back to the system each time, and pages come anew for each operation, which took most of some operations' time."""
+
+    def task(batches: Iterator) -> Iterator:
+        library = ctypes.CDLL(None)
+        tuned, trim = (getattr(library, n, None) for n in ("mallopt", "malloc_trim"))  # where the C library has them
+        if tuned:
+            for place, value in (KEPT, OWN):
+                tuned(place, value)
+        try:
+            yield from run(batches)
+        finally:
+            if trim:
+                trim(0)
+
+    return task

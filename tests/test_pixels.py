@@ -205,6 +205,49 @@ def test_pairs_tracked_together_are_as_each_alone():
         assert many.shape == alone.shape and np.allclose(many, alone, atol=1e-9)
 
 
+def test_frames_looked_at_once_give_the_rows_of_each_operator(spark):
+    """Barred frames show integrity another picture than temporal; a clip may have both kinds, and broken frames."""
+    base = np.stack([texture(8, 96, 128)] * 3, axis=-1).astype(np.uint8)
+    barred = np.zeros_like(base)
+    barred[14:80, 10:120] = base[14:80, 10:120]
+    moved = [np.roll(base, k, axis=1) for k in range(4)]
+    frames = clip(spark, [*moved, None, barred, np.roll(barred, 1, axis=0), base]).unionByName(clip(spark, moved[::-1], 2)).unionByName(clip(spark, [barred], 3))
+    got = P.evidence(frames, (96, 128), (96, 128), (48, 64))
+    assert got["integrity"].where("clip_id = 1 AND pos = 6").first().residual != P.temporal_pairs(frames, size=(96, 128)).where("clip_id = 1 AND pos = 6").first().error
+    want = {
+        "scene": P.scene_pairs(frames),
+        "temporal": P.temporal_pairs(frames, size=(96, 128)),
+        "recompression": P.recompression_frames(frames),
+        "frequency": P.frequency_frames(frames, (48, 64)),
+        "face": P.detections(frames),
+        "integrity": P.integrity_pairs(frames, (96, 128)),
+    }
+    for branch, rows in want.items():
+        a, b = (sorted(x.select(*rows.columns).collect(), key=lambda r: (r.clip_id, r.pos)) for x in (got[branch], rows))
+        assert len(a) == len(b) > 0, branch
+        for x, y in zip(a, b):
+            assert all(u == v or isinstance(u, float) and np.isclose(u, v, atol=1e-9) for u, v in zip(x, y)), (branch, x, y)
+    assert P.evidence(frames.limit(0), (96, 128), (96, 128))["integrity"].count() == 0
+
+
+def test_flow_of_frames_that_look_the_same_is_found_once(spark, monkeypatch):
+    """Six branches read the pixels six times, and found the same flow twice."""
+    from palisade.plans import pixels as plans
+
+    calls, real = [], P.features
+    monkeypatch.setattr(P, "features", lambda *a: calls.append(1) or real(*a))
+    flows, flow = [], vision.dense_flow
+    looks = [vision.Look(np.rint(shifted(texture(5), k, 0))) for k in range(2)]
+    monkeypatch.setattr(vision, "dense_flow", lambda *a: flows.append(1) or flow(*a))
+    kept, real_followed = {}, P.followed
+    monkeypatch.setattr(P, "followed", lambda seen, looks, make, columns, alone: kept.update(make=make, columns=columns) or real_followed(seen, looks, make, columns, alone))
+    rows = spark.range(30).selectExpr("id AS vec_id", "transform(sequence(1, 64), x -> float(x + id % 7)) AS embedding")
+    monkeypatch.setattr("palisade.plans.standins.table", lambda *a: rows)
+    assert plans.pixel_branches(spark, "").count() > 0 and len(calls) == 1
+    pair = tuple(looks)
+    assert len(kept["make"]([(pair, pair)])[0]) == len(kept["columns"]) and len(flows) == 2
+
+
 def test_python_works_on_few_frames_at_a_time(spark, tmp_path):
     """Rows of pixels by the thousand in a batch were gigabytes of a worker's memory."""
     import pyarrow.parquet as pq
