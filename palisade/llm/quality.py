@@ -22,6 +22,8 @@ labels the score is the share of label 1 (0.5 without labels). No documents: no
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,16 @@ UPPER, LOWER = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"
 TEXTS, PAIRS = 1 << 20, 1 << 22
 
 
+#: The rule of tokens and of their buckets one at a time; tokens() goes by it for many.
+TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
+
+
+def bucket(token: bytes) -> int:
+    """The token's bucket, plus BUCKETS for words in capitals."""
+    low = token.lower()
+    return MARKS + zlib.crc32(low) % (BUCKETS - MARKS) + BUCKETS * (len(token) > 1 and token != low and token == token.upper())
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Each token's bucket, plus BUCKETS for words in capitals, text after text, and where each text's begin (and the last one's
     end)."""

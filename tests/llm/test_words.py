@@ -43,6 +43,13 @@ def test_shingles_one_text_at_a_time():
             assert got[a:b].tolist() == sorted({xxhash.xxh64_intdigest(b" ".join(w[k : k + size]), 42) for k in range(max(len(w) - size + 1, 1))} if w else [])
 
 
+def test_tokens_are_those_of_the_rule():
+    held = [b"", b" \n", b"A AB aB ab AB1", "\u00c4B \u00e4".encode(), b"1 \x1c2!\x00!\x0b!", b"x" * 700, bytes(range(256))]
+    got, bounds = quality.tokens(held)
+    for text, a, b in zip(held, bounds, bounds[1:]):
+        assert got[a:b].tolist() == [quality.bucket(t) for t in quality.TOKEN.findall(text)]
+
+
 def test_split_is_the_pattern():
     rng, pattern = random.Random(3), regex.compile(bpe.PATTERN)
     for _ in range(3000):
